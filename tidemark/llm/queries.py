@@ -2,6 +2,9 @@
 
 import public_tokenizers
 
+from . import archive, common
+from .mixing import mix
+from .packing import best_fit_packing
 from .token_counts import token_counts
 
 
@@ -9,6 +12,20 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_warc_archive(spark, sf_dir):
+    at = common.Scratch(spark, "warc").path("archive")
+    archive.write_archive(_table(spark, sf_dir, "pages"), at)
+    return archive.archive_report(spark, at)
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -16,8 +33,21 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_warc_archive,
+        op6_best_fit_packing,
+        op9_source_mixing,
         op10_token_counts,
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL by the meaning of the contract, not by the operator's way.
+ORACLES = {
+    "op5_warc_archive": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hx, max(page_id) OVER (PARTITION BY b) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hx, 1 + 10 * (i // 8)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM h""",
+}
