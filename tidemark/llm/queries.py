@@ -3,15 +3,25 @@
 import public_tokenizers
 
 from . import archive, common
+from .media import media_features
 from .mixing import mix
 from .packing import best_fit_packing
 from .token_counts import token_counts
+from .top_k import top_k
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_top_k(spark, sf_dir):
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_media_columns(spark, sf_dir):
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_archive(spark, sf_dir):
     at = common.Scratch(spark, "warc").path("archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), at)
@@ -33,6 +43,8 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_exact_top_k,
+        op3_media_columns,
         op5_warc_archive,
         op6_best_fit_packing,
         op9_source_mixing,
@@ -42,11 +54,17 @@ QUERIES = {
 
 #: DuckDB SQL by the meaning of the contract, not by the operator's way.
 ORACLES = {
+    "op2_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_warc_archive": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hx, max(page_id) OVER (PARTITION BY b) AS last FROM p)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hx, 1 + 10 * (i // 8)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hx, 1 + 10 * (i // 8)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM h""",
