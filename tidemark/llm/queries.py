@@ -6,6 +6,7 @@ from . import archive, common
 from .media import media_features
 from .mixing import mix
 from .packing import best_fit_packing
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .top_k import top_k
 
@@ -32,6 +33,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_source_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -47,6 +52,7 @@ QUERIES = {
         op3_media_columns,
         op5_warc_archive,
         op6_best_fit_packing,
+        op8_suffix_dedup,
         op9_source_mixing,
         op10_token_counts,
     )
