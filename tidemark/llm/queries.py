@@ -3,6 +3,7 @@
 import public_tokenizers
 
 from . import archive, common
+from .jaccard_join import jaccard_components
 from .media import media_features
 from .mixing import mix
 from .packing import best_fit_packing
@@ -15,6 +16,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_top_k(spark, sf_dir):
     return top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +53,7 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_exact_top_k,
         op3_media_columns,
         op5_warc_archive,
