@@ -7,6 +7,8 @@ from .jaccard_join import jaccard_components
 from .media import media_features
 from .mixing import mix
 from .packing import best_fit_packing
+from .quality import quality_scores
+from .secrets import secret_spans
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .top_k import top_k
@@ -28,6 +30,10 @@ def op3_media_columns(spark, sf_dir):
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc_archive(spark, sf_dir):
     at = common.Scratch(spark, "warc").path("archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), at)
@@ -38,6 +44,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secret_spans(_table(spark, sf_dir, "documents")).drop("all_spans")
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -56,8 +66,10 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_exact_top_k,
         op3_media_columns,
+        op4_quality_classifier,
         op5_warc_archive,
         op6_best_fit_packing,
+        op7_secret_scan,
         op8_suffix_dedup,
         op9_source_mixing,
         op10_token_counts,
