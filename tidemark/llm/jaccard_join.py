@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -90,6 +90,11 @@ def set_names(d: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.n
     return n, np.where(n > 0, name, np.uint64(0)).view(np.int64)
 
 
+def text_tag(text: Column) -> Column:
+    """A hash of a text, which tells rows apart that share a key."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def prefix_keys(token: np.ndarray, df: np.ndarray, n: int, distinct: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of a set and whether it may be a hub there. token, df: its tokens that other sets have too; n: its size; distinct: of its fingerprints."""
     need = max(1, -(-percent * n // 100) - (n - distinct))
@@ -123,7 +128,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard-join")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_tag(F.col(text)).alias("tag"))
     buckets = 256
     while buckets < 2 * int(spark.conf.get("spark.sql.shuffle.partitions")):
         buckets *= 2
@@ -133,7 +138,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         from pyspark import TaskContext
 
         roller, part, block = Roller(), TaskContext.get().partitionId(), 0
-        ids, null, sizes, names, owner, token, held, docs_ = [], [], [], [], [], [], 0, 0
+        ids, null, tags, sizes, names, owner, token, held, docs_ = [], [], [], [], [], [], [], 0, 0
 
         def flush():
             name, n = np.concatenate(names), np.concatenate(sizes)
@@ -152,7 +157,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             once[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1]) | (home[1:] != home[:-1])
             d, fp, home = d[once], fp[once], home[once]
             at = part << 24 | block
-            out = [(at % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), inverse.astype(np.uint32), nodes, n[first], np.bincount(d, minlength=len(nodes))))]
+            out = [(at % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(tags), inverse.astype(np.uint32), nodes, n[first], np.bincount(d, minlength=len(nodes))))]
             cuts = np.searchsorted(home, np.arange(buckets + 1))
             for b in range(buckets):
                 i, j = cuts[b], cuts[b + 1]
@@ -163,10 +168,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         for batch in batches:
             values, missing = common.long_column(batch.column(0))
             data, off = common.text_buffers(batch.column(1))
+            tag = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in common.slices(off, SLICE):
                 d, h = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], roller, words)
                 n, name = set_names(d, h, j - i)
                 ids.append(values[i:j])
+                tags.append(tag[i:j])
                 null.append(missing[i:j])
                 sizes.append(n)
                 names.append(name)
@@ -176,7 +183,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 held += int(off[j] - off[i])
                 if held >= BLOCK_BYTES:
                     yield flush()
-                    ids, null, sizes, names, owner, token, held, docs_, block = [], [], [], [], [], [], 0, 0, block + 1
+                    ids, null, tags, sizes, names, owner, token, held, docs_, block = [], [], [], [], [], [], [], 0, 0, block + 1
         if docs_:
             yield flush()
 
@@ -205,12 +212,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             out.append((bucket, int(blocks[b]), b"t" + common.pack(np.array([bucket]), fp[i:j], node[i:j], df[i:j])))
         return pd.concat([passed, pd.DataFrame(out, columns=["bucket", "block", "data"])], ignore_index=True)
 
-    index_kind = "is_doc boolean, id long, node long, n int, key long, can boolean"
+    index_kind = "is_doc boolean, id long, tag long, node long, n int, key long, can boolean"
 
     def prefixes(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [common.unpack(x[1:]) for x in frame["data"] if x[:1] == b"t"]
-        ids, null, own, nodes, n, distinct = common.unpack(next(x for x in frame["data"] if x[:1] == b"h")[1:])
-        docs_ = pd.DataFrame({"is_doc": True, "id": pd.array(ids, "Int64"), "node": nodes[own], "n": n[own].astype(np.int32), "key": 0, "can": False})
+        ids, null, tags, own, nodes, n, distinct = common.unpack(next(x for x in frame["data"] if x[:1] == b"h")[1:])
+        docs_ = pd.DataFrame({"is_doc": True, "id": pd.array(ids, "Int64"), "tag": tags, "node": nodes[own], "n": n[own].astype(np.int32), "key": 0, "can": False})
         docs_.loc[null.astype(bool), "id"] = pd.NA
         if not parts:
             return docs_
@@ -225,12 +232,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             return docs_
         keys = np.concatenate([np.asarray(k, np.uint64) for k, _ in found]).view(np.int64)
         can = np.concatenate([np.asarray(c, bool) for _, c in found])
-        index = pd.DataFrame({"is_doc": False, "id": pd.array([pd.NA] * len(keys), "Int64"), "node": np.repeat(nodes, count), "n": np.repeat(n, count).astype(np.int32), "key": keys, "can": can})
+        index = pd.DataFrame({"is_doc": False, "id": pd.array([pd.NA] * len(keys), "Int64"), "tag": 0, "node": np.repeat(nodes, count), "n": np.repeat(n, count).astype(np.int32), "key": keys, "can": can})
         return pd.concat([docs_, index], ignore_index=True)
 
     dealt = rows.mapInArrow(cut, kind).groupBy("bucket").applyInPandas(frequencies, kind)
     found = scratch.stage(dealt.groupBy("block").applyInPandas(prefixes, index_kind), "prefixes")
-    documents = found.where("is_doc").select("id", "node", "n")
+    documents = found.where("is_doc").select("id", "tag", "node", "n")
 
     index = found.where("not is_doc").groupBy("key", "node").agg(F.max("n").alias("n"), F.max("can").alias("can"))
     shared = index.groupBy("key").agg(F.count("*").alias("m"), F.max("can").alias("some")).where("m > 1 and some").select("key")
@@ -293,4 +300,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     named = documents.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "c")
     named = named.join(least, (F.col("n") > 0) & (F.col("comp") == F.col("c")), "left")
-    return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.col("tag").alias("text_tag"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """docs with one row of each component, that of the smallest key; rows without shingles and without a key stay.
+
+    Of rows that repeat key and text one stays.
+    """
+    found = jaccard_components(docs, text, key, **how)
+    chosen = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_key"), F.col("text_tag").alias("_tag"))
+    chosen = chosen.groupBy("_key", "_tag").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("_k", "_t").orderBy(F.lit(1))
+    rows = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_t": text_tag(F.col(text))})
+    rows = rows.withColumn("_i", F.row_number().over(order)).join(chosen.select(F.coalesce("_key", F.lit(-(2**63))).alias("_k"), F.col("_tag").alias("_t")), ["_k", "_t"])
+    return rows.where((F.col("_i") == 1) | F.col(key).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))

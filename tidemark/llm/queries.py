@@ -1,5 +1,6 @@
 """The registered queries of this subpackage: each applies an operator to its whole table."""
 
+import corpus_pipeline
 import public_tokenizers
 
 from . import archive, common
@@ -74,7 +75,7 @@ QUERIES = {
         op9_source_mixing,
         op10_token_counts,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 #: DuckDB SQL by the meaning of the contract, not by the operator's way.
 ORACLES = {
@@ -92,4 +93,4 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM h""",
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
