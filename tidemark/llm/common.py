@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = "tidemark.shared.dir"
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_BYTES unless the session asks for less, so that long texts don't add up in memory.
+
+    The setting is read when a plan runs, so it stays set in the session.
+    """
+    now = spark.conf.get(_BATCH, None)
+    size = int(now.rstrip("b")) if now and now.rstrip("b").isdigit() else None
+    if size is None or size > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Staged tables of one operator call."""
 
@@ -35,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bound_batches(spark)
 
     def path(self, name: str) -> str:
         self.n += 1
