@@ -35,7 +35,7 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 SLICE = 1 << 20
 #: Text bytes of a block and suffixes of a run.
-BLOCK_BYTES, RUN = 32 << 20, 200_000
+BLOCK_BYTES, RUN = 32 << 20, 60_000
 
 
 class Roller:
@@ -57,6 +57,16 @@ class Roller:
     def ranges(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (sums[b] - sums[a]) * self.down[a]
 
+    def rows(self, matrix: np.ndarray, some: int = 4096) -> np.ndarray:
+        """Hashes of whole rows, a few at a time."""
+        n, width = matrix.shape
+        out = np.empty(n, np.uint64)
+        for i in range(0, n, some):
+            part = np.ascontiguousarray(matrix[i : i + some])
+            at = np.arange(len(part)) * width
+            out[i : i + some] = self.ranges(self.sums(part.reshape(-1)), at, at + width)
+        return out
+
 
 def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     """op over every window of that width."""
@@ -330,17 +340,15 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
 
         def flush():
             rows_, ahead, behind, ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = np.concatenate([rows_, ahead[:, None], behind[:, None]], 1)
-            digest = common.mix64(roller.ranges(sums := roller.sums(whole.reshape(-1)), np.arange(len(whole)) * whole.shape[1], np.arange(1, len(whole) + 1) * whole.shape[1])) if len(whole) else np.zeros(0, np.uint64)
-            del sums
+            sides = (ahead.astype(np.uint64) << np.uint64(8)) | behind
+            digest = common.mix64(roller.rows(rows_) + common.mix64(sides))
             s, again = repeats(digest, dense_rank(ids, tags), place)
             out = []
             if len(again):
                 p, b, a = place[again], behind[again].astype(np.int64), ahead[again].astype(np.int64)
                 out.append((-1, part << 24 | run, common.pack(ids[again], tags[again], p - b, p - np.maximum(window - a, 0) + window)))
             right = rows_[s, reach:]
-            gram = np.ascontiguousarray(right[:, :K])
-            g = common.mix64(roller.ranges(roller.sums(gram.reshape(-1)), np.arange(len(s)) * K, np.arange(1, len(s) + 1) * K))
+            g = common.mix64(roller.rows(right[:, :K]))
             home = (g & np.uint64(buckets - 1)).astype(np.int64)
             order = np.lexsort((np.argsort(np.argsort(np.ascontiguousarray(right).view(f"S{window}").reshape(-1), kind="stable")), home)) if len(s) else np.zeros(0, np.int64)
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
