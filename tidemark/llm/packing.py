@@ -10,24 +10,23 @@ pieces of their length; ranks come from prefix sums over blocks, never from a
 sort of a whole length class.
 """
 
+import json
 import os
 import re
 import zlib
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with these go to the library whole.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85ɐ-‒―-‗‚‛„‟-‥‧-₫₭-\U0010ffff]")
-#: Pre-tokens whose ids a task keeps.
-CACHE = 400_000
-
 
 class RoomTree:
     """Segment tree over rooms 0..capacity; a leaf holds whether open bins of that room exist."""
@@ -109,46 +108,75 @@ def _tokenizer(path: str):
     return tok
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes: pre-tokens are encoded by the library once and kept."""
+    """Ids of texts as the library gives them for a byte-level BPE file.
+
+    Where the file's merges stand in the order of their ids, tiktoken merges by
+    these ids as ranks, several times as fast; a text of every batch is then
+    encoded by both, and a difference raises. Unusual texts and those with
+    special strings go to the library itself.
+    """
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         self.special = re.compile("(" + "|".join(re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()) + ")")
-        self.known: dict[str, bytes] = {}
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, model = byte_letters(), spec["model"]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        pre = spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not model.get("ignore_merges")
+        if not plain or any(b <= a for a, b in pairwise(made)):
+            return None
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+        return tiktoken.Encoding("ranked", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def slow(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        out, checked = [], False
+        for t in texts:
+            if self.fast is None or _UNUSUAL.search(t) or "<|" in t and self.special.search(t):
+                out.append(self.slow(t))
+                continue
+            out.append(self.fast.encode_to_numpy(t, disallowed_special=()))
+            if not checked:
+                checked = True
+                if not np.array_equal(out[-1], self.slow(t)):
+                    raise ValueError("ids by ranks differ from the library's")
+        return out
 
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut, new = [], set()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for t in texts:
-            if _UNUSUAL.search(t) or "<|" in t and self.special.search(t):
-                cut.append(None)
-            else:
-                found = _PIECES.findall(t)
-                cut.append(found)
-                new.update(found)
-        new = [x for x in new if x not in self.known]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, (self._raw(e.ids) for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        return [self._raw(self.tok.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """Kept in the Python worker from task to task."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, for ranks, block and rank among the block's pieces of that length."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "rank"]
 
     def encode(batches):
         from pyspark import TaskContext
 
-        enc, block, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, block, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             values, null = common.long_column(batch.column(0))
             data, off = common.text_buffers(batch.column(1))
@@ -157,12 +185,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
                 at = off[i : j + 1] - off[i]
                 out = []
                 for k, ids in enumerate(enc.batch([raw[at[k] : at[k + 1]].decode("utf-8", "replace") for k in range(j - i)])):
-                    ids += end
-                    n = len(ids) // 4
+                    raw_ids = memoryview(np.concatenate([ids, end], dtype="<u4")).cast("B")
+                    n = len(ids) + 1
                     first = n - (-(-n // capacity) - 1) * capacity
                     start, length, p = 0, first, 0
                     while start < n:
-                        out.append((i + k, p, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), seen[length]))
+                        out.append((i + k, p, start, length, zlib.crc32(raw_ids[4 * start : 4 * (start + length)]), seen[length]))
                         seen[length] += 1
                         start, length, p = start + length, capacity, p + 1
                 a = np.array(out, np.int64).reshape(-1, 6)
