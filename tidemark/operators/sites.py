@@ -11,7 +11,7 @@ AI_AGENTS = (
     "google-extended", "googleother", "perplexitybot", "perplexity-user", "ccbot", "bytespider",
     "applebot-extended", "meta-externalagent", "meta-externalfetcher", "facebookbot", "cohere-ai",
     "cohere-training-data-crawler", "diffbot", "omgilibot", "omgili", "imagesiftbot", "youbot", "timpibot",
-    "amazonbot", "ai2bot", "petalbot", "mistralai-user", "duckassistbot", "wasl",
+    "amazonbot", "ai2bot", "petalbot", "mistralai-user", "duckassistbot",
 )
 MANIFEST_KEYS = ("mcp", "tools", "skills", "capabilities", "agent", "protocolversion", "protocol_version", "api_endpoint", "schema_version")
 
