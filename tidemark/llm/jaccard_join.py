@@ -33,6 +33,8 @@ WORDS = 5
 #: Frequent: in more sets than RARE. COMBINED tokens share a key; MANY frequent prefix tokens are indexed singly.
 RARE, COMBINED, MANY = 16, 2, 12
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
+#: Words of 64 bits in a set's parity bitmap: sets differ by at least as many tokens as their bitmaps by bits.
+BITMAP = 8
 #: Hash values by which documents are chosen for verification; it bounds what is broadcast.
 CHOSEN = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -90,6 +92,18 @@ def set_names(d: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.n
     return n, np.where(n > 0, name, np.uint64(0)).view(np.int64)
 
 
+def bitmaps(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of sets side by side; h[at[i]:at[i + 1]] are the tokens of set i."""
+    bit = (common.mix64(h ^ _MIX[4]) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    out = np.zeros((len(at) - 1, BITMAP), np.uint64)
+    run = np.zeros(len(h) + 1, np.uint64)
+    for w in range(BITMAP):
+        here = (bit >> np.uint64(6)) == w
+        run[1:] = np.bitwise_xor.accumulate(np.where(here, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)))
+        out[:, w] = run[at[1:]] ^ run[at[:-1]]
+    return out
+
+
 def text_tag(text: Column) -> Column:
     """A hash of a text, which tells rows apart that share a key."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -146,6 +160,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             nodes, first, inverse = np.unique(name, return_index=True, return_inverse=True)
             lead = np.zeros(len(name), bool)
             lead[first] = True
+            bits = bitmaps(np.r_[0, np.cumsum(n)], h)[first]
             keep = lead[d]
             d, h = inverse[d[keep]].astype(np.uint32), h[keep]
             fp = (h >> np.uint64(32)).astype(np.uint32)
@@ -157,7 +172,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             once[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1]) | (home[1:] != home[:-1])
             d, fp, home = d[once], fp[once], home[once]
             at = part << 24 | block
-            out = [(at % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(tags), inverse.astype(np.uint32), nodes, n[first], np.bincount(d, minlength=len(nodes))))]
+            out = [(at % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(tags), inverse.astype(np.uint32), nodes, n[first], np.bincount(d, minlength=len(nodes)), bits.reshape(-1)))]
             cuts = np.searchsorted(home, np.arange(buckets + 1))
             for b in range(buckets):
                 i, j = cuts[b], cuts[b + 1]
@@ -212,12 +227,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             out.append((bucket, int(blocks[b]), b"t" + common.pack(np.array([bucket]), fp[i:j], node[i:j], df[i:j])))
         return pd.concat([passed, pd.DataFrame(out, columns=["bucket", "block", "data"])], ignore_index=True)
 
-    index_kind = "is_doc boolean, id long, tag long, node long, n int, key long, can boolean"
+    index_kind = "is_doc boolean, id long, tag long, node long, n int, key long, can boolean, most int, " + ", ".join(f"b{w} long" for w in range(BITMAP))
 
     def prefixes(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [common.unpack(x[1:]) for x in frame["data"] if x[:1] == b"t"]
-        ids, null, tags, own, nodes, n, distinct = common.unpack(next(x for x in frame["data"] if x[:1] == b"h")[1:])
-        docs_ = pd.DataFrame({"is_doc": True, "id": pd.array(ids, "Int64"), "tag": tags, "node": nodes[own], "n": n[own].astype(np.int32), "key": 0, "can": False})
+        ids, null, tags, own, nodes, n, distinct, bits = common.unpack(next(x for x in frame["data"] if x[:1] == b"h")[1:])
+        docs_ = pd.DataFrame({"is_doc": True, "id": pd.array(ids, "Int64"), "tag": tags, "node": nodes[own], "n": n[own].astype(np.int32), "key": 0, "can": False, "most": 0} | {f"b{w}": 0 for w in range(BITMAP)})
         docs_.loc[null.astype(bool), "id"] = pd.NA
         if not parts:
             return docs_
@@ -232,14 +247,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             return docs_
         keys = np.concatenate([np.asarray(k, np.uint64) for k, _ in found]).view(np.int64)
         can = np.concatenate([np.asarray(c, bool) for _, c in found])
-        index = pd.DataFrame({"is_doc": False, "id": pd.array([pd.NA] * len(keys), "Int64"), "tag": 0, "node": np.repeat(nodes, count), "n": np.repeat(n, count).astype(np.int32), "key": keys, "can": can})
+        bits = bits.view(np.int64).reshape(-1, BITMAP)
+        # tokens that other sets have too, and those lost to equal fingerprints: no partner shares more
+        most = np.diff(at) + n - distinct
+        index = pd.DataFrame({"is_doc": False, "id": pd.array([pd.NA] * len(keys), "Int64"), "tag": 0, "node": np.repeat(nodes, count), "n": np.repeat(n, count).astype(np.int32), "key": keys, "can": can, "most": np.repeat(most, count).astype(np.int32)} | {f"b{w}": np.repeat(bits[:, w], count) for w in range(BITMAP)})
         return pd.concat([docs_, index], ignore_index=True)
 
     dealt = rows.mapInArrow(cut, kind).groupBy("bucket").applyInPandas(frequencies, kind)
     found = scratch.stage(dealt.groupBy("block").applyInPandas(prefixes, index_kind), "prefixes")
     documents = found.where("is_doc").select("id", "tag", "node", "n")
 
-    index = found.where("not is_doc").groupBy("key", "node").agg(F.max("n").alias("n"), F.max("can").alias("can"))
+    words_ = [f"b{w}" for w in range(BITMAP)]
+    index = found.where("not is_doc").groupBy("key", "node").agg(*(F.max(c).alias(c) for c in ("n", "can", "most", *words_)))
     shared = index.groupBy("key").agg(F.count("*").alias("m"), F.max("can").alias("some")).where("m > 1 and some").select("key")
     group = scratch.stage(index.join(shared, "key"), "index")
     order = F.coalesce("id", F.lit(-(2**63)))
@@ -272,9 +291,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         now = scratch.stage(now, "round")
         if not now.limit(1).count():
             break
-        hubs = now.where("can").groupBy("key", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "n", "comp")).alias("hub"))
-        hubs = scratch.stage(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "hubs")
-        alike = (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        hubs = now.where("can").groupBy("key", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct("node", "n", "comp", "most", *words_)).alias("hub"))
+        hubs = scratch.stage(hubs.select("key", F.col("hub.node").alias("hub"), *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("n", "comp", "most", *words_))), "hubs")
+        # what a pair can share at most: by size, by tokens that others have, by the bits in which the bitmaps differ
+        both = F.col("n") + F.col("hub_n")
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub_{w}"))) for w in words_[1:]), F.bit_count(F.col(words_[0]).bitwiseXOR(F.col(f"hub_{words_[0]}"))))
+        bounds = (F.least("n", "hub_n"), F.least("most", "hub_most"), F.floor((both - differ) / 2))
+        alike = F.col("comp") != F.col("hub_comp")
+        for most in bounds:
+            alike = alike & ((100 + percent) * most >= percent * both)
         pairs = now.join(hubs, "key").where(alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -292,7 +317,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             comp = new.select(F.col("a").alias("node"), F.col("b").alias("comp"))
         done = hubs.select("key", F.col("hub").alias("node"))
         # a hub has met all of its group: it stays for components, but needs no partners
-        spent = scratch.stage(now.select("key", "node", "n", "can").join(done, ["key", "node"], "left_anti"), "index")
+        spent = scratch.stage(now.select("key", "node", "n", "can", "most", *words_).join(done, ["key", "node"], "left_anti"), "index")
         scratch.drop(now, hubs, group)
         group, salts = spent, salts * 8
     if comp is None:
