@@ -126,6 +126,13 @@ def _signals() -> dict[str, Column]:
     }
 
 
+def _exact_mean(on: str, value: str, unit: int) -> Column:
+    """Mean of values written in whole units, from integer sums: equal in whatever order rows come."""
+    whole = F.when(F.col(on), F.round(F.col(value) * unit).cast("long"))
+    n = F.count(whole)
+    return F.when(n > 0, F.sum(whole) / (n * unit))
+
+
 @dataclass(frozen=True)
 class Check:
     axis: int
@@ -202,7 +209,7 @@ def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
         entity, F.struct(F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<string>)").alias("ids")),
         lambda a, e: F.when(F.array_contains(a["types"], e["type"]), a).otherwise(F.struct(F.concat(a["types"], F.array(e["type"])).alias("types"), F.concat(a["ids"], F.array(e["id"])).alias("ids"))),
     )
-    aggs += [F.count_distinct(F.when(F.col("s_canonical"), F.col("source_url"))).alias("canonical_pages"), F.avg(F.when(F.col("s_ratio"), F.col("ratio_value"))).alias("mean_ratio"), F.avg(F.when(F.col("s_measured"), F.col("coverage_value"))).alias("mean_coverage"), first.alias("entity")]
+    aggs += [F.count_distinct(F.when(F.col("s_canonical"), F.col("source_url"))).alias("canonical_pages"), _exact_mean("s_ratio", "ratio_value", 1000).alias("mean_ratio"), _exact_mean("s_measured", "coverage_value", 100).alias("mean_coverage"), first.alias("entity")]
     by_site = flagged.groupBy("site").agg(*aggs)
     out = inputs.join(by_site, "site", "left")
     none = F.array().cast("array<string>")

@@ -1,6 +1,6 @@
 """All registered queries of the library with their DuckDB counterparts."""
 
-from . import page_queries
+from . import derived_queries, page_queries
 
-QUERIES = dict(page_queries.Q)
-ORACLES = dict(page_queries.O)
+QUERIES = page_queries.Q | derived_queries.Q
+ORACLES = page_queries.O | derived_queries.O
