@@ -126,13 +126,6 @@ def _signals() -> dict[str, Column]:
     }
 
 
-def _exact_mean(on: str, value: str, unit: int) -> Column:
-    """Mean of values written in whole units, from integer sums: equal in whatever order rows come."""
-    whole = F.when(F.col(on), F.round(F.col(value) * unit).cast("long"))
-    n = F.count(whole)
-    return F.when(n > 0, F.sum(whole) / (n * unit))
-
-
 @dataclass(frozen=True)
 class Check:
     axis: int
@@ -197,25 +190,32 @@ def checks() -> list[Check]:
 
 
 def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row for each site of inputs: counts and ordered references of every signal, and the few means."""
+    """One row for each site of inputs: n_ and r_ (count and references in order) of every signal, and the few means.
+
+    Rows name the signals they carry, are grouped by site and signal, then the
+    groups of a site become one map. Means are of whole units (thousandths,
+    percents), so they don't depend on the order of rows.
+    """
     signals = _signals()
-    flagged = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), _ratio().alias("ratio_value"), _coverage().alias("coverage_value"), *(p.alias(f"s_{n}") for n, p in signals.items()))
-    aggs = []
-    for n in signals:
-        on = F.coalesce(F.col(f"s_{n}"), F.lit(False))
-        aggs += [F.count_if(on).alias(f"n_{n}"), F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("ord", "id")))), lambda x: x["id"]).alias(f"r_{n}")]
-    entity = F.array_sort(F.collect_list(F.when(F.col("s_entity"), F.struct("ord", "type", "id"))))
+    carried = F.array_compact(F.array(*(F.when(p, F.lit(n)) for n, p in signals.items())))
+    rows = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.round(_ratio() * 1000).cast("long").alias("ratio"), F.round(_coverage() * 100).cast("long").alias("coverage"), F.explode(carried).alias("signal"))
+    on = lambda name, x: F.when(F.col("signal") == name, x)
+    groups = rows.groupBy("site", "signal").agg(
+        F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("refs"),
+        F.sum(F.coalesce(on("ratio", F.col("ratio")), on("measured", F.col("coverage")))).alias("total"), F.collect_set(on("canonical", F.col("source_url"))).alias("urls"),
+        F.array_sort(F.collect_list(on("entity", F.struct("ord", "type", "id")))).alias("entities"),
+    )
+    by_site = groups.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "refs", "total", "urls", "entities")))).alias("s"))
+    none = F.array().cast("array<string>")
+    got = lambda name: F.try_element_at("s", F.lit(name))
     first = F.aggregate(
-        entity, F.struct(F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<string>)").alias("ids")),
+        F.coalesce(got("entity")["entities"], F.expr("cast(array() as array<struct<ord:bigint,type:string,id:string>>)")), F.struct(none.alias("types"), none.alias("ids")),
         lambda a, e: F.when(F.array_contains(a["types"], e["type"]), a).otherwise(F.struct(F.concat(a["types"], F.array(e["type"])).alias("types"), F.concat(a["ids"], F.array(e["id"])).alias("ids"))),
     )
-    aggs += [F.count_distinct(F.when(F.col("s_canonical"), F.col("source_url"))).alias("canonical_pages"), _exact_mean("s_ratio", "ratio_value", 1000).alias("mean_ratio"), _exact_mean("s_measured", "coverage_value", 100).alias("mean_coverage"), first.alias("entity")]
-    by_site = flagged.groupBy("site").agg(*aggs)
-    out = inputs.join(by_site, "site", "left")
-    none = F.array().cast("array<string>")
-    zero = {f"n_{n}": F.coalesce(f"n_{n}", F.lit(0)) for n in signals} | {f"r_{n}": F.coalesce(f"r_{n}", none) for n in signals}
-    zero |= {"canonical_pages": F.coalesce("canonical_pages", F.lit(0)), "entity_types": F.coalesce("entity.types", none), "entity_refs": F.coalesce("entity.ids", none)}
-    return out.withColumns(zero).drop("entity")
+    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in signals} | {f"r_{n}": F.coalesce(got(n)["refs"], none) for n in signals}
+    cols |= {"canonical_pages": F.coalesce(F.size(got("canonical")["urls"]), F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100), "entity": first}
+    out = inputs.join(by_site, "site", "left").withColumns(cols)
+    return out.withColumns({"canonical_pages": F.greatest("canonical_pages", F.lit(0)), "entity_types": F.col("entity.types"), "entity_refs": F.col("entity.ids")}).drop("entity", "s")
 
 
 def check_results(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
