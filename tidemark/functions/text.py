@@ -159,8 +159,8 @@ def safe_identifier(x: Column, fallback: str = "field") -> Column:
 
 def tool_prefix(domain: Column) -> Column:
     s = F.substring_index(F.lower(domain), ":", 1)
-    for suffix in TOOL_SUFFIXES:
-        s = F.when(s.endswith(suffix), F.left(s, F.length(s) - len(suffix))).otherwise(s)
+    for suffix in TOOL_SUFFIXES:  # one reference a step keeps the expression linear
+        s = F.regexp_replace(s, suffix.replace(".", r"\.") + r"\z", "")
     s = F.regexp_replace(F.regexp_replace(F.replace(s, F.lit("www."), F.lit("")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(s == "", "site").otherwise(s)
 
