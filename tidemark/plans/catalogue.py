@@ -1,6 +1,6 @@
 """All registered queries of the library with their DuckDB counterparts."""
 
-from . import derived_queries, page_queries
+from . import artifact_queries, derived_queries, page_queries
 
-QUERIES = page_queries.Q | derived_queries.Q
-ORACLES = page_queries.O | derived_queries.O
+QUERIES = page_queries.Q | derived_queries.Q | artifact_queries.Q
+ORACLES = page_queries.O | derived_queries.O | artifact_queries.O

@@ -146,11 +146,13 @@ def evidence_id_hash(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT source AS site, doc_id AS ord, lang AS kind, substr(sha256(source || '|' || lang || '|' || '' || '|' || trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 16) AS id, length(text) AS n FROM documents WHERE length(text) <= 4000),
+WITH t AS (SELECT source, doc_id, lang, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents),
+c AS (SELECT source, doc_id, lang, CASE WHEN length(s) > 4000 THEN left(s, 4000) || chr(10) || '…[truncated, ' || length(s) || ' chars total]' ELSE s END AS raw FROM t),
+e AS (SELECT source AS site, doc_id AS ord, lang AS kind, substr(sha256(source || '|' || lang || '||' || raw), 1, 16) AS id FROM c WHERE raw <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY site, id ORDER BY ord) AS i FROM e)
 SELECT site, ord, kind, id FROM r WHERE i = 1""")
 def evidence_dedup_keep_first(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") <= 4000)
+    d = table(spark, sf, "documents")
     rows = d.select(F.col("source").alias("site"), F.col("doc_id").alias("ord"), F.col("source").alias("source_url"), F.col("lang").alias("kind"), F.lit(None).cast("string").alias("selector"), F.col("text").alias("raw"), F.lit("pre_js").alias("phase"))
     return evidence.keep_first(evidence.identified(rows)).select("site", "ord", "kind", "id")
 
