@@ -32,7 +32,7 @@ from .suffix_dedup import Roller
 WORDS = 5
 #: Frequent: in more sets than RARE. COMBINED tokens share a key; MANY frequent prefix tokens are indexed singly.
 RARE, COMBINED, MANY = 16, 2, 12
-BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
+BLOCK_BYTES, SLICE = 8 << 20, 512 << 10
 #: Words of 64 bits in a set's parity bitmap: sets differ by at least as many tokens as their bitmaps by bits.
 BITMAP = 8
 #: Hash values by which documents are chosen for verification; it bounds what is broadcast.
@@ -152,7 +152,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         from pyspark import TaskContext
 
         roller, part, block = Roller(), TaskContext.get().partitionId(), 0
-        ids, null, tags, sizes, names, owner, token, held, docs_ = [], [], [], [], [], [], [], 0, 0
+        ids, null, tags, sizes, names, parity, owner, token, held, docs_ = [], [], [], [], [], [], [], [], 0, 0
 
         def flush():
             name, n = np.concatenate(names), np.concatenate(sizes)
@@ -160,7 +160,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             nodes, first, inverse = np.unique(name, return_index=True, return_inverse=True)
             lead = np.zeros(len(name), bool)
             lead[first] = True
-            bits = bitmaps(np.r_[0, np.cumsum(n)], h)[first]
+            bits = np.concatenate(parity)[first]
             keep = lead[d]
             d, h = inverse[d[keep]].astype(np.uint32), h[keep]
             fp = (h >> np.uint64(32)).astype(np.uint32)
@@ -168,6 +168,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             del h, keep
             s = np.lexsort((d, fp, home))
             d, fp, home = d[s], fp[s], home[s]
+            del s
             once = np.ones(len(d), bool)
             once[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1]) | (home[1:] != home[:-1])
             d, fp, home = d[once], fp[once], home[once]
@@ -192,13 +193,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 null.append(missing[i:j])
                 sizes.append(n)
                 names.append(name)
+                parity.append(bitmaps(np.r_[0, np.cumsum(n)], h))
                 owner.append((d + docs_).astype(np.uint32))
                 token.append(h)
                 docs_ += j - i
                 held += int(off[j] - off[i])
                 if held >= BLOCK_BYTES:
                     yield flush()
-                    ids, null, tags, sizes, names, owner, token, held, docs_, block = [], [], [], [], [], [], [], 0, 0, block + 1
+                    ids, null, tags, sizes, names, parity, owner, token, held, docs_, block = [], [], [], [], [], [], [], [], 0, 0, block + 1
+                    pa.default_memory_pool().release_unused()
         if docs_:
             yield flush()
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 from .jaccard_join import Roller
 
-FEATURES, BINS, SLICE = 256, 1024, 1 << 20
+FEATURES, BINS, SLICE = 256, 1024, 256 << 10
 #: Labels are learnt where crc32(key as text) mod FOLDS is not 0; the last fold calibrates.
 FOLDS = 5
 NAMES = (
