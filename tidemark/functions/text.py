@@ -8,8 +8,11 @@ SPACE = r"[\s\x{a0}\x{1c}-\x{1f}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 RAW_LIMIT = 4000
 
 
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def collapsed(x: Column) -> Column:
@@ -23,7 +26,10 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def truncated_raw(x: Column) -> Column:
     """Evidence text: stripped, and beyond RAW_LIMIT characters cut with a note of the whole length."""
-    s = stripped(x)
+    return cut_raw(stripped(x))
+
+
+def cut_raw(s: Column) -> Column:
     note = F.concat(F.lit("\n…[truncated, "), F.length(s).cast("string"), F.lit(" chars total]"))
     return F.when(F.length(s) > RAW_LIMIT, F.concat(F.left(s, F.lit(RAW_LIMIT)), note)).otherwise(s)
 

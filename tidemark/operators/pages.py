@@ -24,13 +24,12 @@ def tag_count(html: Column, tag: str) -> Column:
     return F.regexp_count(html, F.lit(rf"(?i)<{tag}(?=[\s>/])"))
 
 
-def rendering(pre: Column, post: Column) -> Column:
-    """selector, ratio (3 digits, half even) and verdict of the text that needs no JavaScript."""
-    a, b = F.length(T.meaningful_text(pre)), F.length(T.meaningful_text(post))
-    ratio = a / F.when(b >= 200, b)
-    selector = F.when(T.stripped(post) == "", "rendering#unavailable").when(b < 200, "rendering#insufficient-content").otherwise("rendering#delta")
+def rendering(pre_chars: Column, post_chars: Column, hydrated: Column) -> Column:
+    """selector, ratio (3 digits, half even) and verdict from the lengths of meaningful text before and after JavaScript."""
+    ratio = pre_chars / F.when(post_chars >= 200, post_chars)
+    selector = F.when(~hydrated, "rendering#unavailable").when(post_chars < 200, "rendering#insufficient-content").otherwise("rendering#delta")
     verdict = F.when(ratio >= 0.9, "server-rendered").when(ratio >= 0.5, "partially server-rendered").when(ratio >= 0.15, "mostly hydration-dependent").when(ratio.isNotNull(), "hydration-only")
-    return F.struct(selector.alias("selector"), F.when(selector == "rendering#delta", T.half_even(ratio, 3)).alias("ratio"), F.when(selector == "rendering#delta", verdict).alias("verdict"), a.alias("pre_chars"), b.alias("post_chars"))
+    return F.struct(selector.alias("selector"), F.when(selector == "rendering#delta", T.half_even(ratio, 3)).alias("ratio"), F.when(selector == "rendering#delta", verdict).alias("verdict"))
 
 
 def landmarks(html: Column) -> Column:
@@ -117,16 +116,19 @@ def is_page_url(url: Column) -> Column:
     return F.arrays_overlap(F.transform(query_keys(url), F.lower), F.array(*map(F.lit, P.PAGE_QUERY_KEYS))) | T.url_path(url).rlike(P.PAGE_PATH)
 
 
-def pagination(captures: DataFrame) -> DataFrame:
-    """site, final_url and the pagination selectors of every capture."""
-    html = F.col("html")
+def pagination_selectors(html: Column, page_url: Column) -> Column:
+    """The pagination selectors that a page has; pagination#none if there are none."""
     rel = html.rlike(r"(?is)<(link|a)\b[^>]*\brel\s*=\s*[\"']?[^\"'>]*(next|prev)[^>]*>")
     hrefs = F.transform(F.regexp_extract_all(html, F.lit(HREF), 1), T.stripped)
-    numbered = F.exists(F.filter(hrefs, lambda h: (h != "") & ~h.rlike("(?i)^(#|javascript:)")), lambda h: is_page_url(absolute(h, F.col("final_url"))))
+    numbered = F.exists(F.filter(hrefs, lambda h: (h != "") & ~h.rlike("(?i)^(#|javascript:)")), lambda h: is_page_url(absolute(h, page_url)))
     scroll = F.left(html, F.lit(400_000)).rlike(P.INFINITE_SCROLL)
-    found = F.array_compact(F.array(F.when(rel, "pagination#rel"), F.when(numbered, "pagination#crawlable-urls"), F.when(scroll, "pagination#infinite-scroll")))
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("pagination#none")))
-    return captures.select("site", "final_url", F.explode(found).alias("selector"))
+    found = F.array_compact(F.array(F.when(rel, "pagination#rel"), F.when(numbered, "pagination#crawlable-urls"), F.when(scroll, "pagination#infinite-scroll"), F.lit("pagination#none")))
+    return F.when(F.size(found) > 1, F.filter(found, lambda x: x != "pagination#none")).otherwise(found)
+
+
+def pagination(captures: DataFrame) -> DataFrame:
+    """site, final_url and the pagination selectors of every capture."""
+    return captures.select("site", "final_url", F.explode(pagination_selectors(F.col("html"), F.col("final_url"))).alias("selector"))
 
 
 def url_pattern(path: Column) -> Column:

@@ -198,7 +198,7 @@ def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
     """
     signals = _signals()
     carried = F.array_compact(F.array(*(F.when(p, F.lit(n)) for n, p in signals.items())))
-    rows = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.round(_ratio() * 1000).cast("long").alias("ratio"), F.round(_coverage() * 100).cast("long").alias("coverage"), F.explode(carried).alias("signal"))
+    rows = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).alias("ratio"), F.when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long")).alias("coverage"), F.explode(carried).alias("signal"))
     on = lambda name, x: F.when(F.col("signal") == name, x)
     groups = rows.groupBy("site", "signal").agg(
         F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("refs"),

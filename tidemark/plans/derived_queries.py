@@ -177,7 +177,7 @@ ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, id ORDER B
 
 
 def _evidence(spark, sf):
-    return evidence.keep_first(evidence.identified(derived(spark, sf, EVIDENCE_SQL, "lineitem")))
+    return evidence.keep_first(evidence.identified(captures.spread(derived(spark, sf, EVIDENCE_SQL, "lineitem"))))
 
 
 def _inputs(spark, sf):

@@ -10,23 +10,23 @@ from ..sources import captures
 
 def page_evidence(found: DataFrame) -> DataFrame:
     """Evidence of every capture by the native detectors: one narrow pass over the pages, then keep-first by id."""
-    html, url = F.col("html"), F.col("final_url")
-    text = T.meaningful_text(html)
-    injected = F.transform(pages.injection_matches(text), lambda p: pages.row("injection", F.concat(F.lit("injection#"), p, F.lit("#visible_text")), F.concat(F.lit("category: "), pages.injection_category(p))))
-    injected = F.when(F.size(injected) > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in visible text.")))
+    html, url, text = F.col("html"), F.col("final_url"), F.col("_text")
+    ok = captures.spread(found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)))
+    # what several rows need is computed once, in projections of its own
+    ok = ok.withColumn("_text", T.meaningful_text(html)).withColumn("_injected", pages.injection_matches(text)).withColumns({"_canonical": pages.canonical(html, F.col("headers")), "_headings": pages.headings(html), "_chars": F.length(text)})
+    injected = F.transform("_injected", lambda p: pages.row("injection", F.concat(F.lit("injection#"), p, F.lit("#visible_text")), F.concat(F.lit("category: "), pages.injection_category(p))))
+    injected = F.when(F.size("_injected") > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in visible text.")))
     rows = F.concat(
         F.array(
-            pages.canonical(html, F.col("headers")), pages.row("dom", "semantics#landmarks", pages.landmarks(html)), pages.row("dom", "semantics#headings", pages.headings(html)),
-            pages.row("rendering", "rendering#unavailable", F.concat(F.lit("pre-JS meaningful text: "), F.length(text).cast("string"), F.lit(" chars"))),
+            F.col("_canonical"), pages.row("dom", "semantics#landmarks", pages.landmarks(html)), pages.row("dom", "semantics#headings", F.col("_headings")),
+            pages.row("rendering", "rendering#unavailable", F.concat(F.lit("pre-JS meaningful text: "), F.col("_chars").cast("string"), F.lit(" chars"))),
             pages.row("header", pages.interstitial(html, F.col("headers"), F.col("status")), F.lit("Checked for interstitial markers.")),
         ),
         injected,
+        F.transform(pages.pagination_selectors(html, url), lambda x: pages.row("pagination", x, x)),
     )
-    ok = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299))
     spread = ok.select("site", "page_ord", url.alias("source_url"), F.posexplode(rows).alias("seq", "e"))
-    paged = pages.pagination(ok.select("site", "final_url", "html", "page_ord")).join(ok.select("site", F.col("final_url"), "page_ord"), ["site", "final_url"])
-    paged = paged.select("site", "page_ord", F.col("final_url").alias("source_url"), F.lit(100).alias("seq"), F.struct(F.lit("pagination").alias("kind"), "selector", F.col("selector").alias("raw"), F.lit("pre_js").alias("phase")).alias("e"))
-    every = spread.unionByName(paged).withColumn("ord", F.col("page_ord") * 1000 + F.col("seq"))
+    every = spread.select("site", "page_ord", "source_url", "seq", "e").withColumn("ord", F.col("page_ord") * 1000 + F.col("seq"))
     return evidence.keep_first(evidence.identified(every.select("site", "ord", "source_url", "e.*")))
 
 

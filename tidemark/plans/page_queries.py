@@ -140,7 +140,7 @@ WITH t AS (SELECT doc_id, source, lang, trim(text, ' ' || chr(9) || chr(10) || c
 r AS (SELECT doc_id, source, lang, CASE WHEN length(s) > 4000 THEN left(s, 4000) || chr(10) || '…[truncated, ' || length(s) || ' chars total]' ELSE s END AS raw FROM t)
 SELECT doc_id, length(raw)::INTEGER AS raw_chars, substr(sha256('https://' || source || '/' || '|' || 'text' || '|' || CASE WHEN lang = 'en' THEN '' ELSE 'document#' || lang END || '|' || raw), 1, 16) AS id FROM r WHERE raw <> ''""")
 def evidence_id_hash(spark, sf):
-    d = table(spark, sf, "documents")
+    d = captures.spread(table(spark, sf, "documents"))
     rows = d.select("doc_id", F.col("source").alias("site"), F.col("doc_id").alias("ord"), F.concat(F.lit("https://"), "source", F.lit("/")).alias("source_url"), F.lit("text").alias("kind"), F.when(F.col("lang") != "en", F.concat(F.lit("document#"), "lang")).alias("selector"), F.col("text").alias("raw"), F.lit("pre_js").alias("phase"))
     return evidence.identified(rows).select("doc_id", F.length("raw").alias("raw_chars"), "id")
 
@@ -152,7 +152,7 @@ e AS (SELECT source AS site, doc_id AS ord, lang AS kind, substr(sha256(source |
 r AS (SELECT *, row_number() OVER (PARTITION BY site, id ORDER BY ord) AS i FROM e)
 SELECT site, ord, kind, id FROM r WHERE i = 1""")
 def evidence_dedup_keep_first(spark, sf):
-    d = table(spark, sf, "documents")
+    d = captures.spread(table(spark, sf, "documents"))
     rows = d.select(F.col("source").alias("site"), F.col("doc_id").alias("ord"), F.col("source").alias("source_url"), F.col("lang").alias("kind"), F.lit(None).cast("string").alias("selector"), F.col("text").alias("raw"), F.lit("pre_js").alias("phase"))
     return evidence.keep_first(evidence.identified(rows)).select("site", "ord", "kind", "id")
 
@@ -172,7 +172,8 @@ FROM l""")
 def rendering_delta(spark, sf):
     p, half = table(spark, sf, "pages"), F.expr("left(html, length(html) div 2)")
     pre = F.when(F.col("page_id") % 3 == 0, half).when(F.col("page_id") % 3 == 1, F.col("html")).otherwise(F.left("html", F.lit(700)))
-    return p.select("page_id", pages.rendering(pre, F.col("html")).alias("r")).select("page_id", "r.selector", "r.ratio", "r.verdict")
+    chars = captures.spread(p).select("page_id", F.length(T.meaningful_text(pre)).alias("a"), F.length(T.meaningful_text(F.col("html"))).alias("b"), (T.stripped(F.col("html")) != "").alias("h"))
+    return chars.select("page_id", pages.rendering(F.col("a"), F.col("b"), F.col("h")).alias("r")).select("page_id", "r.selector", "r.ratio", "r.verdict")
 
 
 @query(f"SELECT page_id, 'Landmark elements: ' || {_LANDMARKS} AS landmarks FROM pages")
@@ -285,14 +286,14 @@ _FOUND = ", ".join(f"CASE WHEN regexp_matches(t, '{_re2(p)}', 'is') THEN '{n}' E
 WITH d AS (SELECT doc_id, {_PLANTED} AS t FROM documents), m AS (SELECT doc_id, unnest(list_filter([{_FOUND}], lambda x: x IS NOT NULL)) AS pattern FROM d WHERE length(trim(t)) >= 12)
 SELECT doc_id, pattern FROM m""")
 def injection_scan_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(pages.injection_matches(_planted())).alias("pattern"))
+    return captures.spread(table(spark, sf, "documents")).select("doc_id", _planted().alias("t")).select("doc_id", F.explode(pages.injection_matches(F.col("t"))).alias("pattern"))
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, {_PLANTED} AS t FROM documents), m AS (SELECT unnest(list_filter([{_FOUND}], lambda x: x IS NOT NULL)) AS p FROM d WHERE length(trim(t)) >= 12)
 SELECT CASE p {' '.join(f"WHEN '{n}' THEN '{c}'" for n, c, _, _ in P.INJECTION)} END AS category, count(*) AS n FROM m GROUP BY 1""")
 def injection_categories(spark, sf):
-    found = table(spark, sf, "documents").select(F.explode(pages.injection_matches(_planted())).alias("p"))
+    found = captures.spread(table(spark, sf, "documents")).select(_planted().alias("t")).select(F.explode(pages.injection_matches(F.col("t"))).alias("p"))
     return found.groupBy(pages.injection_category(F.col("p")).alias("category")).agg(F.count("*").alias("n"))
 
 

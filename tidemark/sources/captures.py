@@ -8,6 +8,12 @@ from ..functions import text as T
 CAPTURES = "site string, page_ord int, url string, final_url string, status int, headers map<string,string>, html string, pre_html string, mode string, fetch_error string, robots_blocked boolean"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: small inputs in few files are dealt out before costly expressions, larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Captures without a browser from (page_id, url, html): the host is the site, pages are in order of page_id."""
     site = T.normalised_domain(F.col("url"))
