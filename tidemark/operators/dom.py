@@ -150,7 +150,7 @@ def _items(page: Page) -> list[tuple]:
 def parsed(captures: DataFrame, html: str = "html") -> DataFrame:
     """Adds what the structure of each page shows: forms, image counts, text blocks for injection scans, microdata. Pages over the size limit get nulls."""
     names = captures.columns
-    kept = captures.withColumn("_html", F.when(F.length(html) <= P.MAX_HTML, F.coalesce(F.col(html), F.lit(""))))
+    kept = captures.withColumn("_html", F.when(F.coalesce(F.length(html), F.lit(0)) <= P.MAX_HTML, F.coalesce(F.col(html), F.lit(""))))
     fields = captures.sparkSession.createDataFrame([], KIND).schema
 
     def read(batches):
