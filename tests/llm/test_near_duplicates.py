@@ -248,6 +248,19 @@ def test_mix_meets_targets(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_mix_fills_room_beside_a_long_document(spark):
+    from tidemark.llm.mixing import mix
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), "a") for i in range(2000)] + [(5000, " ".join(["w"] * 11900), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed, share in ((21, (3, 5)), (48, (3, 10))):  # the long document doesn't fit, in a bucket before the last
+        out = mix(df, share=share, seed=seed).collect()
+        room = int(out[0].target) - sum(r.taken for r in out)
+        assert len(out) == len(rows) and 0 <= room <= 0.05 * out[0].target
+        assert all(r.size > room for r in out if r.copies == 0)
+
+
 def test_archive_round_trip(spark, tmp_path):
     from tidemark.llm import archive
 

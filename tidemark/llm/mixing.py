@@ -6,7 +6,8 @@ others by weight, until none is above. A source's epochs are then whole
 repetitions of all its documents and a seeded part of them: documents are dealt
 to hash buckets of about ``BUCKET`` rows, buckets are taken whole in order while
 they fit, and in the one bucket that doesn't fit documents are taken in hash
-order while they fit. So no sort spans a source.
+order while they fit. Room that is left goes to the documents not taken that fit
+in it, dealt anew, until none fits. So no sort spans a source.
 """
 
 from functools import reduce
@@ -63,6 +64,40 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: tuple[int, int]
     return ranked.withColumn("target", target)
 
 
+def _fill(rows: DataFrame, first: bool) -> DataFrame:
+    """Adds extra: whether a row (rank, h, uid, size, room, n of its source's rows) is taken into what room its source has.
+
+    After the first time documents above half the room wait while there are
+    smaller ones in several buckets. A bucket that doesn't fit then leaves less
+    than half the room, and if all fit, one that waited fills it: rounds are at
+    most as many as the room has bits, and one.
+    """
+    names = rows.columns
+    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / BUCKET)))
+    sums = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0))
+    steps = rows.groupBy("rank", "bucket").agg(sums(F.col("size") <= F.col("room")).alias("all"), sums(F.col("size") * 2 <= F.col("room")).alias("small"), F.first("room").alias("budget"), F.first("n").alias("m"))
+    one = Window.partitionBy("rank")
+    waits = F.lit(False) if first else (F.sum("small").over(one) > 0) & (F.col("m") > BUCKET)
+    steps = steps.withColumn("waits", waits).withColumn("b", F.when(F.col("waits"), F.col("small")).otherwise(F.col("all")))
+    steps = steps.withColumn("upto", F.sum("b").over(one.orderBy("bucket"))).withColumn("over", F.when(F.col("upto") > F.col("budget"), F.col("bucket")))
+    steps = steps.withColumn("cut", F.min("over").over(one)).select("rank", "bucket", "waits", F.when(F.col("bucket") < F.coalesce(F.col("cut"), F.col("bucket") + 1), F.lit(1)).when(F.col("bucket") > F.col("cut"), F.lit(0)).alias("in"), (F.col("budget") - F.col("upto") + F.col("b")).alias("left"))
+    joined = rows.join(steps, ["rank", "bucket"])
+    fits = F.col("size") * F.when(F.col("waits"), F.lit(2)).otherwise(F.lit(1)) <= F.col("room")
+    joined = joined.withColumn("in", F.when(fits, F.col("in")).otherwise(F.lit(0)))
+    sure = joined.where(F.col("in").isNotNull()).select(*names, F.col("in").alias("extra"))
+    # documents of a boundary bucket: some BUCKET rows by the choice of buckets
+    order = ["h", "id", "size", "uid"]
+    edge = joined.where(F.col("in").isNull()).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in names if c not in (*order, "rank"))))).alias("rows"), F.first("left").alias("left"))
+    start = F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<int>)").alias("taken"))
+
+    def step(acc: Column, row: Column) -> Column:
+        fits = row["size"] <= acc["left"]
+        return F.struct(F.when(fits, acc["left"] - row["size"]).otherwise(acc["left"]).alias("left"), F.concat(acc["taken"], F.array(fits.cast("int"))).alias("taken"))
+
+    edge = edge.withColumn("taken", F.aggregate("rows", start, step)["taken"]).select("rank", F.explode(F.arrays_zip("rows", "taken")).alias("z"))
+    return sure.unionByName(edge.select("rank", *(F.col(f"z.rows.{c}").alias(c) for c in names if c != "rank"), F.col("z.taken").alias("extra")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 17, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Per row of docs: key, source, size, source_size, target, copies (times the mix takes it) and taken (words).
 
@@ -79,28 +114,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
     aims = scratch.stage(targets(sums, weights, share, max_epochs), "targets").withColumnRenamed("source", "s")
     few = aims.count() <= BROADCAST_SOURCES
     per = sized.join(F.broadcast(aims) if few else aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    per = per.withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / BUCKET)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    per = per.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    steps = per.groupBy("rank", "bucket").agg(F.sum("size").alias("b"), F.first("rest").alias("budget"))
-    upto = Window.partitionBy("rank").orderBy("bucket")
-    steps = steps.withColumn("upto", F.sum("b").over(upto)).withColumn("over", F.when(F.col("upto") > F.col("budget"), F.col("bucket")))
-    steps = steps.withColumn("cut", F.min("over").over(Window.partitionBy("rank"))).select("rank", "bucket", F.when(F.col("bucket") < F.coalesce(F.col("cut"), F.col("bucket") + 1), F.lit(1)).when(F.col("bucket") > F.col("cut"), F.lit(0)).alias("in"), (F.col("budget") - F.col("upto") + F.col("b")).alias("room"))
-    joined = per.join(steps, ["rank", "bucket"])
-    cols = ["id", "source", "size", "source_size", "target", "whole"]
-    sure = joined.where(F.col("in").isNotNull()).select(*cols, F.col("in").alias("extra"))
-    # documents of a boundary bucket: some BUCKET rows by the choice of buckets
-    rows = F.sort_array(F.collect_list(F.struct("h", "id", "size", "uid", "source", "source_size", "target", "whole")))
-    edge = joined.where(F.col("in").isNull()).groupBy("rank").agg(rows.alias("rows"), F.first("room").alias("room"))
-    start = F.struct(F.col("room").alias("left"), F.expr("cast(array() as array<int>)").alias("taken"))
-
-    def step(acc: Column, row: Column) -> Column:
-        fits = row["size"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - row["size"]).otherwise(acc["left"]).alias("left"), F.concat(acc["taken"], F.array(fits.cast("int"))).alias("taken"))
-
-    edge = edge.withColumn("taken", F.aggregate("rows", start, step)["taken"]).select(F.explode(F.arrays_zip("rows", "taken")).alias("z"))
-    edge = edge.select(*(F.col(f"z.rows.{c}").alias(c) for c in cols), F.col("z.taken").alias("extra"))
-    out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    per = per.withColumn("whole", whole).withColumn("room", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    rows, settled = per, None
+    while True:
+        judged = scratch.stage(_fill(rows, first=settled is None), "filled")
+        spent = scratch.stage(judged.groupBy("rank").agg(F.sum(F.col("size") * F.col("extra")).alias("spent")).withColumnRenamed("rank", "r"), "spent")
+        judged = judged.join(F.broadcast(spent) if few else spent, F.col("rank") == F.col("r")).withColumn("now", F.col("room") - F.col("spent")).drop("r", "spent")
+        waiting = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("now"))
+        done, left = judged.where(~waiting), judged.where(waiting).withColumn("room", F.col("now")).drop("n", "now", "extra")
+        settled = done if settled is None else settled.unionByName(done)
+        counts = left.groupBy("rank").agg(F.count("*").alias("n")).withColumnRenamed("rank", "r")
+        rows = scratch.stage(left.join(F.broadcast(counts) if few else counts, F.col("rank") == F.col("r")).drop("r"), "left")
+        if not rows.limit(1).count():
+            break
+    out = settled.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     return out.select(F.col("id").alias(key), F.col("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
