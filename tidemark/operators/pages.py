@@ -13,6 +13,7 @@ from ..functions import text as T
 
 LANDMARKS = ("main", "article", "nav", "header", "footer", "aside", "section")
 HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
+ANCHOR = HREF.replace("([^", "(?:[^") + r"[^>]*>?(?:(?!<a\b|</a).){0,300}"
 
 
 def row(kind: str, selector: Column | str, raw: Column | str, phase: Column | str = "pre_js") -> Column:
@@ -106,6 +107,15 @@ def links(captures: DataFrame) -> DataFrame:
     return found.withColumn("url", absolute(F.col("href"), F.col("page_url")))
 
 
+def labelled_links(captures: DataFrame) -> DataFrame:
+    """links with site, page_ord and label, the text of the anchor (of its first 300 characters)."""
+    found = captures.select("site", "page_ord", F.col("final_url").alias("page_url"), F.posexplode(F.regexp_extract_all("html", F.lit(f"({ANCHOR})"), 1)).alias("ord", "a"))
+    inside = F.regexp_replace(F.regexp_extract("a", r"(?s)^[^>]*>(.*)$", 1), r"<[^>]*>?", " ")
+    found = found.select("site", "page_ord", "page_url", "ord", T.stripped(F.regexp_extract("a", HREF, 1)).alias("href"), T.collapsed(inside).alias("label"))
+    found = found.where((F.col("href") != "") & ~F.col("href").rlike("(?i)^(#|mailto:|tel:|javascript:)"))
+    return found.withColumn("url", absolute(F.col("href"), F.col("page_url")))
+
+
 def query_keys(url: Column) -> Column:
     """Keys of a URL's query that have a value."""
     pairs = F.filter(F.split(T.url_query(url), "&"), lambda p: p.rlike("^[^=]+=.+"))

@@ -26,6 +26,7 @@ REQUIRED = {
 COVERAGE_TYPES = ("Product", "Service", "Offer", "Event", "FAQPage", "OpeningHoursSpecification")
 SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script\s*>"
 DEPTH = 6
+NODES = "array<struct<types:array<string>,node:string>>"
 
 
 def scripts(html: Column) -> Column:
@@ -36,39 +37,55 @@ def bare_type(x: Column) -> Column:
     return F.substring_index(F.substring_index(x, "/", -1), "#", -1)
 
 
+def _nodes(text: str | None) -> list[tuple]:
+    try:
+        root = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return []
+    out = []
+
+    def visit(x, depth):
+        if depth > DEPTH:
+            return
+        if isinstance(x, dict):
+            t = x.get("@type")
+            names = [str(y).rsplit("/", 1)[-1].rsplit("#", 1)[-1] for y in (t if isinstance(t, list) else [t]) if y]
+            out.append((names or ["untyped"], json.dumps(x, indent=2, ensure_ascii=False)))
+            for k, y in x.items():
+                if k != "@context":
+                    visit(y, depth + 1)
+        elif isinstance(x, list):
+            for y in x:
+                visit(y, depth + 1)
+
+    visit(root, 0)
+    return out
+
+
+def entities(payloads: Column) -> Column:
+    """Of an array of JSON documents: all objects as walk gives them, and type with the first object of each; "untyped" only if none has a type."""
+
+    @F.udf(f"struct<nodes:{NODES},typed:array<struct<type:string,node:string>>>")
+    def read(texts):
+        nodes = [n for t in texts or () for n in _nodes(t)]
+        typed = {}
+        for names, node in nodes:
+            for name in names:
+                typed.setdefault(name, node)
+        if len(typed) > 1:
+            typed.pop("untyped", None)
+        return nodes, list(typed.items())
+
+    return read(payloads)
+
+
 def walk(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Every object of a JSON document to depth 6, document order kept: adds depth_ord, types (bare), node (JSON text, two blanks of indent).
 
     Documents that don't parse give nothing. Objects without @type have the
     one type "untyped".
     """
-    kind = "array<struct<types:array<string>,node:string>>"
-
-    @F.udf(kind)
-    def nodes(text):
-        try:
-            root = json.loads(text)
-        except (TypeError, ValueError):
-            return []
-        out = []
-
-        def visit(x, depth):
-            if depth > DEPTH:
-                return
-            if isinstance(x, dict):
-                t = x.get("@type")
-                names = [str(y).rsplit("/", 1)[-1].rsplit("#", 1)[-1] for y in (t if isinstance(t, list) else [t]) if y]
-                out.append((names or ["untyped"], json.dumps(x, indent=2, ensure_ascii=False)))
-                for k, y in x.items():
-                    if k != "@context":
-                        visit(y, depth + 1)
-            elif isinstance(x, list):
-                for y in x:
-                    visit(y, depth + 1)
-
-        visit(root, 0)
-        return out
-
+    nodes = F.udf(_nodes, NODES)
     return payloads.select("*", F.posexplode(nodes(F.col(payload))).alias("depth_ord", "_n")).select("*", "_n.types", "_n.node").drop("_n")
 
 

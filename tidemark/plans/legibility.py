@@ -1,21 +1,84 @@
 """The flagship plan: pages to evidence to site scores, without a browser."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import evidence, pages, rubric
+from ..operators import artifacts, dom, evidence, pages, rubric, structured
 from ..sources import captures
 
+ROW = "array<struct<kind:string,selector:string,raw:string,phase:string>>"
+
+
+#: Rows of a page have ords from page_ord * PAGE; those from its links from LINKS on.
+PAGE, LINKS = 1_000_000, 900_000
+
+
+def _some(ok: Column, *rows: Column) -> Column:
+    return F.when(ok, F.array(*rows)).otherwise(F.array().cast(ROW))
+
+
+def _joined(x: Column, most: int) -> Column:
+    return F.left(F.array_join(x, "\n"), F.lit(most))
+
+
+def _structured_rows() -> list[Column]:
+    """Entities, identifiers, prices and availability of JSON-LD; prices and availability of microdata and RDFa too."""
+    each = lambda read: F.filter(F.flatten(F.transform("_ld.nodes", lambda n: read(n["node"]))), lambda x: x.isNotNull() & ~x.rlike(r" = \s*$"))
+    item = lambda prop: F.transform(F.filter("_items", lambda i: (F.lower(i["prop"]) == prop) & (T.stripped(i["value"]) != "")), lambda i: F.concat(i["type"], F.lit(f".{prop} = "), i["value"]))
+    price, stock = F.array_distinct(F.concat(each(structured.prices), item("price"))), F.array_distinct(F.concat(each(structured.availability), item("availability")))
+    ids = F.slice(F.array_distinct(each(structured.identifiers)), 1, 25)
+    return [
+        F.transform("_ld.typed", lambda e: pages.row("jsonld", F.concat(F.lit("jsonld#"), e["type"]), structured.entity_text(e["node"]))),
+        F.transform(ids, lambda x: pages.row("identifier", F.concat(F.lit("jsonld#"), F.substring_index(x, " = ", 1)), x)),
+        _some(F.size(price) > 0, pages.row("text", "pricing#structured-price", F.concat(F.lit("Price expressed in structured markup:\n"), _joined(price, 1500)))),
+        _some(F.size(stock) > 0, pages.row("text", "pricing#structured-availability", F.concat(F.lit("Availability expressed in structured markup:\n"), _joined(stock, 1500)))),
+    ]
+
+
+def _dom_rows() -> list[Column]:
+    """Forms and images of the shared parse; none of a page over its size limit."""
+    said = lambda f: F.concat(F.upper(f["method"]), F.lit(" form, purpose="), f["purpose"], F.lit("\n"), f["fields"].cast("string"), F.lit(" fields, "), f["named"].cast("string"), F.lit(" named, "), f["labelled"].cast("string"), F.lit(" labelled ("), f["coverage"].cast("string"), F.lit("% label coverage)"))
+    balance = F.concat(F.lit("images: "), F.col("images").cast("string"), F.lit(" total, "), F.col("content_images").cast("string"), F.lit(" judged content-bearing\nverdict: "), dom.media_verdict())
+    return [
+        F.transform("_forms", lambda f: pages.row("form", f["selector"], said(f))),
+        _some(F.coalesce(F.col("images").isNotNull(), F.lit(False)), pages.row("media", "media#text-image-balance", balance)),
+    ]
+
+
+def _link_rows(ok: DataFrame) -> DataFrame:
+    """URL patterns, identifiers in queries and API links: site, page_ord, source_url, seq, e."""
+    links = pages.labelled_links(ok)
+    page = F.struct("site", "page_ord", "page_url").alias("group")
+    own = links.where(T.url_netloc(F.col("url")) == T.url_netloc(F.col("page_url")))
+    path = T.url_path(F.col("url"))
+    patterns = pages.top_markers(own.select(page, "url", "ord", pages.url_pattern(path).alias("marker")).where("marker is not null"), "marker", 10)
+    keys = own.select(page, "url", "ord", path.alias("path"), F.explode(pages.query_keys(F.col("url"))).alias("k")).where(F.lower("k").isin(*P.ID_QUERY_KEYS))
+    queries = pages.top_markers(keys.withColumn("marker", F.concat("path", F.lit("?"), "k", F.lit("="))), "marker", 8)
+    seen = F.concat(F.lit(" on "), F.col("n").cast("string"), F.lit(" distinct link(s)."))
+    patterns = patterns.select("group", (F.col("position") + LINKS).alias("seq"), pages.row("identifier", F.concat(F.lit("url-pattern#"), "marker"), F.concat(F.lit("Stable URL pattern "), "marker", F.lit(" seen"), seen)).alias("e"))
+    queries = queries.select("group", (F.col("position") + LINKS + 100).alias("seq"), pages.row("identifier", F.concat(F.lit("url-query#"), "marker"), F.concat(F.lit("Identifier query parameter at "), "marker", seen)).alias("e"))
+    # the detector groups by site and page: here a page of a crawl
+    api = artifacts.api_links(links.withColumn("site", page))
+    api = api.select(F.col("site").alias("group"), (F.col("position") + LINKS + 200).alias("seq"), pages.row("openapi", F.col("selector"), F.concat(F.lit("API/developer link: "), "url")).alias("e"))
+    return patterns.unionByName(queries).unionByName(api).select("group.site", "group.page_ord", F.col("group.page_url").alias("source_url"), "seq", "e")
+
 
 def page_evidence(found: DataFrame) -> DataFrame:
-    """Evidence of every capture by the native detectors: one narrow pass over the pages, then keep-first by id."""
+    """Evidence of every capture by the page detectors: one pass over the pages and one over their links, then keep-first by id."""
     html, url, text = F.col("html"), F.col("final_url"), F.col("_text")
-    ok = captures.spread(found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)))
+    read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)).select("site", "page_ord", "final_url", "status", "headers", "html")
+    read = captures.spread(read)
+    ok = dom.parsed(read).withColumn("_ld", structured.entities(structured.scripts(html)))
     # what several rows need is computed once, in projections of its own
-    ok = ok.withColumn("_text", T.meaningful_text(html)).withColumn("_injected", pages.injection_matches(text)).withColumns({"_canonical": pages.canonical(html, F.col("headers")), "_headings": pages.headings(html), "_chars": F.length(text)})
-    injected = F.transform("_injected", lambda p: pages.row("injection", F.concat(F.lit("injection#"), p, F.lit("#visible_text")), F.concat(F.lit("category: "), pages.injection_category(p))))
-    injected = F.when(F.size("_injected") > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in visible text.")))
+    ok = ok.withColumns({"_text": T.meaningful_text(html), "_forms": F.coalesce("forms", F.array().cast(ok.schema["forms"].dataType)), "_items": F.coalesce("items", F.array().cast(ok.schema["items"].dataType)), "_blocks": F.coalesce(F.filter("blocks", lambda b: b["location"] != "visible_text"), F.array().cast(ok.schema["blocks"].dataType))})
+    scan = lambda x: F.concat(pages.injection_matches(x), pages.encoding_matches(x))
+    hidden = F.flatten(F.transform("_blocks", lambda b: F.transform(scan(b["text"]), lambda p: F.struct(p.alias("pattern"), b["location"].alias("location"), b["selector"].alias("at")))))
+    ok = ok.withColumn("_injected", F.concat(F.transform(scan(text), lambda p: F.struct(p.alias("pattern"), F.lit("visible_text").alias("location"), F.lit("body").alias("at"))), hidden))
+    ok = ok.withColumns({"_canonical": pages.canonical(html, F.col("headers")), "_headings": pages.headings(html), "_chars": F.length(text), "_prices": pages.rendered_prices(text), "_stock": pages.rendered_availability(text), "_rates": pages.named_headers(F.col("headers"), P.RATE_LIMIT_HEADERS), "_auth": pages.named_headers(F.col("headers"), P.AUTH_HEADERS)})
+    injected = F.transform("_injected", lambda p: pages.row("injection", F.concat(F.lit("injection#"), p["pattern"], F.lit("#"), p["location"]), F.concat(F.lit("category: "), pages.injection_category(p["pattern"]), F.when(p["location"] == "visible_text", "").otherwise(F.concat(F.lit("\nat: "), p["at"])))))
+    injected = F.when(F.size("_injected") > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in readable regions.")))
     rows = F.concat(
         F.array(
             F.col("_canonical"), pages.row("dom", "semantics#landmarks", pages.landmarks(html)), pages.row("dom", "semantics#headings", F.col("_headings")),
@@ -24,9 +87,15 @@ def page_evidence(found: DataFrame) -> DataFrame:
         ),
         injected,
         F.transform(pages.pagination_selectors(html, url), lambda x: pages.row("pagination", x, x)),
+        *_structured_rows(), *_dom_rows(),
+        _some(F.size("_prices") > 0, pages.row("text", "pricing#rendered-price", F.concat(F.lit("Prices in rendered text: "), _joined(F.col("_prices"), 600)))),
+        _some(F.size("_stock") > 0, pages.row("text", "pricing#rendered-availability", F.concat(F.lit("Availability in rendered text: "), _joined(F.col("_stock"), 400)))),
+        F.transform(pages.governance(url, text), lambda x: pages.row("text", x, F.concat(F.lit("Page scanned for terms: "), F.col("_chars").cast("string"), F.lit(" chars")))),
+        _some(F.size("_rates") > 0, pages.row("header", "header#rate-limit", _joined(F.col("_rates"), 1500))),
+        _some(F.size("_auth") > 0, pages.row("header", "header#auth", _joined(F.col("_auth"), 1500))),
     )
     spread = ok.select("site", "page_ord", url.alias("source_url"), F.posexplode(rows).alias("seq", "e"))
-    every = spread.select("site", "page_ord", "source_url", "seq", "e").withColumn("ord", F.col("page_ord") * 1000 + F.col("seq"))
+    every = spread.unionByName(_link_rows(read)).withColumn("ord", F.col("page_ord").cast("long") * PAGE + F.col("seq"))
     return evidence.keep_first(evidence.identified(every.select("site", "ord", "source_url", "e.*")))
 
 
