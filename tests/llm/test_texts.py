@@ -116,6 +116,21 @@ def test_secret_spans_equal_brute_force(spark):
     assert out[2] == "[secret] é𝒳 [secret]'" and out[None] is None
 
 
+def test_random_tokens_of_letters_and_of_one_case(spark):
+    from tidemark.llm.secrets import secret_spans
+
+    rng = random.Random(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + digits, (lower + digits).upper(), lower + "234567", lower, lower.upper(), lower + lower.upper()]
+    tokens = ["".join(rng.choices(alphabets[i % 6], k=128)) for i in range(180)]
+    words = "the of and water report between station garden people information number little through kitchen another".split()
+    plain = ["".join(rng.choices(words, k=20)) + ("" if i % 2 else str(rng.randrange(10**6))) for i in range(180)]
+    df = spark.createDataFrame(list(enumerate(f"see {t} there" for t in tokens + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_spans(df).collect()}
+    found = [sum(got[i] == "random:4:132" for i in range(k, 180, 6)) for k in range(6)]
+    assert min(found) >= 24 and not any(got[i] for i in range(180, 360))
+
+
 def test_secret_scan_leaves_clean_documents_alone(spark):
     from tidemark.llm.secrets import secret_spans
 

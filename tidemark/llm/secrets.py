@@ -12,6 +12,7 @@ discoveries, over a histogram of p-values, so no sort of all tokens is needed.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,15 @@ ENCODINGS = (
     ("base32", r"(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*", UPPER + "234567", 0.065),
     ("base64", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*", UPPER + LOWER + DIGITS + "+/", 0.055),
     ("base64url", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*", UPPER + LOWER + DIGITS + "-_", 0.055),
+    ("lower32", r"(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*", LOWER + "234567", 0.065),
+    ("lower36", r"(?=.*[0-9])(?=.*[a-z])[a-z0-9]+", LOWER + DIGITS, 0.055),
+    ("UPPER36", r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+", UPPER + DIGITS, 0.055),
+    ("lower", r"[a-z]+", LOWER, 0.065),
+    ("UPPER", r"[A-Z]+", UPPER, 0.065),
+    ("letters", r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+", UPPER + LOWER, 0.055),
 )
+#: The first of ENCODINGS that words are of, too: they have bands of their own, so that words don't raise the others' bounds.
+WORDLIKE = 5
 #: Two-sided normal bound of each test of the battery (about 0.001), bands of lengths, false discovery rate, p-value bins.
 VETO, BANDS, RATE, BINS_PER_DECADE, MAX_BIN = 3.29, (32, 64, 128), 0.01, 50, 4000
 
@@ -108,7 +117,9 @@ def _battery(span: Column, text: Column) -> Column:
     score = F.when(token.rlike(f"^(?:{ENCODINGS[0][1]})$"), judged(ENCODINGS[0]))
     for e in ENCODINGS[1:]:
         score = score.when(token.rlike(f"^(?:{e[1]})$"), judged(e))
-    band = sum(((span["end"] - span["start"] >= b).cast("int") for b in BANDS[1:]), (span["end"] - span["start"] >= BANDS[0]).cast("int"))
+    plain = reduce(lambda a, b: a | b, (token.rlike(f"^(?:{e[1]})$") for e in ENCODINGS[:WORDLIKE]))
+    wordlike = ~plain & token.rlike("^(?:" + "|".join(e[1] for e in ENCODINGS[WORDLIKE:]) + ")$")
+    band = sum(((span["end"] - span["start"] >= b).cast("int") for b in BANDS[1:]), (span["end"] - span["start"] >= BANDS[0]).cast("int")) + F.when(wordlike, len(BANDS) + 1).otherwise(0)
     return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), F.coalesce(score, F.lit(-1)).alias("bin"))
 
 
@@ -124,13 +135,13 @@ def analysed(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Cuts:
-    """The least accepted bin of each band of lengths."""
+    """The least accepted bin of each band of lengths, those of WORDLIKE encodings after the others."""
 
     least: dict[int, int]
 
     def spans(self) -> Column:
         """All spans of an analysed row in order: those of the patterns and the accepted tokens."""
-        least = F.create_map(*(F.lit(x) for b in range(len(BANDS) + 1) for x in (b, self.least.get(b, MAX_BIN + 1))))
+        least = F.create_map(*(F.lit(x) for b in range(2 * (len(BANDS) + 1)) for x in (b, self.least.get(b, MAX_BIN + 1))))
         found = F.filter("_tokens", lambda t: t["bin"] >= F.element_at(least, t["band"]))
         return F.array_sort(F.concat("_base", F.transform(found, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
 
