@@ -261,6 +261,17 @@ def test_mix_fills_room_beside_a_long_document(spark):
         assert all(r.size > room for r in out if r.copies == 0)
 
 
+def test_mix_spreads_repeated_keys_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import mixing
+
+    rows = [(None if i % 3 else i, f"a b {i}" if i % 2 else "same", "a") for i in range(6000)]
+    found = mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"), 17, "text", "doc_id", "source")
+    buckets = [r["count"] for r in found.groupBy(F.pmod("h", F.lit(-(-6000 // mixing.BUCKET)))).count().collect()]
+    assert sum(buckets) == 6000 and max(buckets) < 2 * mixing.BUCKET
+
+
 def test_archive_round_trip(spark, tmp_path):
     from tidemark.llm import archive
 

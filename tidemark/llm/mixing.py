@@ -27,9 +27,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash(key: Column, seed: int) -> Column:
-    """60 bits of md5 of the key as text and the seed."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+def sizes(docs: DataFrame, seed: int, text: str, key: str, source: str) -> DataFrame:
+    """id, source, size and h of every row: 60 bits of md5 of key, text, which of the rows alike it is, and the seed.
+
+    So rows that repeat a key, or have none, are spread as others are.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tag"))
+    alike = rows.groupBy("id", "source", "size", "tag").agg(F.count("*").alias("k"))
+    each = alike.select("id", "source", "size", "tag", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("tag").cast("string"), F.col("j").cast("string"), F.lit(str(seed)))
+    return each.select("id", "source", "size", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("h"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: tuple[int, int], max_epochs: int) -> DataFrame:
@@ -102,14 +109,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
     """Per row of docs: key, source, size, source_size, target, copies (times the mix takes it) and taken (words).
 
     Null or empty texts have size 0; null sources are one source, ranked last;
-    rows that repeat a key share its hash and are told apart by size and order
-    of reading. Sources without words have target 0. Reruns over the same rows
+    rows that repeat a key are told apart by their texts, and are interchangeable
+    where these agree too. Sources without words have target 0. Reruns over the same rows
     agree. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "mixing")
-    sized = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"))
-    sized = scratch.stage(sized.withColumn("h", _hash(F.col("id"), seed)).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    sized = scratch.stage(sizes(docs, seed, text, key, source).withColumn("uid", F.monotonically_increasing_id()), "sizes")
     sums = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     aims = scratch.stage(targets(sums, weights, share, max_epochs), "targets").withColumnRenamed("source", "s")
     few = aims.count() <= BROADCAST_SOURCES
