@@ -69,6 +69,14 @@ def test_components_equal_brute_force(spark, texts):
     assert got == brute_components(texts)
 
 
+def test_sets_that_need_one_frequent_token_meet():
+    from tidemark.llm.jaccard_join import prefix_keys
+
+    df = np.array([40, 50], np.uint32)
+    (one, can_one), (two, can_two) = (prefix_keys(np.arange(1, n + 1, dtype=np.uint64), df[:n], n, n, 50) for n in (1, 2))
+    assert set(one[can_one]) & set(two) or set(one) & set(two[can_two])
+
+
 def test_one_of_each_keeps_columns(spark, texts):
     from tidemark.llm.jaccard_join import one_of_each
 

@@ -123,7 +123,7 @@ def prefix_keys(token: np.ndarray, df: np.ndarray, n: int, distinct: int, percen
         return single[:prefix], np.ones(prefix, bool)
     stop = min(prefix + COMBINED - 1, len(token))
     frequent = single[rare:stop]
-    if stop - rare > MANY:
+    if stop - rare > MANY or need < COMBINED:  # a partner may share fewer tokens than a combination has
         return single[:stop], np.ones(stop, bool)
     pairs = [common.mix64(np.array([sum(int(x) * int(_MIX[i]) for i, x in enumerate(sorted(c))) % 2**64], np.uint64)) for c in combinations(frequent.tolist(), COMBINED)]
     keys = np.concatenate([single[:rare], *pairs, frequent])
