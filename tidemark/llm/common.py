@@ -143,6 +143,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Packed parts of blocks as a batch of (bucket, block, data)."""
+    kinds = (("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))
