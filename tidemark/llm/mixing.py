@@ -3,11 +3,13 @@
 Targets: sources share ``share`` times all words by weight; one that would pass
 ``max_epochs`` times its own words is clamped there and its excess goes to the
 others by weight, until none is above. A source's epochs are then whole
-repetitions of all its documents and a seeded part of them: documents are dealt
-to hash buckets of about ``BUCKET`` rows, buckets are taken whole in order while
-they fit, and in the one bucket that doesn't fit documents are taken in hash
-order while they fit. Room that is left goes to the documents not taken that fit
-in it, dealt anew, until none fits. So no sort spans a source.
+repetitions of all its documents and a seeded part of them. Documents stand in
+the order of a seeded hash of key and text; those before a source's cut are in
+the part. The cut is found by sums over ranges of hashes, finer each time.
+Where it lies, some ``TAIL`` documents are taken one by one while they fit, so a
+long one doesn't leave room behind: what is left is less than each of ``TAIL``
+documents left out, or nothing else fits. Rows that repeat key, text and source
+are one item of so many copies, so no order spans a source or a group of copies.
 """
 
 from functools import reduce
@@ -18,134 +20,175 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET = 256
-#: Most sources whose few numbers are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Bits of the hash, bits by which a range of hashes is divided at once, items at a cut, copies made of an item at once.
+BITS, FAN, TAIL, CHUNK = 60, 12, 1024, 1 << 16
+#: Most rows of a few numbers that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(docs: DataFrame, seed: int, text: str, key: str, source: str) -> DataFrame:
-    """id, source, size and h of every row: 60 bits of md5 of key, text, which of the rows alike it is, and the seed.
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    So rows that repeat a key, or have none, are spread as others are.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tag"))
+
+def place(key: Column, tag: Column, seed: int) -> Column:
+    """BITS bits of md5 of key, text and seed."""
+    name = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), tag.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(name), 1, BITS // 4), 16, 10).cast("long")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, staged, to be broadcast where its rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def items(docs: DataFrame, seed: int, text: str, key: str, source: str) -> DataFrame:
+    """id, source, tag, size, k (rows alike) and h."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), text_tag(F.col(text)).alias("tag"))
     alike = rows.groupBy("id", "source", "size", "tag").agg(F.count("*").alias("k"))
-    each = alike.select("id", "source", "size", "tag", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
-    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("tag").cast("string"), F.col("j").cast("string"), F.lit(str(seed)))
-    return each.select("id", "source", "size", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("h"))
+    return alike.withColumn("h", place(F.col("id"), F.col("tag"), seed))
+
+
+def _running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds the sums over all rows before in that order: inside range partitions, and of those before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = common.Scratch(df.sparkSession, "running").stage(df.repartitionByRange(parts, *order).withColumn("p", F.spark_partition_id()), "dealt")
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    inside = Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums_ = dealt.groupBy("p").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    bases = sums_.select("p", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_base") for n in sums))
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items())).join(F.broadcast(bases), "p")
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_base") for n in sums}).drop("p", *(f"{n}_base" for n in sums))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: tuple[int, int], max_epochs: int) -> DataFrame:
-    """Adds rank, weight and target to (source, n, source_size).
+    """Adds rank, weight and target to (source, source_size).
 
-    Sources rank by code point, null last; ranks come from range partitions
-    and the counts of those before. Each round clamps all that are above, so
-    the loop ends after at most as many rounds as there are sources, and sums
-    are of integers.
+    Sources rank by code point, null last. Those with the least room for their
+    weight are clamped first: in that order the level of the rest follows from
+    sums of integers before each source.
     """
-    spark = sources.sparkSession
-    scratch = common.Scratch(spark, "targets")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scratch.stage(sources.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("p", F.spark_partition_id()), "sources")
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    bases = dealt.groupBy("p").agg(F.count("*").alias("k")).select("p", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.col("source").asc_nulls_last()))
+    scratch = common.Scratch(sources.sparkSession, "targets")
     at = F.array(*(F.lit(w) for w in weights))
-    ranked = dealt.withColumn("i", rank).join(bases, "p").withColumn("rank", F.col("i") + F.col("base") - 1)
-    ranked = scratch.stage(ranked.withColumn("weight", F.get(at, F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")).cast("long")).drop("p", "i", "base"), "ranked")
-    scratch.drop(dealt)
-    cap = F.col("source_size") * max_epochs
-    level, clamped = None, -1
-    while True:
-        over = F.lit(False) if level is None else F.col("weight") * F.lit(level) > cap
-        r = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, cap)).alias("caps"), F.sum(F.when(~over, F.col("weight"))).alias("w"), F.count_if(over).alias("k")).first()
-        if r["all"] is None or not r["w"] or r["k"] == clamped:
-            break
-        clamped = r["k"]
-        level = (r["all"] * share[0] - (r["caps"] or 0) * share[1]) / (r["w"] * share[1])
-    target = cap.cast("double") if r["all"] is None or not r["w"] else F.least(cap.cast("double"), F.col("weight") * F.lit(level))
-    return ranked.withColumn("target", target)
-
-
-def _fill(rows: DataFrame, first: bool) -> DataFrame:
-    """Adds extra: whether a row (rank, h, uid, size, room, n of its source's rows) is taken into what room its source has.
-
-    After the first time documents above half the room wait while there are
-    smaller ones in several buckets. A bucket that doesn't fit then leaves less
-    than half the room, and if all fit, one that waited fills it: rounds are at
-    most as many as the room has bits, and one.
-    """
-    names = rows.columns
-    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.ceil(F.col("n") / BUCKET)))
-    sums = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0))
-    steps = rows.groupBy("rank", "bucket").agg(sums(F.col("size") <= F.col("room")).alias("all"), sums(F.col("size") * 2 <= F.col("room")).alias("small"), F.first("room").alias("budget"), F.first("n").alias("m"))
-    one = Window.partitionBy("rank")
-    waits = F.lit(False) if first else (F.sum("small").over(one) > 0) & (F.col("m") > BUCKET)
-    steps = steps.withColumn("waits", waits).withColumn("b", F.when(F.col("waits"), F.col("small")).otherwise(F.col("all")))
-    steps = steps.withColumn("upto", F.sum("b").over(one.orderBy("bucket"))).withColumn("over", F.when(F.col("upto") > F.col("budget"), F.col("bucket")))
-    steps = steps.withColumn("cut", F.min("over").over(one)).select("rank", "bucket", "waits", F.when(F.col("bucket") < F.coalesce(F.col("cut"), F.col("bucket") + 1), F.lit(1)).when(F.col("bucket") > F.col("cut"), F.lit(0)).alias("in"), (F.col("budget") - F.col("upto") + F.col("b")).alias("left"))
-    joined = rows.join(steps, ["rank", "bucket"])
-    fits = F.col("size") * F.when(F.col("waits"), F.lit(2)).otherwise(F.lit(1)) <= F.col("room")
-    joined = joined.withColumn("in", F.when(fits, F.col("in")).otherwise(F.lit(0)))
-    sure = joined.where(F.col("in").isNotNull()).select(*names, F.col("in").alias("extra"))
-    # documents of a boundary bucket: some BUCKET rows by the choice of buckets
-    order = ["h", "id", "size", "uid"]
-    edge = joined.where(F.col("in").isNull()).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in names if c not in (*order, "rank"))))).alias("rows"), F.first("left").alias("left"))
-    start = F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<int>)").alias("taken"))
+    ranked = _running(sources, [F.col("source").asc_nulls_last()], rank=F.lit(1).cast("long"))
+    ranked = ranked.withColumns({"weight": F.get(at, F.pmod("rank", F.lit(len(weights))).cast("int")).cast("long"), "cap": F.col("source_size") * max_epochs})
+    ranked = scratch.stage(ranked, "ranked")
+    all_ = ranked.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("w")).first()
+    if not all_["w"]:
+        return ranked.drop("cap").withColumn("target", F.lit(0.0))
+    before = _running(ranked, [F.col("cap") / F.col("weight"), F.col("rank")], caps=F.col("cap"), ws=F.col("weight"))
+    level = (F.lit(all_["all"]) * share[0] - F.col("caps") * share[1]) / ((F.lit(all_["w"]) - F.col("ws")) * share[1])
+    found = before.where(F.col("weight") * level <= F.col("cap")).agg(F.min(F.struct("caps", "ws")).alias("x")).first()["x"]
+    target = F.col("cap").cast("double")
+    if found is not None:
+        level = (all_["all"] * share[0] - found["caps"] * share[1]) / ((all_["w"] - found["ws"]) * share[1])
+        target = F.least(target, F.col("weight") * F.lit(float(level)))
+    return ranked.withColumn("target", target).drop("cap")
+
+
+def _sources(listed: DataFrame, weights, share, max_epochs, scratch: common.Scratch) -> DataFrame:
+    """Per source: source_size, target, whole (repetitions of all), cut and end (hashes before and from which items are in and out) and room at the cut."""
+    sums = listed.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("k")).alias("source_size"))
+    aims = targets(sums, weights, share, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    aims = aims.withColumn("whole", whole).withColumn("room", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    aims = scratch.stage(aims.withColumn("cut", F.lit(0).cast("long")), "sources")
+    most = aims.agg(F.max("n")).first()[0] or 0
+    shift = BITS
+    while most > TAIL and shift >= FAN:
+        above, shift, most = shift, shift - FAN, most >> FAN
+        state = _few(aims.select(F.col("source").alias("s"), "room", "cut"))
+        inside = listed.join(state, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", above) == F.shiftright("cut", above))
+        steps = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum(F.col("size") * F.col("k")).alias("sum"), F.first("room").alias("room"))
+        order = Window.partitionBy("source").orderBy("b")  # at most 2 ** FAN rows
+        over = steps.withColumn("upto", F.sum("sum").over(order)).where("upto > room").groupBy("source").agg(F.min(F.struct("b", (F.col("room") - F.col("upto") + F.col("sum")).alias("left"))).alias("x"))
+        over = over.select(F.col("source").alias("s"), F.col("x.b").alias("b"), F.col("x.left").alias("left"))
+        finer = aims.join(over, F.col("source").eqNullSafe(F.col("s")), "left")
+        finer = finer.withColumns({"cut": F.when(F.col("b").isNull(), F.col("cut")).otherwise(F.shiftleft("b", shift)), "room": F.coalesce("left", "room")})
+        after = scratch.stage(finer.drop("s", "b", "left"), "sources")
+        scratch.drop(aims)
+        aims = after
+    wide = F.ceil(F.lit(float(2 * TAIL)) / F.col("n") * F.lit(float(1 << BITS)))
+    return scratch.stage(aims.withColumn("end", F.when(F.col("n") <= 2 * TAIL, F.lit(1 << BITS)).otherwise(F.least(F.col("cut") + wide, F.lit(1 << BITS))).cast("long")).drop("n"), "sources")
+
+
+def _tail(listed: DataFrame, aims: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """s, i, t (source, id and tag) and extra (copies taken) of the items at the cut, as far as any are; about 2 * TAIL of a source are looked at."""
+    state = _few(aims.select(F.col("source").alias("s"), "room", "cut", "end"))
+    near = listed.join(state, F.col("source").eqNullSafe(F.col("s"))).where("h >= cut and h < end and size > 0 and size <= room")
+    rows = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("h", "id", "tag", "size", "k"))).alias("rows"), F.first("room").alias("room"))
+    start = F.struct(F.col("room").alias("left"), F.expr("cast(array() as array<bigint>)").alias("taken"))
 
     def step(acc: Column, row: Column) -> Column:
-        fits = row["size"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - row["size"]).otherwise(acc["left"]).alias("left"), F.concat(acc["taken"], F.array(fits.cast("int"))).alias("taken"))
+        extra = F.least(row["k"], F.floor(acc["left"] / row["size"]))
+        return F.struct((acc["left"] - extra * row["size"]).alias("left"), F.concat(acc["taken"], F.array(extra)).alias("taken"))
+
+    taken = rows.withColumn("taken", F.aggregate("rows", start, step)["taken"]).select("source", F.explode(F.arrays_zip("rows", "taken")).alias("z"))
+    return scratch.stage(taken.where("z.taken > 0").select(F.col("source").alias("s"), F.col("z.rows.id").alias("i"), F.col("z.rows.tag").alias("t"), F.col("z.rows.k").alias("of"), F.col("z.taken").alias("extra")), "tail")
+
 
-    edge = edge.withColumn("taken", F.aggregate("rows", start, step)["taken"]).select("rank", F.explode(F.arrays_zip("rows", "taken")).alias("z"))
-    return sure.unionByName(edge.select("rank", *(F.col(f"z.rows.{c}").alias(c) for c in names if c != "rank"), F.col("z.taken").alias("extra")))
+def _same(*names: tuple[str, str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in names))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 17, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Per row of docs: key, source, size, source_size, target, copies (times the mix takes it) and taken (words).
 
-    Null or empty texts have size 0; null sources are one source, ranked last;
-    rows that repeat a key are told apart by their texts, and are interchangeable
-    where these agree too. Sources without words have target 0. Reruns over the same rows
-    agree. An empty table gives no rows.
+    Null or empty texts have size 0 and are taken as often as all of their
+    source are; null sources are one source, ranked last. Rows that repeat key,
+    text and source are interchangeable. Sources without words have target 0.
+    Reruns over the same rows agree. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "mixing")
-    sized = scratch.stage(sizes(docs, seed, text, key, source).withColumn("uid", F.monotonically_increasing_id()), "sizes")
-    sums = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    aims = scratch.stage(targets(sums, weights, share, max_epochs), "targets").withColumnRenamed("source", "s")
-    few = aims.count() <= BROADCAST_SOURCES
-    per = sized.join(F.broadcast(aims) if few else aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    per = per.withColumn("whole", whole).withColumn("room", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    rows, settled = per, None
-    while True:
-        judged = scratch.stage(_fill(rows, first=settled is None), "filled")
-        spent = scratch.stage(judged.groupBy("rank").agg(F.sum(F.col("size") * F.col("extra")).alias("spent")).withColumnRenamed("rank", "r"), "spent")
-        judged = judged.join(F.broadcast(spent) if few else spent, F.col("rank") == F.col("r")).withColumn("now", F.col("room") - F.col("spent")).drop("r", "spent")
-        waiting = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("now"))
-        done, left = judged.where(~waiting), judged.where(waiting).withColumn("room", F.col("now")).drop("n", "now", "extra")
-        settled = done if settled is None else settled.unionByName(done)
-        counts = left.groupBy("rank").agg(F.count("*").alias("n")).withColumnRenamed("rank", "r")
-        rows = scratch.stage(left.join(F.broadcast(counts) if few else counts, F.col("rank") == F.col("r")).drop("r"), "left")
-        if not rows.limit(1).count():
-            break
-    out = settled.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    scratch = common.Scratch(docs.sparkSession, "mixing")
+    listed = scratch.stage(items(docs, seed, text, key, source), "items")
+    aims = _sources(listed, weights, share, max_epochs, scratch)
+    tail = _few(_tail(listed, aims, scratch))
+    per = listed.join(_few(aims.withColumnRenamed("source", "x")), F.col("source").eqNullSafe(F.col("x")))
+    per = per.join(tail, _same(("source", "s"), ("id", "i"), ("tag", "t")), "left")
+    per = per.withColumn("extra", F.when((F.col("h") < F.col("cut")) & (F.col("size") > 0), F.col("k")).otherwise(F.coalesce("extra", F.lit(0))))
+    per = per.select("id", "source", "size", "source_size", "target", "whole", "extra", "k", "h")
+    # a row for each copy; many copies of one item are dealt to tasks first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = lambda a, b: F.explode(F.sequence(a, b))
+    chunks = per.where(F.col("k") > CHUNK).withColumn("c", number(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / CHUNK))).repartition(parts, "h", "c")
+    many = chunks.withColumn("j", number(F.col("c") * CHUNK, F.least(F.col("c") * CHUNK + CHUNK, F.col("k")) - 1)).drop("c")
+    each = per.where(F.col("k") <= CHUNK).withColumn("j", number(F.lit(0).cast("long"), F.col("k") - 1)).unionByName(many)
+    out = each.withColumn("copies", (F.col("whole") + (F.col("j") < F.col("extra")).cast("long")).cast("int"))
     return out.select(F.col("id").alias(key), F.col("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mix itself: rows of docs, each as many times as the mix takes it, with the columns of docs."""
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: int = 17, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself: rows of docs, each as many times as the mix takes it, with the columns of docs.
+
+    Cuts of sources and items at cuts go to the documents, so no text is
+    shuffled. Rows of an item of which only a part is taken are staged with
+    numbers first.
+    """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "mixed")
-    order = Window.partitionBy("id", "s").orderBy("z")
-    copies = mix(docs, text=text, key=key, source=source, **how).select(F.col(key).alias("id"), F.col(source).alias("s"), F.col("size").alias("z"), "copies")
-    copies = scratch.stage(copies.withColumn("i", F.row_number().over(order)), "copies").select(*(F.col(c).alias(f"_{c}") for c in ("id", "s", "i", "copies")))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("s"), words(F.col(text)).alias("z"))
-    packed = packed.withColumn("i", F.row_number().over(order))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("id", "s", "i")))
-    return packed.join(copies.where("_copies > 0"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    listed = scratch.stage(items(docs, seed, text, key, source), "items")
+    aims = _sources(listed, weights, share, max_epochs, scratch)
+    tail = _tail(listed, aims, scratch)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), text_tag(F.col(text)).alias("tag"), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("worded"))
+    rows = rows.join(_few(aims.select(F.col("source").alias("x"), "whole", "cut")), F.col("source").eqNullSafe(F.col("x"))).drop("x")
+    rows = rows.join(_few(tail), _same(("source", "s"), ("id", "i"), ("tag", "t")), "left")
+    before = (place(F.col("id"), F.col("tag"), seed) < F.col("cut")) & F.col("worded")
+    extra = F.when(before | (F.col("extra") == F.col("of")), F.lit(1)).otherwise(F.lit(0))
+    apart = F.coalesce(F.col("extra") < F.col("of"), F.lit(False))
+    out = rows.where(~apart).select("row", (F.col("whole") + extra).alias("copies"))
+    if tail.where("extra < of").limit(1).count():
+        some = scratch.stage(rows.where(apart).select("row", "id", "source", "tag", "whole", "extra", F.monotonically_increasing_id().alias("u")), "parts")
+        # of an item's rows the first by number: whole partitions, then those of one partition
+        name = ["source", "id", "tag"]
+        order = Window.partitionBy(*name).orderBy("p")
+        counts = some.groupBy(*name, F.shiftright("u", 33).alias("p")).agg(F.count("*").alias("n"), F.first("extra").alias("extra")).withColumn("left", F.col("extra") - F.sum("n").over(order) + F.col("n"))
+        edge = counts.where("left >= 0 and left < n").select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("tag").alias("t"), F.col("p").alias("q"), "left")
+        at_edge = some.select(*name, "u").join(_few(edge), _same(("source", "s"), ("id", "i"), ("tag", "t")) & (F.shiftright("u", 33) == F.col("q")))
+        bound = at_edge.withColumn("r", F.row_number().over(Window.partitionBy(*name).orderBy("u"))).where("r = left + 1").select("s", "i", "t", F.col("u").alias("bound"))
+        bound = scratch.stage(bound, "bounds")
+        taken = some.join(_few(bound), _same(("source", "s"), ("id", "i"), ("tag", "t")))
+        out = out.unionByName(taken.select("row", (F.col("whole") + (F.col("u") < F.col("bound")).cast("long")).alias("copies")))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")
