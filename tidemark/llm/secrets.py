@@ -1,16 +1,23 @@
 """Secret scans in whole texts; DataFrame functions only.
 
 Three patterns give base spans. Beside them, long tokens of an encoding's
-characters go through a battery of randomness tests: chi-squared uniformity
-over the encoding's alphabet, runs above and below the middle of the alphabet,
-and serial correlation. A test at level VETO rejects a token that isn't random.
-What is left is judged against structured text: letters and digits that collide
-as often as words do make chi-squared large, the more so the longer the token,
-and the chance of a value as small as the token's is its p-value. Within each
-band of lengths the Benjamini-Hochberg procedure holds the share of false
-discoveries, over a histogram of p-values, so no sort of all tokens is needed.
+characters go through a battery of randomness tests over the encoding's
+alphabet: chi-squared uniformity, runs above and below its middle, and serial
+correlation. Their p-values are combined by Fisher's method: P is the chance
+that a random token fits as badly. A token is also judged against structured
+text: letters and digits that collide as often as words do make chi-squared
+large, the more so the longer the token, and S is the chance of a value as small
+as the token's. S / P, 1 at most, is never less than S, so it is a p-value of
+structured text too, and each test that speaks against randomness raises it.
+Within each band of lengths the Benjamini-Hochberg procedure holds the share of
+false discoveries, over a histogram of these p-values, so no sort of all tokens
+is needed.
+
+Arrays of a text's matches are worked on in chunks, with sums and ends carried
+from chunk to chunk, so that time stays near linear in the matches of a text.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,48 +27,105 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("assign", "access", "hex", "random")
-# Marks of matches: private characters, which stand for "~" where a text has them; no pattern knows either.
-_A, _B, _C = "", "", ""
+# Marks of matches: private characters, which stand for "~" where a text has them; no pattern knows the first three.
+_A, _B, _C, _M = "\ue000", "\ue001", "\ue002", "\ue003"
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)"
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Base spans count as token characters here, so what touches one is of the same run; such runs are left out.
+TOKEN = rf"(?<![A-Za-z0-9+/_={_M}-])[A-Za-z0-9+/_={_M}-]{{20,}}+"
 VALUE_LENGTH = 8
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: name, pattern, alphabet, how often two characters of structured text agree; the first that fits is inferred
+#: name, pattern, alphabet, how often two characters of structured text agree; the first that fits is inferred.
+#: English letters of one case agree with chance 0.066; two cases or digits among them lower that; hexadecimal words and
+#: numbers use about half of their 16 digits, so twice 1 / 16.
 ENCODINGS = (
-    ("hex", r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", DIGITS + "abcdef", 0.13),
-    ("HEX", r"(?=.*[0-9])(?=.*[A-F])[0-9A-F]+", DIGITS + "ABCDEF", 0.13),
-    ("base32", r"(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*", UPPER + "234567", 0.065),
+    ("hex", r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", DIGITS + "abcdef", 0.125),
+    ("HEX", r"(?=.*[0-9])(?=.*[A-F])[0-9A-F]+", DIGITS + "ABCDEF", 0.125),
+    ("base32", r"(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*", UPPER + "234567", 0.066),
     ("base64", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*", UPPER + LOWER + DIGITS + "+/", 0.055),
     ("base64url", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*", UPPER + LOWER + DIGITS + "-_", 0.055),
-    ("lower32", r"(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*", LOWER + "234567", 0.065),
+    ("lower32", r"(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*", LOWER + "234567", 0.066),
     ("lower36", r"(?=.*[0-9])(?=.*[a-z])[a-z0-9]+", LOWER + DIGITS, 0.055),
     ("UPPER36", r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+", UPPER + DIGITS, 0.055),
-    ("lower", r"[a-z]+", LOWER, 0.065),
-    ("UPPER", r"[A-Z]+", UPPER, 0.065),
+    ("lower", r"[a-z]+", LOWER, 0.066),
+    ("UPPER", r"[A-Z]+", UPPER, 0.066),
     ("letters", r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+", UPPER + LOWER, 0.055),
 )
 #: The first of ENCODINGS that words are of, too: they have bands of their own, so that words don't raise the others' bounds.
 WORDLIKE = 5
-#: Two-sided normal bound of each test of the battery (about 0.001), bands of lengths, false discovery rate, p-value bins.
-VETO, BANDS, RATE, BINS_PER_DECADE, MAX_BIN = 3.29, (32, 64, 128), 0.01, 50, 4000
+#: Bounds of bands of lengths, false discovery rate, p-value bins, matches of a chunk.
+BANDS, RATE, BINS_PER_DECADE, MAX_BIN, CHUNK = (32, 64, 128), 0.01, 50, 4000, 256
 
 
-def _marked_spans(text: Column, pattern: str, mark: str, kind: int, value: int = 0) -> Column:
-    """Spans (start, kind, end) of matches; value: least length of what stands after the inner mark."""
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    parts = F.split(F.regexp_replace(text, pattern, mark), _A, -1)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def step(acc: Column, part: Column) -> Column:
-        match = F.substring_index(part, _B, 1)
-        size = F.length(match) - (F.length(match) - F.length(F.replace(match, F.lit(_C), F.lit(""))))
-        rest = F.length(part) - F.length(match) - 1
-        span = F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + size).alias("end")))
-        long = F.length(F.substring_index(match, _C, -1)) >= value
-        return F.when(acc["at"] < 0, F.struct(F.length(part).alias("at"), acc["spans"].alias("spans"))).otherwise(F.struct((acc["at"] + size + rest).alias("at"), F.when(long, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")))
 
-    found = F.aggregate(parts, F.struct(F.lit(-1).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+def _chunks(items: Column) -> Column:
+    n = F.size(items)
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda j: F.slice(items, j * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _carried(each: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """start, then the values of each joined on, one by one: what stands before each, and at the end."""
+    return F.aggregate(each, F.array(start), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+
+def _marked_spans(text: Column, pattern: str, mark: str, kind: int, value: int = 0, with_text: bool = False) -> Column:
+    """Spans (start, kind, end) of matches; value: least length of what stands after the inner mark. With their texts if asked."""
+    empty = F.expr(f"cast(array() as array<struct<start:int,kind:int,end:int{',text:string' if with_text else ''}>>)")
+
+    def measured(part: Column) -> Column:
+        def of(match: Column) -> Column:
+            plain = F.replace(match, F.lit(_C), F.lit(""))
+            long = F.length(F.substring_index(match, _C, -1)) >= value
+            return F.struct(F.length(plain).alias("size"), (F.length(part) - F.length(match) - 1 + F.length(plain)).alias("width"), long.alias("long"), *([plain.alias("text")] if with_text else []))
+
+        return _let(F.substring_index(part, _B, 1), of)
+
+    def step(acc: Column, x: Column) -> Column:
+        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["size"]).alias("end"), *([x["text"].alias("text")] if with_text else []))
+        return F.struct((acc["at"] + x["width"]).alias("at"), F.when(x["long"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def placed(chunks: Column, first: Column) -> Column:
+        widths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["width"]))
+        inside = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("spans")), step)["spans"]
+        before = _carried(widths, first, lambda a, w: a + w)
+        return F.flatten(F.filter(F.zip_with(chunks, before, inside), lambda x: x.isNotNull()))
+
+    def found(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), measured)
+        return _let(rest, lambda items: _let(_chunks(items), lambda chunks: placed(chunks, F.length(F.get(parts, F.lit(0))))))
+
+    return F.when(text.rlike(pattern), _let(F.split(F.regexp_replace(text, pattern, mark), _A, -1), found)).otherwise(empty)
+
+
+def _replaced(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """text with put(place up to which it is done, span) for each of the spans, which are in order and may overlap."""
+
+    def chunk(c: Column, at: Column, last: Column, whole: Column) -> Column:
+        def step(region: Column):
+            def f(acc: Column, s: Column) -> Column:
+                gap = F.substring(region, acc["at"] - at + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, put(acc["at"], s))).alias("out"))
+
+            return f
+
+        start = F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        return _let(F.substring(whole, at + 1, last - at), lambda region: F.array_join(F.aggregate(c, start, step(region))["out"], ""))
+
+    def all_(whole: Column, chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+
+        def joined(ats: Column) -> Column:
+            pairs = F.zip_with(F.slice(ats, F.lit(1), F.size(ats) - 1), F.slice(ats, F.lit(2), F.size(ats) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            pieces = F.zip_with(chunks, pairs, lambda c, p: chunk(c, p["a"], p["b"], whole))
+            return F.concat(F.array_join(pieces, ""), F.substring(whole, F.element_at(ats, -1) + 1, F.length(whole)))
+
+        return _let(_carried(ends, F.lit(0), lambda a, e: F.greatest(a, e)), joined)
+
+    return _let(text, lambda whole: _let(spans, lambda s: F.when(F.size(s) > 0, _let(_chunks(s), lambda chunks: all_(whole, chunks))).otherwise(whole)))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -72,36 +136,32 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _battery(span: Column, text: Column) -> Column:
-    """start, end, band, bin (of the p-value; -1 if a test or no encoding rules the token out)."""
-    token = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+def _battery(span: Column) -> Column:
+    """start, end, band, bin (of the p-value; -1 where no encoding is inferred)."""
+    token, n_all = span["text"], span["end"] - span["start"]
+    enc = reduce(lambda a, i: a.when(token.rlike(f"^(?:{ENCODINGS[i][1]})$"), F.lit(i)), range(1, len(ENCODINGS)), F.when(token.rlike(f"^(?:{ENCODINGS[0][1]})$"), F.lit(0)))
+    alphabets, agreements = F.array(*(F.lit(e[2]) for e in ENCODINGS)), F.array(*(F.lit(e[3]) for e in ENCODINGS))
+    zero = {"n": 0.0, "last": -1.0, "sum": 0.0, "sq": 0.0, "lag": 0.0, "first": 0.0, "high": 0.0, "runs": 0.0}
 
-    def judged(encoding) -> Column:
-        _, _, alphabet, agree = encoding
-        k = len(alphabet)
-        body = F.rtrim(token, F.lit("=")) if "=" not in alphabet else token
-        n = F.length(body).cast("double")
-        counts = F.transform(F.array(*map(F.lit, alphabet)), lambda c: n - F.length(F.replace(body, c, F.lit(""))))
-        square = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-        codes = F.transform(F.split(body, "", -1), lambda c: F.instr(F.lit(alphabet), c) - 1)
-        codes = F.filter(codes, lambda c: c >= 0)
-        zero = {"n": 0.0, "last": -1.0, "sum": 0.0, "sq": 0.0, "lag": 0.0, "first": 0.0, "high": 0.0, "runs": 0.0}
+    def judged(x: Column) -> Column:
+        body, alphabet, agree = x["body"], x["alphabet"], x["agree"]
+        k = F.length(alphabet).cast("double")
+        square = F.aggregate(F.transform(F.split(alphabet, "", -1), lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double")), F.lit(0.0), lambda a, c: a + c * c)
+        codes = F.transform(F.split(body, "", -1), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
 
         def step(acc: Column, c: Column) -> Column:
-            x = c.cast("double")
-            up, was = x >= k / 2, acc["last"] >= k / 2
+            up, was = c >= k / 2, acc["last"] >= k / 2
             return F.struct(
-                (acc["n"] + 1).alias("n"), x.alias("last"), (acc["sum"] + x).alias("sum"), (acc["sq"] + x * x).alias("sq"),
-                (acc["lag"] + F.when(acc["n"] > 0, acc["last"] * x).otherwise(0.0)).alias("lag"), F.when(acc["n"] > 0, acc["first"]).otherwise(x).alias("first"),
+                (acc["n"] + 1).alias("n"), c.alias("last"), (acc["sum"] + c).alias("sum"), (acc["sq"] + c * c).alias("sq"),
+                (acc["lag"] + F.when(acc["n"] > 0, acc["last"] * c).otherwise(0.0)).alias("lag"), F.when(acc["n"] > 0, acc["first"]).otherwise(c).alias("first"),
                 (acc["high"] + up.cast("double")).alias("high"), (acc["runs"] + ((acc["n"] == 0) | (up != was)).cast("double")).alias("runs"),
             )
 
-        def finish(s: Column) -> Column:
+        def tests(s: Column, square: Column) -> Column:
             n, mean = s["n"], s["sum"] / s["n"]
             chi = square * k / n - n
             chi_z = (chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-            low = n - s["high"]
-            expected = 1 + 2 * s["high"] * low / n
+            expected = 1 + 2 * s["high"] * (n - s["high"]) / n
             runs_var = (expected - 1) * (expected - 2) / (n - 1)
             runs_z = F.when(runs_var > 0, (s["runs"] - expected) / F.sqrt(runs_var)).otherwise(99.0)
             spread = s["sq"] - n * mean * mean
@@ -109,28 +169,42 @@ def _battery(span: Column, text: Column) -> Column:
             serial_z = F.when(spread > 0, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(99.0)
             excess = (n - 1) * (k * agree - 1)
             structured = ((k - 1) + excess - chi) / F.sqrt(2 * ((k - 1) + 2 * excess))
-            size = F.floor(-F.log10(F.greatest(_upper_tail(structured), F.lit(1e-79))) * BINS_PER_DECADE).cast("int")
-            return F.when((chi_z <= VETO) & (F.abs(runs_z) <= VETO) & (F.abs(serial_z) <= VETO), F.least(size, F.lit(MAX_BIN))).otherwise(F.lit(-1))
+            return F.struct(chi_z.alias("chi"), F.abs(runs_z).alias("runs"), F.abs(serial_z).alias("serial"), structured.alias("structured"))
+
+        def p_bin(z: Column) -> Column:
+            least = lambda p: F.greatest(p, F.lit(1e-79))
+            half = -(F.log(least(_upper_tail(z["chi"]))) + F.log(least(2 * _upper_tail(z["runs"]))) + F.log(least(2 * _upper_tail(z["serial"]))))
+            # of three p-values half of Fisher's statistic is the sum of -ln p; its tail with six degrees of freedom
+            random_ = _let(half, lambda h: -h + F.log(1 + h + h * h / 2))
+            ratio = F.log(least(_upper_tail(z["structured"]))) - F.least(random_, F.lit(0.0))
+            return F.least(F.greatest(F.floor(-ratio / F.log(F.lit(10.0)) * BINS_PER_DECADE), F.lit(0)), F.lit(MAX_BIN)).cast("int")
+
+        sums = F.aggregate(codes, F.struct(*(F.lit(v).alias(c) for c, v in zero.items())), step)
+        return _let(F.struct(sums.alias("s"), square.alias("square")), lambda y: _let(tests(y["s"], y["square"]), p_bin))
 
-        return F.aggregate(codes, F.struct(*(F.lit(v).alias(c) for c, v in zero.items())), step, finish)
+    def scored(e: Column) -> Column:
+        facts = F.struct(F.rtrim(token, F.lit("=")).alias("body"), F.get(alphabets, e).alias("alphabet"), F.get(agreements, e).alias("agree"))
+        wordlike = F.when(e >= WORDLIKE, len(BANDS) + 1).otherwise(0)
+        band = sum(((n_all >= b).cast("int") for b in BANDS[1:]), (n_all >= BANDS[0]).cast("int")) + wordlike
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), F.when(e.isNull(), F.lit(-1)).otherwise(_let(facts, judged)).alias("bin"))
 
-    score = F.when(token.rlike(f"^(?:{ENCODINGS[0][1]})$"), judged(ENCODINGS[0]))
-    for e in ENCODINGS[1:]:
-        score = score.when(token.rlike(f"^(?:{e[1]})$"), judged(e))
-    plain = reduce(lambda a, b: a | b, (token.rlike(f"^(?:{e[1]})$") for e in ENCODINGS[:WORDLIKE]))
-    wordlike = ~plain & token.rlike("^(?:" + "|".join(e[1] for e in ENCODINGS[WORDLIKE:]) + ")$")
-    band = sum(((span["end"] - span["start"] >= b).cast("int") for b in BANDS[1:]), (span["end"] - span["start"] >= BANDS[0]).cast("int")) + F.when(wordlike, len(BANDS) + 1).otherwise(0)
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), F.coalesce(score, F.lit(-1)).alias("bin"))
+    return _let(enc, scored)
 
 
-def analysed(docs: DataFrame, text: str) -> DataFrame:
-    """Adds _base (spans of the patterns) and _tokens (candidates with their bins)."""
-    clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _A + _B + _C, "~~~")
-    out = docs.withColumn("_clean", clean)
-    out = out.withColumns({"_0": _marked_spans(F.col("_clean"), ASSIGN, f"{_A}$1{_C}$2{_B}", 0, VALUE_LENGTH), "_1": _marked_spans(F.col("_clean"), ACCESS, f"{_A}$0{_B}", 1), "_2": _marked_spans(F.col("_clean"), HEX, f"{_A}$0{_B}", 2), "_3": _marked_spans(F.col("_clean"), TOKEN, f"{_A}$0{_B}", 3)})
-    out = out.withColumn("_base", F.array_sort(F.concat("_0", "_1", "_2")))
-    free = F.filter("_3", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("_free", free).withColumn("_tokens", F.transform("_free", lambda s: _battery(s, F.col("_clean")))).drop("_clean", "_0", "_1", "_2", "_3", "_free")
+def analysed(rows: DataFrame, text: str) -> DataFrame:
+    """Adds base (spans of the patterns) and tokens (candidates with their bins) to rows, which have no columns of these names."""
+    clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _A + _B + _C + _M, "~~~~")
+
+    def spans(t: Column) -> Column:
+        found = (_marked_spans(t, ASSIGN, f"{_A}$1{_C}$2{_B}", 0, VALUE_LENGTH), _marked_spans(t, ACCESS, f"{_A}$0{_B}", 1), _marked_spans(t, HEX, f"{_A}$0{_B}", 2))
+        return F.struct(t.alias("text"), F.array_sort(F.concat(*found)).alias("base"))
+
+    def tokens(x: Column) -> Column:
+        masked = _replaced(x["text"], x["base"], lambda at, s: F.repeat(F.lit(_M), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
+        free = _let(masked, lambda m: F.filter(_marked_spans(m, TOKEN, f"{_A}$0{_B}", 3, with_text=True), lambda c: ~F.contains(c["text"], F.lit(_M))))
+        return F.struct(x["base"].alias("base"), F.transform(free, _battery).alias("tokens"))
+
+    return rows.withColumn("found", _let(_let(clean, spans), tokens)).select("*", "found.base", "found.tokens").drop("found")
 
 
 @dataclass
@@ -139,11 +213,11 @@ class Cuts:
 
     least: dict[int, int]
 
-    def spans(self) -> Column:
+    def spans(self, base: Column, tokens: Column) -> Column:
         """All spans of an analysed row in order: those of the patterns and the accepted tokens."""
-        least = F.create_map(*(F.lit(x) for b in range(2 * (len(BANDS) + 1)) for x in (b, self.least.get(b, MAX_BIN + 1))))
-        found = F.filter("_tokens", lambda t: t["bin"] >= F.element_at(least, t["band"]))
-        return F.array_sort(F.concat("_base", F.transform(found, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
+        least = F.array(*(F.lit(self.least.get(b, MAX_BIN + 1)) for b in range(2 * (len(BANDS) + 1))))
+        found = F.filter(tokens, lambda t: t["bin"] >= F.get(least, t["band"]))
+        return F.array_sort(F.concat(base, F.transform(found, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
 
 
 def false_discovery_cuts(tokens: DataFrame) -> Cuts:
@@ -161,35 +235,36 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cuts(staged: DataFrame) -> Cuts:
+    return false_discovery_cuts(staged.select(F.explode("tokens").alias("t")).select("t.band", "t.bin"))
+
+
 def secret_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of docs: key, n_assign, n_access, n_hex, base_sha256, spans, all_spans (array of start, kind, end).
 
     Offsets count code points, ends are exclusive. Null texts count as empty;
     null keys and repeated rows come back as they are. Overlapping spans of
     different patterns all stay; tokens that overlap one of them add nothing.
+    Other columns aren't looked at.
     """
     scratch = common.Scratch(docs.sparkSession, "secrets")
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
-    staged = scratch.stage(analysed(rows, "_text").drop("_text"), "spans")
-    cuts = false_discovery_cuts(staged.select(F.explode("_tokens").alias("t")).select("t.band", "t.bin"))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    out = staged.withColumn("all_spans", cuts.spans())
-    return out.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_named(F.col("_base")), 256).alias("base_sha256"), _named(F.col("all_spans")).alias("spans"), "all_spans")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    staged = scratch.stage(analysed(rows, "text").drop("text"), "spans")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    out = staged.withColumn("all_spans", _cuts(staged).spans(F.col("base"), F.col("tokens")))
+    return out.select(F.col("id").alias(key), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("all_spans")).alias("spans"), "all_spans")
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of secrets replaced by a mark; overlapping spans get one. Null texts stay null."""
+    """docs with every span of secrets replaced by a mark; overlapping spans get one. Null texts stay null, all other columns stay as they are.
+
+    Rows are staged with what was found in them, so texts are analysed once.
+    """
     scratch = common.Scratch(docs.sparkSession, "redacted")
-    tokens = scratch.stage(analysed(docs.select(F.col(text).alias("_text")), "_text").select(F.explode("_tokens").alias("t")).select("t.band", "t.bin"), "tokens")
-    cuts = false_discovery_cuts(tokens)
-    out = analysed(docs, text).withColumn("_spans", cuts.spans())
-    body = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        new = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    return out.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(body)).drop("_base", "_tokens", "_spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    staged = scratch.stage(analysed(rows, "text").drop("text"), "rows")
+    spans = _cuts(staged).spans(F.col("base"), F.col("tokens"))
+    body = F.col("row").getField(text)
+    put = lambda at, s: F.when(s["start"] >= at, F.lit(mark)).otherwise(F.lit(""))
+    cut = F.when(body.isNotNull(), _replaced(body, spans, put))
+    return staged.select(*((cut if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
