@@ -1,30 +1,37 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once per verified strong digest (SHA-256, checked
-against a second one of another family and the length); exact record headers
-stand in a table of their own, each with the digest of its payload. Original
-records are put together again by a join on the digest.
+against a second one of another family and the length), each compressed by
+itself; exact record headers stand in a table of their own, each with the digest
+of its payload. Original records are put together again by a join on the digest,
+and what is known of a record is read from its bytes.
 """
 
+import base64
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIELD = re.compile(rb"^([A-Za-z-]+): (.*?)\r?$", re.M)
+_HEADERS = "key long, kind string, refers_to long, digest string, header string"
+_PAYLOADS = "digest string, body binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1 without prefix: 40 hex digits as four groups of 40 bits."""
-    hexed = F.sha1(payload)
-    return F.translate(F.concat(*(F.lpad(F.conv(F.substring(hexed, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4))), _DIGITS, _BASE32)
+def base32_sha1(payload: bytes) -> str:
+    """Upper-case base32 SHA-1 without prefix."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def headers(kind: Column, uri: Column, key: Column, digest: Column, length: Column, refers: Column) -> Column:
-    """The header block of a WARC/1.1 record, up to and with its empty line. Record ids come from the key, so reruns agree."""
+def headers(kind: Column, uri: Column, key: Column, content: Column, digest: Column, length: Column, refers: Column) -> Column:
+    """The header block of a WARC/1.1 record, up to and with its empty line. Record ids come from key and content digest, so reruns agree."""
 
     def name(x: Column) -> Column:
-        h = F.md5(F.concat(F.lit("warc:"), x.cast("string")))
+        h = F.md5(F.concat_ws(":", F.lit("warc"), x.cast("string"), content))
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
     clean = F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "")
@@ -44,6 +51,22 @@ def headers(kind: Column, uri: Column, key: Column, digest: Column, length: Colu
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """key, uri, digest, check, n, sha1 and the compressed body of (key, uri, payload)."""
+
+    def hash_(batches):
+        for batch in batches:
+            out = []
+            for cell in batch.column(2):
+                raw = (cell.as_py() or "").encode()
+                out.append((hashlib.sha256(raw).hexdigest(), hashlib.blake2b(raw, digest_size=16).hexdigest(), len(raw), base32_sha1(raw), common.squeeze(raw)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+            made = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["key", "uri", "digest", "check", "n", "sha1", "body"])
+
+    return rows.mapInArrow(hash_, "key long, uri string, digest string, check string, n long, sha1 string, body binary")
+
+
 def write_archive(pages: DataFrame, at: str, payload: str = "html", key: str = "page_id", uri: str = "url", least: int = 0) -> None:
     """Writes at/headers and at/payloads.
 
@@ -53,46 +76,88 @@ def write_archive(pages: DataFrame, at: str, payload: str = "html", key: str = "
     without a key are responses (they can't be referred to); of rows that
     repeat the largest key each is a response. Other columns are not read.
     """
-    spark = pages.sparkSession
-    body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), body.alias("body"))
-    rows = rows.withColumns({"digest": F.sha2("body", 256), "check": F.xxhash64("body"), "n": F.octet_length("body").cast("long")})
-    scratch = common.Scratch(spark, "digests")
-    slim = scratch.stage(rows.select("key", "uri", "digest", "check", "n", base32_sha1(F.col("body")).alias("sha1")), "digests")
-    groups = slim.groupBy("digest").agg(F.max("key").alias("response"), F.count_distinct("check", "n", "sha1").alias("kinds"))
-    # equal digests must be equal payloads: other hashes and the length agree, or the write fails
-    sound = F.assert_true(F.col("kinds") == 1, F.lit("payloads of one digest differ"))
-    joined = slim.join(groups.where(sound.isNull()), "digest")
+    scratch = common.Scratch(pages.sparkSession, "digests")
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), F.col(payload).cast("string").alias("payload"))
+    hashed = scratch.stage(_hashed(rows), "digests")
+    slim = hashed.drop("body")
+    groups = slim.groupBy("digest").agg(F.max("key").alias("response"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    # equal digests must be equal payloads: another hash and the length agree, or the write fails
+    sound = F.assert_true((F.col("c0") == F.col("c1")) & (F.col("n0") == F.col("n1")), F.lit("payloads of one digest differ"))
+    joined = slim.join(groups.where(sound.isNull()).select("digest", "response"), "digest")
     kind = F.when((F.col("n") >= least) & (F.col("key") < F.col("response")), F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(kind == "revisit", F.col("response"))
-    heads = joined.select("key", kind.alias("kind"), refers.alias("refers_to"), "digest", headers(kind, F.col("uri"), F.col("key"), F.col("sha1"), F.col("n"), refers).alias("header"))
+    heads = joined.select("key", kind.alias("kind"), refers.alias("refers_to"), "digest", headers(kind, F.col("uri"), F.col("key"), F.col("digest"), F.col("sha1"), F.col("n"), refers).alias("header"))
     heads.write.option("compression", "zstd").parquet(f"{at}/headers")
-    # each digest's bytes once: the row of the largest key brings them; any row will do where keys are null or repeat
-    first = rows.select("key", "digest", "body").join(groups.select(F.col("digest").alias("d"), "response"), (F.col("digest") == F.col("d")) & F.col("key").eqNullSafe(F.col("response")), "left_semi")
-    first.groupBy("digest").agg(F.any_value("body").alias("body")).write.option("compression", "zstd").parquet(f"{at}/payloads")
+    # each digest's bytes once; copies meet inside tasks first
+    hashed.groupBy("digest").agg(F.any_value("body").alias("body")).write.option("compression", "zstd").parquet(f"{at}/payloads")
+    scratch.drop(hashed)
 
 
 def read_headers(spark, at: str) -> DataFrame:
-    return spark.read.schema("key long, kind string, refers_to long, digest string, header string").parquet(f"{at}/headers")
+    return spark.read.schema(_HEADERS).parquet(f"{at}/headers")
 
 
 def read_payloads(spark, at: str) -> DataFrame:
-    """Payloads with digests verified on reading; a damaged one fails the read."""
-    stored = spark.read.schema("digest string, body binary").parquet(f"{at}/payloads")
-    return stored.where(F.assert_true(F.sha2("body", 256) == F.col("digest"), F.lit("a stored payload doesn't match its digest")).isNull())
+    """digest and body, verified on reading; a damaged payload fails the read."""
+
+    def verify(batches):
+        for batch in batches:
+            bodies = [_opened(d.as_py(), b.as_py()) for d, b in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["digest", "body"])
+
+    common.bound_batches(spark)
+    return spark.read.schema(_PAYLOADS).parquet(f"{at}/payloads").mapInArrow(verify, _PAYLOADS)
+
+
+def _opened(digest: str, body: bytes | None) -> bytes:
+    raw = common.unsqueeze(body)
+    if hashlib.sha256(raw).hexdigest() != digest:
+        raise ValueError("a stored payload doesn't match its digest")
+    return raw
 
 
 def read_records(spark, at: str) -> DataFrame:
-    """key, record: the exact bytes of each WARC record, revisits with an empty block."""
-    heads, bodies = read_headers(spark, at), read_payloads(spark, at)
-    block = F.when(F.col("kind") == "revisit", F.lit(b"")).otherwise(F.col("body"))
-    return heads.join(bodies, "digest").select("key", "kind", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    """key, record: the exact bytes of each WARC record, revisits with an empty block. Payloads are joined to responses and verified."""
+    heads = read_headers(spark, at)
+    stored = spark.read.schema(_PAYLOADS).parquet(f"{at}/payloads")
+    common.bound_batches(spark)
+
+    def build(batches):
+        for batch in batches:
+            key, head, digest, body = (batch.column(i) for i in range(4))
+            records = [h.encode() + (_opened(d, b) if b is not None else b"") + b"\r\n\r\n" for h, d, b in zip(head.to_pylist(), digest.to_pylist(), body.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([key, pa.array(records, pa.binary())], ["key", "record"])
+
+    whole = heads.where("kind = 'response'").join(stored, "digest").select("key", "header", "digest", "body")
+    again = heads.where("kind = 'revisit'").select("key", "header", "digest", F.lit(None).cast("binary").alias("body"))
+    return whole.unionByName(again).mapInArrow(build, "key long, record binary")
 
 
 def archive_report(spark, at: str, key: str = "page_id") -> DataFrame:
-    """Per record, from what is stored: key, payload_bytes, payload_digest, record_type, refers_to."""
-    bodies = read_payloads(spark, at).select("digest", F.octet_length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body")).alias("payload_digest"))
-    heads = read_headers(spark, at)
-    # type and reference are read from the stored header block itself
-    kind = F.regexp_extract("header", r"(?m)^WARC-Type: (\w+)", 1)
-    return heads.join(bodies, "digest").select(F.col("key").alias(key), "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
+    """Per record, read from its bytes: key, payload_bytes, payload_digest, record_type, refers_to.
+
+    A revisit has the payload facts of the response whose record id it names.
+    """
+
+    def parse(batches):
+        for batch in batches:
+            out = []
+            for cell in batch.column(1):
+                head, _, block = cell.as_py().partition(b"\r\n\r\n")
+                fields = {a.decode().lower(): b.decode() for a, b in _FIELD.findall(head)}
+                payload = block[: int(fields["content-length"])]
+                if block[len(payload) :] != b"\r\n\r\n":
+                    raise ValueError("a record's length doesn't fit its block")
+                response = fields["warc-type"] == "response"
+                if response and fields["warc-payload-digest"] != f"sha1:{base32_sha1(payload)}":
+                    raise ValueError("a record's payload doesn't match its digest")
+                out.append((fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), len(payload), fields["warc-payload-digest"].removeprefix("sha1:")))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], ["key", "kind", "record", "refers", "n", "sha1"])
+
+    scratch = common.Scratch(spark, "warc-report")
+    records = scratch.stage(read_records(spark, at).mapInArrow(parse, "key long, kind string, record string, refers string, n long, sha1 string"), "records")
+    facts = records.where("kind = 'response'").groupBy(F.col("record").alias("refers")).agg(F.max("key").alias("refers_to"), F.max("n").alias("whole"))
+    joined = records.join(facts, "refers", "left")
+    bytes_ = F.when(F.col("kind") == "revisit", F.col("whole")).otherwise(F.col("n"))
+    return joined.select(F.col("key").alias(key), bytes_.alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
