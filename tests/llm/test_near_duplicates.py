@@ -69,22 +69,71 @@ def test_components_equal_brute_force(spark, texts):
     assert got == brute_components(texts)
 
 
-def test_sets_that_need_one_frequent_token_meet():
-    from tidemark.llm.jaccard_join import prefix_keys
-
-    df = np.array([40, 50], np.uint32)
-    (one, can_one), (two, can_two) = (prefix_keys(np.arange(1, n + 1, dtype=np.uint64), df[:n], n, n, 50) for n in (1, 2))
-    assert set(one[can_one]) & set(two) or set(one) & set(two[can_two])
+@pytest.mark.parametrize("percent", [30, 50, 75, 90, 100])
+def test_linked_sets_share_a_key_where_the_smaller_leads(percent):
+    from tidemark.llm.jaccard_join import prefix_keys, size_classes
+
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 12))) for _ in range(60)]
+    base = rng.choice(2000, 300, replace=False)
+    sets += [np.unique(np.r_[base[rng.random(300) > rng.random() ** 3 * 0.3], rng.choice(2000, rng.integers(0, 4 + i % 40))]) for i in range(60)]
+    sets = [np.array(x, np.uint64) for x in {tuple(s) for s in sets}]
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    df = np.zeros(2000, np.int64)
+    df[token.astype(int)] = count
+    shared = [s[df[s.astype(int)] > 1] for s in sets]
+    n = np.array([len(s) for s in sets])
+    at = np.r_[0, np.cumsum([len(s) for s in shared])]
+    flat = np.concatenate(shared)
+    own, keys, lead, before = prefix_keys(flat, df[flat.astype(int)], at, n, n, percent)
+    by = [dict(zip(keys[own == i], zip(lead[own == i], before[own == i]))) for i in range(len(sets))]
+    cls = np.searchsorted(size_classes(int(n.max()), percent), n, "right")
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                a, b = (i, j) if n[i] <= n[j] else (j, i)
+                met = [k for k in by[a].keys() & by[b].keys() if by[a][k][0]]
+                assert met and abs(cls[i] - cls[j]) <= 1
+                # the bound by positions holds at every shared key
+                assert all(both <= min(by[a][k][1], by[b][k][1]) + min(len(shared[a]) - by[a][k][1], len(shared[b]) - by[b][k][1]) for k in by[a].keys() & by[b].keys())
+                links += 1
+    assert links > 20 or percent == 100
 
 
 def test_one_of_each_keeps_columns(spark, texts):
     from tidemark.llm.jaccard_join import one_of_each
 
-    df = frame(spark, texts)
+    names = "doc_id long, text string, k string, t string, row string, _k string, _t string, _i string, component_id string"
+    df = spark.createDataFrame([(k, t, *(f"{c}{i}" for c in "abcdefg")) for i, (k, t) in enumerate([*texts, texts[7], texts[7]])], names).repartition(3)
     out = one_of_each(df)
     assert out.columns == df.columns
+    rows = [tuple(r) for r in out.collect()]
+    assert set(rows) <= {tuple(r) for r in df.collect()}
     want = {k for k, _, c in brute_components(texts) if k == c}
-    assert {str(r.doc_id) for r in out.collect()} - {"None"} == want - {"None"}
+    assert {str(r[0]) for r in rows} - {"None"} == want - {"None"}
+    once = [r[0] for r in rows if r[0] is not None]
+    assert len(once) == len(set(once)) and next(r for r in rows if r[0] == 7)[2] == "a133"
+
+
+def test_components_of_large_groups(spark):
+    """A third of the rows are near copies of one text, others share its passages, and one set is very long."""
+    from tidemark.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(5000)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for i in range(150):
+        b = list(base)
+        for _ in range(rng.randrange(9)):
+            b[rng.randrange(120)] = f"x{i}{rng.randrange(9)}"
+        rows.append((i, " ".join(b)))
+    rows += [(200 + i, " ".join(base[i % 60 : i % 60 + 50] + [rng.choice(words) for _ in range(rng.randrange(60))])) for i in range(150)]
+    long = [rng.choice(words) for _ in range(60_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[300:] + ["end"])), (502, " ".join(long[:30_000]))]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
 
 
 def test_empty_tables(spark, tmp_path):
@@ -269,15 +318,24 @@ def test_mix_fills_room_beside_a_long_document(spark):
         assert all(r.size > room for r in out if r.copies == 0)
 
 
-def test_mix_spreads_repeated_keys_over_buckets(spark):
-    from pyspark.sql import functions as F
-
-    from tidemark.llm import mixing
+def test_mix_of_repeated_rows_and_many_documents(spark):
+    """A third of the rows repeat one key and text, a third have no key, and empty texts keep to the cap."""
+    from tidemark.llm.mixing import TAIL, mix, mixed_documents
 
-    rows = [(None if i % 3 else i, f"a b {i}" if i % 2 else "same", "a") for i in range(6000)]
-    found = mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"), 17, "text", "doc_id", "source")
-    buckets = [r["count"] for r in found.groupBy(F.pmod("h", F.lit(-(-6000 // mixing.BUCKET)))).count().collect()]
-    assert sum(buckets) == 6000 and max(buckets) < 2 * mixing.BUCKET
+    rng = random.Random(6)
+    rows = [(7, "same words here", "a", "x")] * 3000 + [(None, " ".join(["w"] * rng.randrange(1, 9)), rng.choice("ab"), "y") for _ in range(3000)]
+    rows += [(i, " ".join(["w"] * rng.randrange(40)), "b", "z") for i in range(100, 3100 + TAIL)] + [(9, None, "c", "z"), (8, "", "c", "z")] * 3 + [(5, "five words of a clamped source here", "c", "z")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string").repartition(5)
+    out = mix(df).collect()
+    assert len(out) == len(rows) and max(r.copies for r in out) <= 2
+    for name in "abc":
+        mine = [r for r in out if r.source == name]
+        assert sum(r.size for r in mine) == mine[0].source_size
+        assert mine[0].target * 0.998 - 60 <= sum(r.taken for r in mine) <= mine[0].target
+    mixed = [tuple(r) for r in mixed_documents(df).collect()]
+    assert len(mixed) == sum(r.copies for r in out)
+    for name in "abc":
+        assert sum(len((t or "").split()) for _, t, s, _ in mixed if s == name) == sum(r.taken for r in out if r.source == name)
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -302,3 +360,18 @@ def test_archive_round_trip(spark, tmp_path):
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert len(block) == size + 4 and head.startswith(b"WARC/1.1\r\n")
+
+
+def test_damaged_archives_fail(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import archive
+
+    at, bad = str(tmp_path / "warc"), str(tmp_path / "bad")
+    archive.write_archive(spark.createDataFrame([(1, "u", "<p>one"), (2, "u", "<p>two")], "page_id long, url string, html string"), at)
+    archive.read_headers(spark, at).write.parquet(f"{bad}/headers")
+    stored = spark.read.parquet(f"{at}/payloads")
+    stored.withColumn("body", F.lit(bytes(stored.first().body))).write.parquet(f"{bad}/payloads")
+    for read in (archive.read_payloads, archive.archive_report):
+        with pytest.raises(Exception, match="doesn't match its digest"):
+            read(spark, bad).collect()

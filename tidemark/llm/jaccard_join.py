@@ -386,8 +386,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     leads = numbered.select(F.col("node").alias("comp"), F.col("rep").alias("least"))
     known = numbered.select("hi", "lo", "node").join(comp, "node").join(leads, "comp").select("hi", "lo", "least")
     known = scratch.stage(known, "named")
-    alone = documents.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("own")).join(known, ["hi", "lo"], "left").select("hi", "lo", F.when(F.col("least").isNull(), F.col("own")).otherwise(F.col("least")).alias("least"))
-    named = documents.join(alone, ["hi", "lo"], "left")
+    # staged, so that the last join alone reads the rows of a set that has many, and can be split
+    least = documents.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("own")).join(known, ["hi", "lo"], "left").select("hi", "lo", F.when(F.col("least").isNull(), F.col("own")).otherwise(F.col("least")).alias("least"))
+    named = documents.join(scratch.stage(least, "least"), ["hi", "lo"], "left")
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.col("tag").alias("text_tag"))
 
 
