@@ -20,6 +20,8 @@ LEVELS = (1, 4, 16)
 #: Queries in a block, about; a block is what tasks get.
 QUERY_BLOCK = 2048
 CHUNK = 512
+#: Pairs that are bounded or scored at once.
+PAIRS = 1 << 16
 
 
 def quantized(vectors: list) -> list[np.ndarray | None]:
@@ -57,18 +59,25 @@ class Best:
         self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, q.dtype)]  # query, vector, score
 
     def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        few = 2 * self.k + 1
+        if len(ids) > few and not np.isfinite(self.reach).all():
+            # a few rows first: without bounds every pair would be scored
+            self.add(ids[:few], v[:few])
+            ids, v = ids[few:], v[few:]
         f = v.astype(np.float64)
         slack = 1 + 1e-9 * self.most * np.abs(f).max(initial=1) * v.shape[1]
         stats = [_stats(f, s, False) for s in LEVELS]
         qi, vi = np.nonzero((self.stats[0] @ stats[0].T + slack >= self.reach[:, None]) & (self.ids[:, None] != ids[None, :]))
         for mine, theirs in zip(self.stats[1:], stats[1:], strict=True):
-            keep = np.einsum("ij,ij->i", mine[qi], theirs[vi]) + slack >= self.reach[qi]
+            keep = [np.einsum("ij,ij->i", mine[qi[i : i + PAIRS]], theirs[vi[i : i + PAIRS]]) + slack >= self.reach[qi[i : i + PAIRS]] for i in range(0, len(qi), PAIRS)]
+            keep = np.concatenate([np.zeros(0, bool), *keep])
             qi, vi = qi[keep], vi[keep]
         if v.dtype == object or self.q.dtype == object or self.most * np.abs(f).max(initial=1) * v.shape[1] >= 2.0**62:
             score = np.array([sum(int(a) * int(b) for a, b in zip(self.q[i], v[j], strict=True)) for i, j in zip(qi, vi, strict=True)], object)
             self.rows[2] = self.rows[2].astype(object)
         else:
-            score = np.einsum("ij,ij->i", self.q[qi], v[vi])
+            parts = range(0, len(qi), PAIRS)
+            score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", self.q[qi[i : i + PAIRS]], v[vi[i : i + PAIRS]]) for i in parts)])
         rows = [np.r_[a, b] for a, b in zip(self.rows, (qi, ids[vi], score), strict=True)]
         order = np.lexsort((rows[1], -rows[2], rows[0]))
         rows = [a[order] for a in rows]
