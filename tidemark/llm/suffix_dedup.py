@@ -36,6 +36,8 @@ _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 SLICE = 1 << 20
 #: Text bytes of a block and suffixes of a run.
 BLOCK_BYTES, RUN = 32 << 20, 60_000
+#: Text bytes by which buckets are counted.
+BUCKET_BYTES = 2 << 20
 
 
 class Roller:
@@ -229,15 +231,12 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("tag"), "doc_id", "text")
     reach = window - K
-    buckets = 256
-    while buckets < 2 * int(spark.conf.get("spark.sql.shuffle.partitions")):
+    size, buckets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 256
+    while buckets < size // BUCKET_BYTES:
         buckets *= 2
     kind = "bucket int, block long, data binary"
     marks_kind = "id long, tag long, starts binary, ends binary"
 
-    def table(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "block", "data"])
-
     def find(batches):
         from pyspark import TaskContext
 
@@ -261,11 +260,11 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
             g = (g >> np.uint64(32)).astype(np.uint32)
             s = np.lexsort((g, home))
             cuts = np.searchsorted(home[s], np.arange(buckets + 1))
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 x = s[cuts[b] : cuts[b + 1]]
                 if len(x):
                     out.append((b, name, common.pack(np.diff(g[x], prepend=np.uint32(0)), p[x].astype(np.uint32))))
-            return table(out)
+            return common.blobs(out)
 
         for batch in batches:
             i0, t0 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -352,13 +351,13 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
             home = (g & np.uint64(buckets - 1)).astype(np.int64)
             order = np.lexsort((np.argsort(np.argsort(np.ascontiguousarray(right).view(f"S{window}").reshape(-1), kind="stable")), home)) if len(s) else np.zeros(0, np.int64)
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 x = order[cuts[b] : cuts[b + 1]]
                 if len(x):
                     lcp, rest = front_coded(right[x])
                     i = s[x]
                     out.append((b, part << 24 | run, common.pack(lcp, rest, rows_[i, :reach][:, ::-1].reshape(-1), ahead[i], behind[i], ids[i], tags[i], place[i].astype(np.int64))))
-            return table(out)
+            return common.blobs(out)
 
         count = 0
         for batch in batches:
