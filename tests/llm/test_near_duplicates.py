@@ -273,6 +273,16 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(str(tuple(r)) for r in token_counts(frame(spark, rows), P.path("word_bpe_49k.json")).collect()) == want
 
 
+def test_tokenizers_of_another_kind_are_refused(spark):
+    import public_tokenizers as P
+
+    from tidemark.llm.token_counts import check_supported, token_counts
+
+    check_supported(P.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        token_counts(frame(spark, [(1, "a")]), P.path("byte_bpe_50k.json"))
+
+
 def water_fill(sizes):
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     clamped = {}

@@ -7,8 +7,10 @@ counts the pieces of each distinct pre-token once and answers every block that
 asked. A join by block then multiplies matrix and counts and sums.
 """
 
+import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,9 +28,26 @@ _UNUSUAL = re.compile("[\x1c-\x1f\x85ɐ-‒―-‗‚‛„‟-‥‧-₫₭-\U0
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 #: Bytes of text in a block; each block's matrix and dictionary fit easily in a task.
 BLOCK_BYTES = 32 << 20
+#: Text bytes by which dictionary buckets are counted.
+BUCKET_BYTES = 16 << 20
 
 
+def check_supported(path: str) -> None:
+    """Raises unless the file cuts texts as pre_tokens() does: lower case, these words, these special tokens, BPE of pre-tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    kinds = [x["type"] for x in steps]
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = next((x["pattern"].get("Regex") for x in pre if x["type"] == "Split"), None) or ""
+    special = {x["content"] for x in spec["added_tokens"]}
+    if kinds != ["NFC", "Replace", "Lowercase"] or pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}") != _WORDS.pattern or special != set(SPECIALS) or spec["model"]["type"] != "BPE":
+        raise ValueError(f"{path}: a tokenizer that cuts texts in another way")
+
+
+@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """Kept in the Python worker from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -67,13 +86,15 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     """Per row of docs: key, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null or empty text: 0 bytes, 0 tokens. Null keys and repeated rows come
-    back as they are, a row each. Special strings count as one token, as the
+    back as they are, a row each. A tokenizer file that cuts texts in another way
+    than this module raises. Special strings count as one token, as the
     library's default has them. Other columns are not looked at.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "token-counts")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    check_supported(tokenizer)
+    buckets = 16 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
 
     def cut(batches):
         import xxhash
