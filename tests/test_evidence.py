@@ -43,3 +43,31 @@ def test_nearest_rank_index(values, p):
 def test_nearest_rank(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([],)], "v array<double>")
     assert [r[0] for r in df.select(T.nearest_rank(F.col("v"), 95)).collect()] == [3.0, 0.0]
+
+
+def test_pages_too_large_give_one_row(spark):
+    from tidemark.plans import legibility
+    from tidemark.sources import captures
+
+    rows = [(1, "https://a.example/", "<main><h1>x</h1></main>"), (2, "https://a.example/big", "x" * (legibility.MAX_CHARS + 1)), (None, "https://b.example/", None)]
+    found = legibility.page_evidence(captures.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    large = [r for r in found if r.source_url.endswith("/big")]
+    assert [(r.kind, r.selector) for r in large] == [("text", "page#too-large")] and len(found) > 3
+
+
+def test_findings_of_odd_rows(spark):
+    from tidemark.operators import evidence
+
+    rows = [("a", "injection", None, "category: x: y\r\nseverity low)\r\n"), ("b", "injection", "injection#clean", "category: z"), ("c", "text", None, "category: z"), ("d", "injection", "s", "")]
+    found = {r.id: tuple(r)[1:] for r in evidence.injection_findings(spark.createDataFrame(rows, "id string, kind string, selector string, raw string")).collect()}
+    assert found == {"a": ("x: y", "low", "severity low)"), "d": ("unknown", "medium", "")}
+
+
+def test_induced_keeps_only_what_was_shown(spark):
+    from tidemark.operators import capabilities
+
+    rows = [("s", i, f"n{i}", ["a", "z", "", "a"] if i == 0 else None if i == 1 else ["q"]) for i in range(14)]
+    shown = spark.createDataFrame([("s", "a"), ("t", "q"), ("s", "a")], "site string, id string")
+    out = {r.place: r for r in capabilities.induced(spark.createDataFrame(rows, "site string, place int, name string, evidence_ids array<string>"), shown).collect()}
+    assert len(out) == 12 and (out[0].kept, out[0].hallucinated, out[0].status) == (["a", "a"], ["z"], "reported")
+    assert (out[1].kept, out[1].status, out[2].hallucinated, out[2].status) == ([], "dropped", ["q"], "dropped")

@@ -118,6 +118,13 @@ def nonce(content: Column) -> Column:
     return F.left(F.sha2(content, 256), F.lit(12))
 
 
+def snippet(text: Column, start: Column, end: Column, width: int = 160) -> Column:
+    """What stands around code points start to end (exclusive), white space collapsed, with ellipses where more stands."""
+    first, last = F.greatest(start - width // 3, F.lit(0)), F.least(end + width // 2, F.length(text))
+    part = collapsed(F.substring(text, first + 1, last - first))
+    return F.concat(F.when(first > 0, "…").otherwise(""), part, F.when(last < F.length(text), "…").otherwise(""))
+
+
 def forged_delimiters(content: Column) -> Column:
     return F.regexp_count(content, F.lit(DELIMITER))
 

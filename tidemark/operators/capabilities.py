@@ -11,6 +11,38 @@ def implies_state_change(name: Column, verb: Column, flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | F.lower(verb).isin(*P.STATE_CHANGING) | F.arrays_overlap(F.split(F.lower(name), "_"), markers)
 
 
+def state_changing_rate(capabilities: DataFrame) -> DataFrame:
+    """tools, changing and rate over accepted capabilities that have a tool; the rate is 0 where there are none."""
+    used = capabilities.where(F.col("accepted") & F.col("has_tool"))
+    changes = implies_state_change(F.col("name"), F.col("verb"), F.col("state_changing"))
+    out = used.agg(F.count("*").alias("tools"), F.count_if(changes).alias("changing"))
+    return out.withColumn("rate", F.when(F.col("tools") > 0, F.col("changing") / F.col("tools")).otherwise(0.0))
+
+
+def cited_rows(cited: DataFrame, evidence: DataFrame, most: int = 8) -> DataFrame:
+    """The first evidence rows that a capability cites, in the order of the store: cap_id, position, id."""
+    order = Window.partitionBy("cap_id").orderBy("ord", "id")
+    found = cited.select("cap_id", "id").distinct().join(evidence.select("id", "ord"), "id")
+    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).select("cap_id", "position", "id")
+
+
+def induced(proposals: DataFrame, shown: DataFrame, most: int = 12) -> DataFrame:
+    """Proposals (site, place, name, evidence_ids) after validation: the first of a site, with the ids that were shown to the model.
+
+    kept: shown ids in the given order; hallucinated: the others; status: ok,
+    reported (some were not shown) or dropped (none was). Ids are looked up in a
+    join, so what was shown may be large. Empty ids and null lists count as none.
+    """
+    first = proposals.withColumn("_i", F.row_number().over(Window.partitionBy("site").orderBy("place"))).where(F.col("_i") <= most).drop("_i")
+    given = first.select("site", "place", F.posexplode("evidence_ids").alias("at", "id")).where("id <> ''")
+    seen = given.join(shown.select("site", "id", F.lit(True).alias("seen")).distinct(), ["site", "id"], "left")
+    listed = lambda ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("at", "id")))), lambda x: x["id"])
+    judged = seen.groupBy("site", "place").agg(listed(F.col("seen").isNotNull()).alias("kept"), listed(F.col("seen").isNull()).alias("hallucinated"))
+    none = F.array().cast("array<string>")
+    out = first.drop("evidence_ids").join(judged, ["site", "place"], "left").withColumns({c: F.coalesce(c, none) for c in ("kept", "hallucinated")})
+    return out.withColumn("status", F.when(F.size("kept") == 0, "dropped").when(F.size("hallucinated") > 0, "reported").otherwise("ok"))
+
+
 def snake_name(name: Column) -> Column:
     return F.translate(F.lower(F.trim(name)), " -", "__")
 

@@ -46,3 +46,26 @@ def induced(rows: DataFrame) -> DataFrame:
 def snapshot(rows: DataFrame) -> DataFrame:
     """Evidence handed on to generated tools: content cut at 2000, without what only scoring reads."""
     return rows.where(~F.col("kind").isin("rendering", "media", "injection", "header")).withColumn("content", F.left("raw", F.lit(2000)))
+
+
+def ordered_references(references: DataFrame) -> DataFrame:
+    """Every evidence id that the checks of a site cite, once, in the order of checks and places: site, position, id from (site, check, place, id)."""
+    first = references.groupBy("site", "id").agg(F.min(F.struct("check", "place")).alias("at"))
+    order = Window.partitionBy("site").orderBy("at", "id")
+    return first.select("site", F.row_number().over(order).alias("position"), "id")
+
+
+def drawer(references: DataFrame, rows: DataFrame) -> DataFrame:
+    """The evidence rows behind each reference of a check; references that nothing stands for drop out."""
+    return references.select("site", "check", "place", "id").join(rows, ["site", "id"])
+
+
+def injection_findings(rows: DataFrame) -> DataFrame:
+    """Injection evidence as findings: id, category, severity, description, read from the lines of raw; rows that only say that a scan was clean are none."""
+    found = rows.where((F.col("kind") == "injection") & (F.coalesce("selector", F.lit("")) != "injection#clean"))
+    lines = F.split(F.regexp_replace("raw", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    found = found.withColumn("_lines", lines)
+    head, level = "category: ", "severity "
+    category = F.get(F.filter("_lines", lambda x: x.startswith(head)), F.lit(0))
+    severity = F.rtrim(F.regexp_extract(F.get(F.filter("_lines", lambda x: F.contains(x, F.lit(level))), F.lit(0)), level + "(.*)$", 1), F.lit(")"))
+    return found.select("id", F.coalesce(F.substring(category, len(head) + 1, F.length(category)), F.lit("unknown")).alias("category"), F.when(severity.isin("info", "low", "medium", "high"), severity).otherwise("medium").alias("severity"), F.left(F.element_at("_lines", -1), F.lit(400)).alias("description"))

@@ -58,6 +58,31 @@ def value_text(key: Column, value: Column) -> Column:
     return F.when(value.isNull(), "—").when(key.endswith("_seconds") | key.endswith("_delta"), one).when(key.endswith("_usd"), F.format_string("%.2f", value)).otherwise(F.format_string("%.3f", value))
 
 
+def target_text(target: Column, comparison: Column) -> Column:
+    """The comparison and the target in its shortest form; a dash where there is nothing to reach."""
+    short = F.regexp_replace(target.cast("string"), r"\.0$", "")
+    return F.when(target.isNull() | (comparison == "info"), "—").otherwise(F.concat(comparison, short))
+
+
+def with_specs(results: DataFrame, specs: DataFrame) -> DataFrame:
+    """Measured values (key, value, samples) with their specs (key, class, target, comparison): status, value_text and target_text. A key without a spec drops out; specs are a small table."""
+    joined = results.join(F.broadcast(specs), "key")
+    status = metric_status(F.col("value"), F.col("samples"), F.col("class"), F.col("target"), F.col("comparison"))
+    return joined.withColumns({"status": status, "value_text": value_text(F.col("key"), F.col("value")), "target_text": target_text(F.col("target"), F.col("comparison"))})
+
+
+def gates(results: DataFrame, run: str = "run") -> DataFrame:
+    """Per run: whether every gate passes (a blocked or thin one doesn't; without gates all do), and how many results are thin or blocked."""
+    gate = F.when(F.col("class") == "gate", F.col("status") == "PASS")
+    return results.groupBy(run).agg(F.coalesce(F.bool_and(gate), F.lit(True)).alias("gates_pass"), F.count_if(F.col("status") == "THIN").alias("thin"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"))
+
+
+def label_status(labels: DataFrame) -> DataFrame:
+    """entries and labelled ones: those with a band and capabilities."""
+    full = (F.coalesce("expected_band", F.lit("")) != "") & (F.coalesce(F.size("capabilities"), F.lit(0)) > 0)
+    return labels.agg(F.count("*").alias("entries"), F.count_if(full).alias("labelled"))
+
+
 def injection_recall(expected: Column, found: Column) -> Column:
     want = F.array_distinct(expected)
     return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(want, found)) / F.size(want))

@@ -22,7 +22,7 @@ def rate_slots(requests: DataFrame, domain: str = "domain", at: str = "t", order
 
 
 def reclaimed(processing: DataFrame, heartbeats: DataFrame, now: Column, ttl: int = 120) -> DataFrame:
-    """Jobs in processing whose worker has no heartbeat within ttl seconds, oldest first."""
+    """Jobs in processing whose worker has no heartbeat within ttl seconds, in no order."""
     alive = heartbeats.where(now - F.col("beat") <= ttl).select("worker").distinct()
     return processing.join(alive, "worker", "left_anti")
 
@@ -32,10 +32,18 @@ def fifo(jobs: DataFrame) -> DataFrame:
 
 
 def leaderboard(scores: DataFrame, group: str) -> DataFrame:
-    """Ranks by percentage, not total, over all and in each group."""
+    """Ranks by percentage, not total, over all and in each group.
+
+    Percentages have one decimal, so the counts from which ranks over all come
+    are a small table, whatever the number of rows.
+    """
     pct = T.percentage(F.col("total"), F.col("max_possible"))
     out = scores.withColumn("percentage", T.half_even(pct, 1))
-    return out.withColumn("rank", F.rank().over(Window.orderBy(F.desc("percentage")))).withColumn("group_rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc("percentage"))))
+    above = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = out.groupBy(F.col("percentage").alias("_p")).agg(F.count("*").alias("_n"))  # a row for each tenth
+    ranks = counts.select("_p", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    out = out.join(F.broadcast(ranks), F.col("percentage").eqNullSafe(F.col("_p"))).drop("_p")
+    return out.withColumn("group_rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc("percentage"))))
 
 
 def provider_usage(calls: DataFrame) -> DataFrame:

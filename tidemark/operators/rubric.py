@@ -142,11 +142,13 @@ def _n(name: str) -> Column:
     return F.col(f"n_{name}")
 
 
-def _r(name: str, k: int) -> Column:
-    return F.slice(F.col(f"r_{name}"), 1, k)
+#: No limit on the references of a check.
+ALL = None
 
 
-ALL = 1000
+def _r(name: str, k: int | None) -> Column:
+    refs = F.col(f"r_{name}")
+    return refs if k is None else F.slice(refs, 1, k)
 
 
 def checks() -> list[Check]:

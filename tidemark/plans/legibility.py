@@ -13,6 +13,8 @@ ROW = "array<struct<kind:string,selector:string,raw:string,phase:string>>"
 
 #: Rows of a page have ords from page_ord * PAGE; those from its links from LINKS on.
 PAGE, LINKS = 1_000_000, 900_000
+#: Longer pages give one row that says so; no detector reads them.
+MAX_CHARS = 3_000_000
 
 
 def _some(ok: Column, *rows: Column) -> Column:
@@ -69,7 +71,9 @@ def page_evidence(found: DataFrame) -> DataFrame:
     """Evidence of every capture by the page detectors: one pass over the pages and one over their links, then keep-first by id."""
     html, url, text = F.col("html"), F.col("final_url"), F.col("_text")
     read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)).select("site", "page_ord", "final_url", "status", "headers", "html")
-    read = captures.spread(read)
+    large = F.length("html") > MAX_CHARS
+    big = read.where(large).select("site", "page_ord", url.alias("source_url"), F.lit(0).alias("seq"), pages.row("text", "page#too-large", F.concat(F.lit("Page of "), F.length("html").cast("string"), F.lit(" chars: not scanned."))).alias("e"))
+    read = captures.spread(read.where(~large))
     ok = dom.parsed(read).withColumn("_ld", structured.entities(structured.scripts(html)))
     # what several rows need is computed once, in projections of its own
     ok = ok.withColumns({"_text": T.meaningful_text(html), "_forms": F.coalesce("forms", F.array().cast(ok.schema["forms"].dataType)), "_items": F.coalesce("items", F.array().cast(ok.schema["items"].dataType)), "_blocks": F.coalesce(F.filter("blocks", lambda b: b["location"] != "visible_text"), F.array().cast(ok.schema["blocks"].dataType))})
@@ -95,7 +99,7 @@ def page_evidence(found: DataFrame) -> DataFrame:
         _some(F.size("_auth") > 0, pages.row("header", "header#auth", _joined(F.col("_auth"), 1500))),
     )
     spread = ok.select("site", "page_ord", url.alias("source_url"), F.posexplode(rows).alias("seq", "e"))
-    every = spread.unionByName(_link_rows(read)).withColumn("ord", F.col("page_ord").cast("long") * PAGE + F.col("seq"))
+    every = spread.unionByName(_link_rows(read)).unionByName(big).withColumn("ord", F.col("page_ord").cast("long") * PAGE + F.col("seq"))
     return evidence.keep_first(evidence.identified(every.select("site", "ord", "source_url", "e.*")))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-CAPTURES = "site string, page_ord int, url string, final_url string, status int, headers map<string,string>, html string, pre_html string, mode string, fetch_error string, robots_blocked boolean"
+CAPTURES = "site string, page_ord long, url string, final_url string, status int, headers map<string,string>, html string, pre_html string, mode string, fetch_error string, robots_blocked boolean"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -15,13 +15,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Captures without a browser from (page_id, url, html): the host is the site, pages are in order of page_id."""
+    """Captures without a browser from (page_id, url, html): the host is the site, pages are in order of page_id, null ones first. No page is moved."""
     site = T.normalised_domain(F.col("url"))
-    order = Window.partitionBy("site").orderBy("page_id")
     return pages.select(
         "page_id", site.alias("site"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.create_map().cast("map<string,string>").alias("headers"),
         F.coalesce("html", F.lit("")).alias("html"), F.coalesce("html", F.lit("")).alias("pre_html"), F.lit("").alias("post_html"), F.lit("degraded").alias("mode"), F.lit(None).cast("string").alias("fetch_error"), F.lit(False).alias("robots_blocked"),
-    ).withColumn("page_ord", F.row_number().over(order))
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_ord"),
+    )
+
+
+def summaries(captures: DataFrame) -> DataFrame:
+    """What a report says of each page: its addresses, status, how it was captured and the lengths of its html."""
+    return captures.select("site", "url", "final_url", F.col("status").alias("status_code"), "robots_blocked", (F.col("mode") == "degraded").alias("degraded"), F.length("pre_html").alias("pre_js_chars"), F.length("post_html").alias("post_js_chars"), "fetch_error")
 
 
 def refused(url: Column, reason: Column, robots: Column) -> Column:
