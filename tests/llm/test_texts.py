@@ -24,6 +24,9 @@ def test_media_round_trip(spark):
         p = media.padded(raw)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert by_text.setdefault(t or "", (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        # the payload ends the file, and every 16th frame of 64 bytes is a keyframe
+        starts = range(r.media_bytes - len(p), r.media_bytes, 16 * 64)
+        assert (r.codec, r.timescale, r.duration) == ("raw ", 25, len(p) // 64) and [tuple(k) for k in r.keyframes] == [(a, a + 64) for a in starts]
 
 
 def test_probe_of_other_layouts():
@@ -42,7 +45,9 @@ def test_media_columns_report_errors(spark):
 
     df = spark.createDataFrame([(1, bytearray(media.wrap(bytes(64)))), (2, None), (3, bytearray(b"junk"))], "id int, media binary")
     got = {r.id: r.info for r in media.media_columns(df).collect()}
-    assert got[1].n_samples == 1 and len(got[1].keyframes) == 1 and got[2] is None and got[3].error
+    assert got[1].n_samples == 1 and len(got[1].keyframes) == 1 and got[1].error is None and got[2] is None
+    assert got[3].error and got[3].codec is None and got[3].keyframes is None
+    assert media.media_columns(df.where("id = 2")).first().info is None and media.media_columns(df.limit(0)).count() == 0
 
 
 def test_quality_on_held_out_rows(spark):

@@ -168,6 +168,20 @@ def samples(raw: bytes, found: dict) -> bytes:
     return b"".join(raw[offsets[i] : ends[j - 1]] for i, j in pairwise(at))
 
 
+def key_ranges(found: dict) -> np.ndarray:
+    """Byte ranges (start, end) of the keyframes that probe() found."""
+    a = found["offsets"][found["keys"]]
+    return np.stack([a, a + found["sizes"][found["keys"]]], 1)
+
+
+def _ranges(each: list[np.ndarray | None]) -> pa.Array:
+    """Ranges of each row as one list column, null where there are none to tell."""
+    flat = np.concatenate([np.zeros((0, 2), np.int64), *(x for x in each if x is not None)])
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in each)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs, mask=pa.array([x is None for x in each], pa.bool_()))
+
+
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds ``info``: codec, timescale, duration, n_samples, keyframes (byte ranges, end exclusive), error.
 
@@ -176,16 +190,20 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """
     kind = "struct<codec:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>,error:string>"
 
-    @F.udf(kind)
-    def info(raw):
-        if raw is None:
-            return None
-        try:
-            x = probe(bytes(raw))
-        except Malformed as e:
-            return None, None, None, None, None, str(e)
-        a, n = x["offsets"][x["keys"]], x["sizes"][x["keys"]]
-        return x["codec"], x["timescale"], x["duration"], len(x["offsets"]), list(zip(a.tolist(), (a + n).tolist(), strict=True)), None
+    @F.arrow_udf(kind)
+    def info(cells: pa.Array) -> pa.Array:
+        codec, timescale, duration, n, keys, error = ([None] * len(cells) for _ in range(6))
+        for i, cell in enumerate(cells):
+            if not cell.is_valid:
+                continue
+            try:
+                x = probe(cell.as_buffer().to_pybytes())
+            except Malformed as e:
+                error[i] = str(e)
+                continue
+            codec[i], timescale[i], duration[i], n[i], keys[i] = x["codec"], x["timescale"], x["duration"], len(x["offsets"]), key_ranges(x)
+        columns = [pa.array(codec, pa.string()), *(pa.array(c, pa.int64()) for c in (timescale, duration, n)), _ranges(keys), pa.array(error, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["codec", "timescale", "duration", "n_samples", "keyframes", "error"], mask=cells.is_null())
 
     return df.withColumn("info", info(F.col(media)))
 
@@ -207,7 +225,7 @@ def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def media_features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Stores texts as media, reads the stored bytes back and computes per row: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """Stores texts as media, reads the stored bytes back and computes per row: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; codec, timescale, duration, keyframes (byte ranges in the stored form, end exclusive).
 
     Equal texts get equal values. Null keys and repeated rows come back as they
     are. feature: codec, timescale, duration, samples, keyframes, and SHA-256
@@ -216,18 +234,20 @@ def media_features(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     stored = common.Scratch(docs.sparkSession, "media").stage(text_media(docs, text, key), "media")
 
     def read(batches):
-        names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "keyframes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            out = []
+            out, keys = [], []
             for k, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = cell.as_buffer().to_pybytes()
                 x = probe(raw)
-                payload = samples(raw, x)
-                a = x["offsets"][x["keys"]]
-                ranges = np.stack([a, a + x["sizes"][x["keys"]]], 1).astype(">i8").tobytes()
-                feature = f"{x['codec'].strip()}:{x['timescale']}:{x['duration']}:{len(x['offsets'])}:{len(a)}:{hashlib.sha256(ranges).hexdigest()[:16]}"
-                out.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
-
-    return stored.mapInArrow(read, f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                payload, ranges = samples(raw, x), key_ranges(x)
+                digest = hashlib.sha256(ranges.astype(">i8").tobytes()).hexdigest()[:16]
+                feature = f"{x['codec'].strip()}:{x['timescale']}:{x['duration']}:{len(x['offsets'])}:{len(ranges)}:{digest}"
+                out.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, x["codec"], x["timescale"], x["duration"]))
+                keys.append(ranges)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, _ranges(keys)], names)
+
+    kind = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return stored.mapInArrow(read, f"`{key}` long, {kind}, codec string, timescale long, duration long, keyframes array<struct<start:bigint,end:bigint>>")
