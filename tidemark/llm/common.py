@@ -72,6 +72,17 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def deal(df: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """df dealt by the number in its column bucket to about so many tasks, the session's shuffle partitions at least.
+
+    ``buckets`` and the number of tasks are powers of two, so every task gets
+    as many buckets as any other; hashes of the numbers would put several into
+    one task and none into another. A group by bucket needs no further shuffle.
+    """
+    want = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionById(min(buckets, 1 << (want - 1).bit_length()), "bucket")
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; a missing one raises as Spark does."""
     return df.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))

@@ -224,7 +224,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             once[1:] = (d[1:] != d[:-1]) | (fp[1:] != fp[:-1]) | (home[1:] != home[:-1])
             d, fp, home = d[once], fp[once], home[once]
             at = part << 24 | block
-            out = [(at % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(tags), inverse.astype(np.uint32), nodes.reshape(-1), n[first], np.bincount(d, minlength=len(nodes)), bits.reshape(-1)))]
+            # heads go to all buckets in turn: blocks of one task to distant ones, those of the next task beside them
+            out = [((part + 61 * block) % buckets, at, b"h" + common.pack(np.concatenate(ids), np.concatenate(null).astype(np.uint8), np.concatenate(tags), inverse.astype(np.uint32), nodes.reshape(-1), n[first], np.bincount(d, minlength=len(nodes)), bits.reshape(-1)))]
             cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True]) if len(home) else np.zeros(1, np.int64)
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 out.append((int(home[i]), at, b"t" + common.pack(np.diff(fp[i:j], prepend=np.uint32(0)), d[i:j])))
@@ -307,7 +308,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             out.append(table("set", len(own), hi=nodes[own, 0], lo=nodes[own, 1], n=n[own], most=most[own], **{w: bits[own, i] for i, w in enumerate(words_)}))
         return pa.concat_tables(out)
 
-    dealt = rows.mapInArrow(cut, kind).repartition(parts, "bucket").groupBy("bucket").applyInArrow(frequencies, kind)
+    dealt = common.deal(rows.mapInArrow(cut, kind), buckets, parts).groupBy("bucket").applyInArrow(frequencies, kind)
     found = scratch.stage(dealt.repartition(parts, "block").groupBy("block").applyInArrow(prefixes, index_kind), "prefixes")
     documents = found.where("kind = 'document'").select("id", "tag", "hi", "lo", "n")
 
