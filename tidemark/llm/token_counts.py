@@ -94,7 +94,9 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     scratch = common.Scratch(spark, "token-counts")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     check_supported(tokenizer)
-    buckets = 16 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    size, buckets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 16
+    while buckets < size // BUCKET_BYTES:
+        buckets *= 2
 
     def cut(batches):
         import xxhash
@@ -123,9 +125,8 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
             step = np.where(new, w, w - np.r_[0, w[:-1]][: len(w)])
             matrix = common.pack(h[:, 0], h[:, 1].astype(np.uint8), h[:, 2], h[:, 3].astype(np.uint32), np.searchsorted(d, np.arange(len(h) + 1)).astype(np.uint32), step.astype(np.uint32), count.astype(np.uint32))
             out = [(-1, name, matrix)]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    out.append((b, name, common.squeeze("\n".join(words[i] for i in order[cuts[b] : cuts[b + 1]]).encode("utf-8", "surrogatepass"))))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                out.append((b, name, common.squeeze("\n".join(words[i] for i in order[cuts[b] : cuts[b + 1]]).encode("utf-8", "surrogatepass"))))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "block", "data"])
 
         for batch in batches:
@@ -159,7 +160,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         answers = [common.pack(np.fromiter(map(known.__getitem__, w), np.uint32, len(w))) for w in words]
         return pd.DataFrame({"bucket": frame["bucket"], "block": frame["block"], "data": answers})
 
-    counted = cuts.where("bucket >= 0").groupBy("bucket").applyInPandas(count, kind)
+    counted = common.deal(cuts.where("bucket >= 0"), buckets, buckets).groupBy("bucket").applyInPandas(count, kind)
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bucket")
