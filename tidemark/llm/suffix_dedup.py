@@ -36,8 +36,8 @@ _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 SLICE = 1 << 20
 #: Text bytes of a block and suffixes of a run.
 BLOCK_BYTES, RUN = 32 << 20, 60_000
-#: Text bytes by which buckets are counted.
-BUCKET_BYTES = 2 << 20
+#: Text bytes by which buckets and the tasks for them are counted.
+BUCKET_BYTES, PART_BYTES = 2 << 20, 16 << 20
 
 
 class Roller:
@@ -234,6 +234,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
     size, buckets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 256
     while buckets < size // BUCKET_BYTES:
         buckets *= 2
+    parts = min(buckets, 8 + size // PART_BYTES)
     kind = "bucket int, block long, data binary"
     marks_kind = "id long, tag long, starts binary, ends binary"
 
@@ -303,7 +304,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
         out = [(0, int(blocks[b]), common.pack(place[keep & (source == b)])) for b in np.unique(source[keep])]
         return pd.DataFrame(out, columns=["bucket", "block", "data"])
 
-    repeated = found.where("bucket >= 0").groupBy("bucket").applyInPandas(twice, kind)
+    repeated = common.deal(found.where("bucket >= 0"), buckets, parts).groupBy("bucket").applyInPandas(twice, kind)
 
     def by_document(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame[frame["bucket"] == -1]["data"].iloc[0]
@@ -405,7 +406,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
     def repeated_in_run(frame: pd.DataFrame) -> pd.DataFrame:
         return spans(*(np.concatenate(x) for x in zip(*(common.unpack(x) for x in frame["data"]), strict=True)))
 
-    marks = runs.where("bucket >= 0").groupBy("bucket").applyInPandas(merge, marks_kind)
+    marks = common.deal(runs.where("bucket >= 0"), buckets, parts).groupBy("bucket").applyInPandas(merge, marks_kind)
     again = runs.where("bucket < 0").groupBy("block").applyInPandas(repeated_in_run, marks_kind)
     everything = scratch.stage(marks.unionByName(again).unionByName(within), "marks")
     scratch.drop(found, places, runs)
