@@ -83,6 +83,23 @@ def deal(df: DataFrame, buckets: int, tasks: int) -> DataFrame:
     return df.repartitionById(min(buckets, 1 << (want - 1).bit_length()), "bucket")
 
 
+def beside(rows: DataFrame, facts: DataFrame, keys: list[str], few: int, salts: int = 64) -> DataFrame:
+    """rows with the other columns of facts, which has one row by keys and is staged; null keys are equal, rows without facts get nulls.
+
+    Facts of at most ``few`` rows are broadcast. Of more, each goes to all
+    ``salts`` shares of its rows, so that a key with most of the rows is no single task.
+    """
+    facts = facts.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *(c for c in facts.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    if facts.limit(few + 1).count() <= few:
+        facts = F.broadcast(facts)
+    else:
+        rows = rows.withColumn("_salt", (F.rand(1) * salts).cast("int"))
+        facts = facts.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same.append(F.col("_salt") == F.col("_share"))
+    return rows.join(facts, same, "left").drop("_salt", "_share", *(f"_key{i}" for i in range(len(keys))))
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; a missing one raises as Spark does."""
     return df.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
