@@ -8,7 +8,8 @@ the ones whose gram occurs twice.
 
 1. Each block finds its anchors. Anchors of a block with the same bytes all
    around (the reach of any window over them) are repeats of the first one and
-   are marked at once; so one block sends a hot passage once.
+   are marked at once; so one block sends a hot passage once. They are found by
+   a hash and compared byte by byte.
 2. Fingerprints of the anchors' grams go by bucket; those that occur twice come
    back as positions in documents.
 3. Tasks cut the suffixes at these positions, sort them into runs and
@@ -38,6 +39,8 @@ SLICE = 1 << 20
 BLOCK_BYTES, RUN = 32 << 20, 60_000
 #: Text bytes by which buckets and the tasks for them are counted.
 BUCKET_BYTES, PART_BYTES = 2 << 20, 16 << 20
+#: Places whose bytes are compared at once.
+ROWS = 1 << 13
 
 
 class Roller:
@@ -170,12 +173,26 @@ def dense_rank(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(code: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the first of each code by rank and place, and of those after it; the same place again is neither."""
+def repeats(code: np.ndarray, rank: np.ndarray, place: np.ndarray, equal) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the first of each code by rank and place, and of those after it; the same place again is neither.
+
+    equal(some, others) compares the bytes that codes are hashes of. What has
+    the code of a first one but other bytes is no repeat and counts as a first one.
+    """
     s = np.lexsort((place, rank, code))
     first = np.r_[True, code[s][1:] != code[s][:-1]][: len(s)]
     lead = s[np.flatnonzero(first)][np.cumsum(first) - 1] if len(s) else s
-    return s[first], s[(rank[s] != rank[lead]) | (place[s] != place[lead])]
+    later = (rank[s] != rank[lead]) | (place[s] != place[lead])
+    same = np.concatenate([np.zeros(0, bool), *(equal(s[later][i : i + ROWS], lead[later][i : i + ROWS]) for i in range(0, int(later.sum()), ROWS))])
+    return np.append(s[first], s[later][~same]), s[later][same]
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a[x] and a[y] on, size[x] of them, are equal and as many."""
+    ahead = np.arange(int(size[x].max(initial=0)))
+    last = len(data) - 1
+    same = (data[np.minimum(a[x][:, None] + ahead, last)] == data[np.minimum(a[y][:, None] + ahead, last)]) | (ahead >= size[x][:, None])
+    return same.all(1) & (size[x] == size[y])
 
 
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +259,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
         from pyspark import TaskContext
 
         roller, part, block = Roller(), TaskContext.get().partitionId(), 0
-        ids, tags, lens, place, gram, around, held = [], [], [], [], [], [], 0
+        ids, tags, lens, place, gram, around, begin, texts, held = [], [], [], [], [], [], [], [], 0
 
         def flush():
             id_, tag, n = np.concatenate(ids), np.concatenate(tags), np.concatenate(lens)
@@ -250,7 +267,9 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
             p, g, c = np.concatenate(place), np.concatenate(gram), np.concatenate(around)
             rank = dense_rank(id_, tag)
             d = np.searchsorted(start, p, "right") - 1
-            once, again = repeats(c, rank[d], p - start[d])
+            whole, left = np.concatenate(texts), np.concatenate(begin)
+            right = np.minimum(p + window, start[d + 1])
+            once, again = repeats(c, rank[d], p - start[d], lambda x, y: equal_bytes(whole, left, x, y, right - left) & (p[x] - left[x] == p[y] - left[y]))
             again, s = np.sort(again), once
             name = part << 24 | block
             a = p[again] - start[d[again]]  # of the anchor in its document
@@ -277,6 +296,8 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
                 a, b = np.maximum(p - reach, at[d]), np.minimum(p + window, at[d + 1])
                 sides = ((p - a) << 32 | (b - p)).astype(np.uint64)
                 around.append(common.mix64(roller.ranges(sums, a, b) + common.mix64(sides)))
+                begin.append(a + held)
+                texts.append(x)
                 place.append(p + held)
                 gram.append(h)
                 ids.append(i0[i:j])
@@ -285,7 +306,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
                 held += len(x)
                 if held >= BLOCK_BYTES:
                     yield flush()
-                    ids, tags, lens, place, gram, around, held, block = [], [], [], [], [], [], 0, block + 1
+                    ids, tags, lens, place, gram, around, begin, texts, held, block = [], [], [], [], [], [], [], [], 0, block + 1
         if ids:
             yield flush()
 
@@ -342,7 +363,7 @@ def removed_ranges(docs: DataFrame, window: int, text: str, key: str) -> tuple[D
             rows_, ahead, behind, ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True))
             sides = (ahead.astype(np.uint64) << np.uint64(8)) | behind
             digest = common.mix64(roller.rows(rows_) + common.mix64(sides))
-            s, again = repeats(digest, dense_rank(ids, tags), place)
+            s, again = repeats(digest, dense_rank(ids, tags), place, lambda x, y: (rows_[x] == rows_[y]).all(1) & (ahead[x] == ahead[y]) & (behind[x] == behind[y]))
             out = []
             if len(again):
                 p, b, a = place[again], behind[again].astype(np.int64), ahead[again].astype(np.int64)
@@ -420,8 +441,11 @@ def suffix_dedup(docs: DataFrame, window: int = 100, text: str = "text", key: st
     the smaller key, or an earlier start in one document. A null key counts as
     the smallest; rows that repeat a key are ordered by a hash of their texts,
     and rows that repeat key and text are one document, returned as often as
-    given. Remaining bytes may split characters; they are bytes, not text.
+    given. Remaining bytes may split characters; they are bytes, not text. Bytes
+    are compared before any is removed. window: from K + 1 to 255.
     """
+    if not K < window < 256:
+        raise ValueError(f"window is from {K + 1} to 255")
     rows, marks = removed_ranges(docs, window, text, key)
     per = marks.groupBy("id", "tag").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
