@@ -22,17 +22,19 @@ group. g grows with the class of sizes, so keys stay in proportion to a prefix.
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected
-from .suffix_dedup import Roller
 
 WORDS = 5
 #: Frequent tokens are in more sets than RARE; about GROUP prefix tokens of the smallest set of a class share a hash group.
 RARE, GROUP = 16, 2
 BLOCK_BYTES, SLICE = 8 << 20, 512 << 10
+#: Bytes of a word that are hashed as they are.
+PLAIN = 16
 #: Text bytes by which buckets and their partitions are counted.
 BUCKET_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: Words of 64 bits in a set's parity bitmap: sets differ by at least as many tokens as their bitmaps by bits.
@@ -44,8 +46,22 @@ MORE = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(data: np.ndarray, off: np.ndarray, roller: Roller, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, 64-bit hash) of the distinct shingles of texts side by side, by document, then hash.
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, mixed from its length and its bytes; of a word of more than PLAIN bytes, from XXH3-128 of them."""
+    size = end - start
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(PLAIN, np.uint8)), PLAIN)[start]
+    rows[np.arange(PLAIN) >= size[:, None]] = 0
+    low, high = rows.view("<u8").reshape(-1, 2).T.astype(np.uint64)
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > PLAIN).tolist():
+        digest = xxhash.xxh3_128_intdigest(raw[start[i] : end[i]])
+        low[i], high[i] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
+    n = common.mix64(size.astype(np.uint64) + _MIX[0])
+    return common.mix64(low ^ common.mix64(high ^ n)), common.mix64(high + _MIX[1] * common.mix64(low + _MIX[2] * n))
+
+
+def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document index, 64-bit hash, another one) of the distinct shingles of texts side by side, by document, then hash.
 
     A-Z count as a-z; words are what stands between bytes 32 and 9 to 13.
     Fewer words than ``words`` are one shingle.
@@ -63,36 +79,37 @@ def shingles(data: np.ndarray, off: np.ndarray, roller: Roller, words: int = WOR
     last[edge] = False
     end = np.flatnonzero(solid & ~last) + 1
     doc = np.searchsorted(off, start, "right") - 1
-    sums = roller.sums(low)
-    word = common.mix64(roller.ranges(sums, start, end) + (end - start).astype(np.uint64))
-    m = len(word) - words + 1
-    parts = []
-    if m > 0:
-        whole = doc[:m] == doc[words - 1 :]
-        h = sum((word[i : m + i] * _MIX[i % 5] * np.uint64(2 * (i // 5) + 1) for i in range(1, words)), word[:m] * _MIX[0])
-        parts.append((doc[:m][whole], common.mix64(h[whole])))
     count = np.bincount(doc, minlength=len(off) - 1)
     at = np.r_[0, np.cumsum(count)]
-    for n in range(1, words):
-        d = np.flatnonzero(count == n)
-        h = np.full(len(d), n, np.uint64)
-        for i in range(n):
-            h = common.mix64(h * _MIX[0] + word[at[d] + i])
-        parts.append((d, common.mix64(h ^ _MIX[4])))
-    d, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-    s = np.lexsort((h, d))
-    d, h = d[s], h[s]
+    m = len(doc) - words + 1
+    whole = doc[:m] == doc[words - 1 :] if m > 0 else np.zeros(0, bool)
+    short = [(n, np.flatnonzero(count == n)) for n in range(1, words)]
+    hashes = []
+    for word, factor in zip(word_hashes(low, start, end), (_MIX, _MIX[::-1] * _MIX), strict=True):
+        parts = []
+        if m > 0:
+            h = sum((word[i : m + i] * factor[i % 5] * np.uint64(2 * (i // 5) + 1) for i in range(1, words)), word[:m] * factor[0])
+            parts.append(common.mix64(h[whole]))
+        for n, d in short:
+            h = np.full(len(d), n, np.uint64)
+            for i in range(n):
+                h = common.mix64(h * factor[0] + word[at[d] + i])
+            parts.append(common.mix64(h ^ factor[4]))
+        hashes.append(np.concatenate(parts))
+    d = np.concatenate([*([doc[:m][whole]] if m > 0 else []), *(x for _, x in short)])
+    s = np.lexsort((hashes[0], d))
+    d, h, other = d[s], hashes[0][s], hashes[1][s]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    return d[new], h[new]
+    return d[new], h[new], other[new]
 
 
-def set_names(d: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and a name of each document's set, two longs; equal sets have equal names, empty ones 0."""
+def set_names(d: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and a name of each document's set, two longs of a hash each; equal sets have equal names, empty ones 0."""
     n = np.bincount(d, minlength=docs)
     at = np.r_[0, np.cumsum(n)]
     halves = []
-    for seed in (1, 3):
+    for seed, h in zip((1, 3), hashes, strict=True):
         total = np.r_[np.uint64(0), np.cumsum(common.mix64(h ^ _MIX[seed]))]
         half = common.mix64((total[at[1:]] - total[at[:-1]]) + n.astype(np.uint64) * _MIX[2])
         halves.append(np.where(n > 0, half, np.uint64(0)).view(np.int64))
@@ -187,7 +204,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     texts, and those without words, have no shingles and are alone. A null key
     takes part but never names a component; a component of null keys only has a
     null id. Rows that repeat a key are documents of their own. Other columns
-    aren't looked at. Sets count as equal where 128 bits of their hashes agree.
+    aren't looked at. Shingles are compared by 64 bits and equal sets found by
+    128 bits of hashes that are mixed from whole words; nothing else is inexact.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "jaccard-join")
@@ -202,7 +220,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     def cut(batches):
         from pyspark import TaskContext
 
-        roller, part, block = Roller(), TaskContext.get().partitionId(), 0
+        part, block = TaskContext.get().partitionId(), 0
         ids, null, tags, sizes, names, parity, owner, token, held, docs_ = [], [], [], [], [], [], [], [], 0, 0
 
         def flush():
@@ -236,8 +254,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             data, off = common.text_buffers(batch.column(1))
             tag = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in common.slices(off, SLICE):
-                d, h = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], roller, words)
-                n, name = set_names(d, h, j - i)
+                d, h, other = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
+                n, name = set_names(d, (h, other), j - i)
                 ids.append(values[i:j])
                 tags.append(tag[i:j])
                 null.append(missing[i:j])
@@ -331,11 +349,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     scratch.drop(slim)
 
     def tokens(batches):
-        roller = Roller()
         for batch in batches:
             data, off = common.text_buffers(batch.column(1))
             for i, j in common.slices(off, SLICE):
-                d, h = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], roller, words)
+                d, h, _ = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(d, minlength=j - i))].astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["node", "tokens"])
 
