@@ -385,3 +385,57 @@ def test_damaged_archives_fail(spark, tmp_path):
     for read in (archive.read_payloads, archive.archive_report):
         with pytest.raises(Exception, match="doesn't match its digest"):
             read(spark, bad).collect()
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_on_which_polynomial_hashes_agree_do_not_link(spark):
+    """Thue-Morse strings and their complements: equal under any odd base modulo 2^64 from 1024 bytes on."""
+    from tidemark.llm.jaccard_join import jaccard_components
+
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, "b", "a")), (3, thue_morse(4096)), (4, thue_morse(4096, "b", "a")), (5, thue_morse(1024)), (6, "x" * 100_000), (7, "x" * 99_999 + "y"), (8, "a" * 16), (9, "a" * 16 + "\0"), (10, "a" * 17)]
+    rows += [(20 + i, " ".join(f"{w}{i // 2}" for w in "p q r s t".split()) + " " + thue_morse(2048, *("ab" if i % 2 else "ba"))) for i in range(4)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
+def test_word_hashes_tell_words_apart():
+    from tidemark.llm.jaccard_join import word_hashes
+
+    words = [b"a", b"a\0", b"\0a", b"ab", b"ba", *(bytes([i]) * n for i in (0, 1, 97, 255) for n in (7, 8, 9, 15, 16, 17, 40)), *(str(i).encode() for i in range(5000))]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    for h in word_hashes(data, end - [len(w) for w in words], end):
+        assert len(np.unique(h)) == len(words)
+    assert all(len(h) == 0 for h in word_hashes(data[:0], end[:0], end[:0]))
+
+
+def test_repeats_compare_bytes_not_hashes():
+    from tidemark.llm.suffix_dedup import equal_bytes, repeats
+
+    text = np.frombuffer(b"abcabdabcab", np.uint8)
+    at, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    same = lambda x, y: equal_bytes(text, at, x, y, size)
+    once, again = repeats(np.zeros(4, np.uint64), np.zeros(4, np.int64), at, same)
+    assert sorted(once.tolist()) == [0, 1, 3] and again.tolist() == [2]
+    once, again = repeats(np.zeros(0, np.uint64), np.zeros(0, np.int64), at[:0], same)
+    assert len(once) == len(again) == 0
+
+
+def test_removal_of_texts_on_which_hashes_nearly_agree(spark):
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    texts = [thue_morse(4096), thue_morse(4096, "b", "a"), "x" + thue_morse(512) + "y", "q" * 300, thue_morse(256, "b", "a") + "z"]
+    want = brute_kept({i: t.encode() for i, t in enumerate(texts)})
+    got = suffix_dedup(frame(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+@pytest.mark.parametrize("window", [0, 30, 40, 256, 300])
+def test_windows_out_of_range_raise(spark, window):
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    with pytest.raises(ValueError, match="window"):
+        suffix_dedup(frame(spark, [(1, "a")]), window)
