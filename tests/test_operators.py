@@ -46,7 +46,7 @@ def test_forms_media_and_hidden_text(spark):
     assert [(f.selector, f.fields, f.named, f.labelled, f.coverage) for f in r.forms] == [("form#find#get#search", 1, 1, 1, 100), ("form#contact#post#contact", 2, 1, 1, 50)]
     assert (r.images, r.content_images, r.with_alt) == (4, 2, 1)
     assert {b.location for b in r.blocks} == {"hidden_element", "html_comment", "attribute", "visible_text"}
-    assert [tuple(i) for i in r["items"]] == [("Offer", "price", "5")]
+    assert [(e.syntax, e.type) for e in r.entities] == [("microdata", "Offer")] and '"price": "5"' in r.nodes[0].node
 
 
 def test_dom_size_limit_and_nulls(spark):
@@ -130,7 +130,7 @@ def test_flagship_uses_every_page_detector(spark):
     rows = legibility.page_evidence(found)
     selectors = {(r.kind, r.selector): r.raw for r in rows.where("site = 'x.example'").collect()}
     want = {
-        ("jsonld", "jsonld#Product"), ("jsonld", "jsonld#Offer"), ("identifier", "jsonld#Product.sku"), ("text", "pricing#structured-price"), ("text", "pricing#structured-availability"),
+        ("jsonld", "json-ld#Product"), ("jsonld", "json-ld#Offer"), ("identifier", "jsonld#Product.sku"), ("text", "pricing#structured-price"), ("text", "pricing#structured-availability"),
         ("text", "pricing#rendered-price"), ("identifier", "url-pattern#/product/{id}"), ("identifier", "url-pattern#/items/{slug}-{id}"), ("identifier", "url-query#/p?sku="), ("openapi", "a[href=/help/build]"),
         ("form", "form#contact#post#contact"), ("media", "media#text-image-balance"), ("text", "governance#tos-addresses-automation"), ("text", "governance#machine-auth-documented"), ("injection", "injection#ignore_previous#hidden_element"),
     }

@@ -1,103 +1,49 @@
-"""Detectors that need document structure: one parse of each page with the standard library, all findings at once."""
+"""Detectors that need document structure: one parse of each page, all findings at once."""
 
+import json
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from . import items, markup
+from .structured import json_nodes
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "noscript", "template", "svg"}
 # fixed values: hints of form purposes and of decorative images
 SEARCH_HINTS = ("search", "query", "q", "keyword", "term", "find", "lookup")
 CONTACT_HINTS = ("contact", "enquiry", "inquiry", "message", "feedback", "support", "quote")
 DECORATIVE = ("icon", "logo", "sprite", "spacer", "pixel", "avatar", "bullet", "arrow")
 IGNORED_INPUTS = {"submit", "button", "reset", "image", "hidden"}
 _STYLE = re.compile(P.HIDDEN_STYLE)
+#: Characters of a hidden element inside another one that are a block of their own; what follows is scanned with the outer one.
+INNER = 100
 KIND = (
     "forms array<struct<selector:string,method:string,purpose:string,fields:int,named:int,labelled:int,coverage:int>>, "
     "images int, content_images int, with_alt int, empty_alt int, text_chars int, blocks array<struct<location:string,selector:string,text:string>>, "
-    "items array<struct<type:string,prop:string,value:string>>"
+    "entities array<struct<syntax:string,type:string,node:string>>, nodes array<struct<syntax:string,types:array<string>,node:string>>, errors array<string>"
 )
 
 
-class Element:
-    __slots__ = ("attrs", "parent", "tag", "text")
-
-    def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.parent, self.text = tag, attrs, parent, []
-
-    def up(self):
-        e = self
-        while e is not None:
-            yield e
-            e = e.parent
-
-    def path(self) -> str:
-        parts = []
-        for e in list(self.up())[:4]:
-            name = e.attrs.get("id")
-            classes = (e.attrs.get("class") or "").split()
-            parts.append(e.tag + (f"#{name}" if name else f".{classes[0]}" if classes else ""))
-        return " > ".join(reversed(parts))
-
-    def hidden(self) -> bool:
-        a = self.attrs
-        joined = " ".join((a.get("class") or "").split()).lower()
-        return "hidden" in a or a.get("aria-hidden") == "true" or bool(_STYLE.search(a.get("style") or "")) or any(t in joined for t in P.HIDDEN_CLASSES)
-
-
-class Page(HTMLParser):
-    """Elements in order with the text below each; unclosed ones end with an ancestor that closes."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[Element] = []
-        self.all: list[Element] = []
-        self.comments: list[str] = []
-        self.text: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        e = Element(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None)
-        self.all.append(e)
-        if tag not in VOID:
-            self.open.append(e)
-
-    def handle_startendtag(self, tag, attrs):
-        self.all.append(Element(tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        if data.strip() and not any(e.tag in SILENT or e.tag == "head" for e in self.open):
-            data = " ".join(data.split())
-            self.text.append(data)
-            for e in self.open:
-                e.text.append(data)
-
-    def handle_comment(self, data):
-        self.comments.append(data)
-
-
-def _forms(page: Page) -> list[tuple]:
-    labels = {e.attrs.get("for") for e in page.all if e.tag == "label"}
-    forms = [e for e in page.all if e.tag == "form"][:20]
-    inside: dict[int, list[Element]] = {id(f): [] for f in forms}
-    for e in page.all:
-        if e.tag in ("input", "select", "textarea") and not (e.tag == "input" and (e.attrs.get("type") or "text").lower() in IGNORED_INPUTS):
-            for up in e.up():
-                if id(up) in inside:
-                    inside[id(up)].append(e)
+def hidden(e: markup.Element) -> bool:
+    a = e.attrs
+    if "hidden" in a or a.get("aria-hidden") == "true" or _STYLE.search(a.get("style", "")):
+        return True
+    joined = a.get("class", "").lower()
+    return any(t in joined for t in P.HIDDEN_CLASSES)
+
+
+def _forms(page: markup.Page) -> list[tuple]:
+    labels = {e.attrs.get("for") for e in page.elements if e.tag == "label"}
+    forms = [e for e in page.elements if e.tag == "form"][:20]
+    inside: dict[int, list[markup.Element]] = {f.place: [] for f in forms}
+    for e in page.elements:
+        if e.tag in ("input", "select", "textarea") and e.form and e.form.place in inside and not (e.tag == "input" and e.attrs.get("type", "text").lower() in IGNORED_INPUTS):
+            inside[e.form.place].append(e)
     out = []
     for i, form in enumerate(forms):
-        fields = inside[id(form)]
+        fields = inside[form.place]
         if not fields:
             continue
         a = form.attrs
@@ -106,71 +52,98 @@ def _forms(page: Page) -> list[tuple]:
         purpose = "search" if any(h in hay for h in SEARCH_HINTS) else "contact" if any(h in hay for h in CONTACT_HINTS) else "other"
         method = (a.get("method") or "get").lower()
         named = sum(bool(f.attrs.get("name")) for f in fields)
-        labelled = sum(bool(f.attrs.get("aria-label") or f.attrs.get("aria-labelledby") or f.attrs.get("title") or (f.attrs.get("id") and f.attrs["id"] in labels)) or any(u.tag == "label" for u in f.up()) for f in fields)
+        labelled = sum(bool(f.labelled or f.attrs.get("aria-label") or f.attrs.get("aria-labelledby") or f.attrs.get("title") or (f.attrs.get("id") and f.attrs["id"] in labels)) for f in fields)
         name = a.get("id") or a.get("name") or f"form:nth-of-type({i + 1})"
         out.append((f"form#{name}#{method}#{purpose}", method, purpose, len(fields), named, labelled, round(100 * labelled / len(fields))))
     return out
 
 
-def _images(page: Page) -> tuple[int, int, int, int]:
-    images = [e.attrs for e in page.all if e.tag == "img"]
+def _images(page: markup.Page) -> tuple[int, int, int, int]:
+    images = [e.attrs for e in page.elements if e.tag == "img"]
+
+    def small(value: str) -> bool:
+        return value.isdecimal() and value.isascii() and (len(value) < 9 and int(value) < 100)
 
     def content(a: dict) -> bool:
-        if any((a.get(k) or "").strip().isdigit() and int(a[k].strip()) < 100 for k in ("width", "height")):
+        if any(small(a.get(k, "").strip()) for k in ("width", "height")):
             return False
-        hay = " ".join(a.get(k) or "" for k in ("src", "class", "id", "alt", "role")).lower()
+        hay = " ".join(a.get(k, "") for k in ("src", "class", "id", "alt", "role")).lower()
         return not (any(h in hay for h in DECORATIVE) or a.get("role") == "presentation" or a.get("aria-hidden") == "true")
 
     kept = [a for a in images if content(a)]
-    return len(images), len(kept), sum(bool((a.get("alt") or "").strip()) for a in kept), sum("alt" in a and not a["alt"].strip() for a in kept)
+    return len(images), len(kept), sum(bool(a.get("alt", "").strip()) for a in kept), sum("alt" in a and not a["alt"].strip() for a in kept)
 
 
-def _blocks(page: Page) -> list[tuple]:
+def _blocks(page: markup.Page) -> list[tuple]:
     out = [("html_comment", "<!-- -->", c) for c in page.comments]
-    for e in page.all:
-        if e.text and e.hidden():
-            out.append(("hidden_element", e.path(), " ".join(e.text)))
-        out += [("attribute", f"{e.path()}[{k}]", e.attrs[k]) for k in P.SUSPICIOUS_ATTRIBUTES if e.attrs.get(k, "").strip()]
-    out.append(("visible_text", "body", " ".join(page.text)))
+    covered = 0  # pieces that an outer hidden element holds
+    for e in page.elements:
+        if e.end > e.start and hidden(e):
+            if e.start >= covered:
+                out.append(("hidden_element", markup.path(e), page.text(e)))
+                covered = e.end
+            else:
+                out.append(("hidden_element", markup.path(e), page.text(e, INNER)))
+        if e.attrs:
+            out += [("attribute", f"{markup.path(e)}[{k}]", e.attrs[k]) for k in P.SUSPICIOUS_ATTRIBUTES if e.attrs.get(k, "").strip()]
+    out.append(("visible_text", "body", page.text()))
     return out
 
 
-def _items(page: Page) -> list[tuple]:
-    """Microdata and RDFa properties with the type of the item they belong to."""
-    out = []
-    for e in page.all:
-        prop = e.attrs.get("itemprop") or e.attrs.get("property")
-        owner = next((u.attrs.get("itemtype") or u.attrs.get("typeof") for u in e.up() if u is not e and ("itemtype" in u.attrs or "typeof" in u.attrs)), None)
-        if prop and owner:
-            value = e.attrs.get("content") or e.attrs.get("href") or " ".join(e.text)
-            out.append((owner.rstrip("/").rsplit("/", 1)[-1].rsplit("#", 1)[-1], prop, value))
+def _nodes(page: markup.Page) -> list[tuple]:
+    """All nodes of structured data: syntax, types and JSON, in order of syntaxes and of the page."""
+    out = [("json-ld", types, node) for kind, text in page.scripts if "ld+json" in kind.lower() for types, node in json_nodes(text)]
+    for syntax, trees in (("microdata", items.microdata(page)), ("rdfa", items.rdfa(page))):
+        out += [(syntax, types or ["untyped"], json.dumps(node, indent=2, ensure_ascii=False)) for types, node in trees]
     return out
 
 
+def _entities(nodes: list[tuple]) -> list[tuple]:
+    """The first node of each syntax and type; untyped ones only where a syntax has no others."""
+    first: dict[str, dict[str, str]] = {}
+    for syntax, types, node in nodes:
+        for t in types:
+            first.setdefault(syntax, {}).setdefault(t, node)
+    return [(syntax, t, node) for syntax, found in first.items() for t, node in found.items() if t != "untyped" or len(found) == 1]
+
+
 def parsed(captures: DataFrame, html: str = "html") -> DataFrame:
-    """Adds what the structure of each page shows: forms, image counts, text blocks for injection scans, microdata. Pages over the size limit get nulls."""
+    """Adds what the structure of each page shows: forms, image counts, text blocks for injection scans, structured data.
+
+    Pages over the size limit get nulls. A part that fails on a page is null
+    there and named in errors; the others are not touched by it.
+    """
     names = captures.columns
     kept = captures.withColumn("_html", F.when(F.coalesce(F.length(html), F.lit(0)) <= P.MAX_HTML, F.coalesce(F.col(html), F.lit(""))))
     fields = captures.sparkSession.createDataFrame([], KIND).schema
+    parts = (("forms", _forms, 1), ("media", _images, 4), ("text", lambda page: len(page.text()), 1), ("injection", _blocks, 1), ("jsonld", _nodes, 1))
+
+    def findings(text: str) -> tuple:
+        errors, out = [], []
+        try:
+            page = markup.Page(text)
+        except Exception:  # one page must not end the job; it is named
+            return (*(None for _ in range(len(fields) - 1)), ["parse"])
+        for name, find, width in parts:
+            try:
+                found = find(page)
+            except Exception:  # a failing detector loses its own rows only
+                errors.append(name)
+                found = (None,) * width if width > 1 else None
+            out += found if width > 1 else [found]
+        nodes = out.pop()
+        return (*out, None if nodes is None else _entities(nodes), nodes, errors)
 
     def read(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            out = []
-            for text in batch.column(len(names)).to_pylist():
-                if text is None:
-                    out.append((None,) * len(fields))
-                    continue
-                page = Page()
-                page.feed(text)
-                page.close()
-                out.append((_forms(page), *_images(page), len(" ".join(page.text)), _blocks(page), _items(page)))
+            out = [(None,) * len(fields) if text is None else findings(text) for text in batch.column(len(names)).to_pylist()]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(fields)
             shaped = []
             for f, c in zip(fields, cols, strict=True):
                 kind = to_arrow_type(f.dataType)
-                if pa.types.is_list(kind):
+                if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
                     keys = [x.name for x in kind.value_type]
                     c = [None if v is None else [dict(zip(keys, t, strict=True)) for t in v] for v in c]
                 shaped.append(pa.array(c, kind))

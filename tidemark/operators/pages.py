@@ -180,11 +180,34 @@ def encoding_matches(text: Column) -> Column:
     return F.array_compact(F.array(F.when(hidden >= 3, "zero_width_chars"), F.when(bidi > 0, "bidi_control_chars")))
 
 
+def injection_hits(text: Column) -> Column:
+    """pattern and snippet of what injection_matches and encoding_matches find in a block of text."""
+
+    def around(pattern: str) -> Column:
+        start = F.regexp_instr(text, F.lit(pattern)) - 1
+        return T.snippet(text, start, start + F.length(F.regexp_extract(text, pattern, 0)))
+
+    hidden = F.concat((F.length(text) - F.length(F.translate(text, P.ZERO_WIDTH, ""))).cast("string"), F.lit(" zero-width characters in readable text"))
+
+    def hit(p: Column) -> Column:
+        said = F.when(p == "zero_width_chars", hidden).when(p == "bidi_control_chars", F.lit("Bidirectional control characters present"))
+        for name, _, _, pattern in P.INJECTION:
+            said = said.when(p == name, around(f"(?is){pattern}"))
+        return F.struct(p.alias("pattern"), said.alias("snippet"))
+
+    return F.transform(F.concat(injection_matches(text), encoding_matches(text)), hit)
+
+
 def injection_category(pattern: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, category, _, _ in P.INJECTION for x in (name, category)))
     return F.coalesce(F.try_element_at(known, pattern), F.lit("obfuscation"))
 
 
+def injection_severity(pattern: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for name, _, severity, _ in P.INJECTION for x in (name, severity)))
+    return F.coalesce(F.try_element_at(known, pattern), F.lit("medium"))
+
+
 def governance(url: Column, text: Column) -> Column:
     """Selectors of a legal or developer page of 200 characters or more."""
     path = T.url_path(url)

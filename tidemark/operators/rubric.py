@@ -211,7 +211,7 @@ def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     got = lambda name: F.try_element_at("s", F.lit(name))
     first = F.aggregate(
-        F.coalesce(got("entity")["entities"], F.expr("cast(array() as array<struct<ord:bigint,type:string,id:string>>)")), F.struct(none.alias("types"), none.alias("ids")),
+        F.coalesce(got("entity")["entities"], F.array().cast(f"array<struct<ord:{evidence.schema['ord'].dataType.simpleString()},type:string,id:string>>")), F.struct(none.alias("types"), none.alias("ids")),
         lambda a, e: F.when(F.array_contains(a["types"], e["type"]), a).otherwise(F.struct(F.concat(a["types"], F.array(e["type"])).alias("types"), F.concat(a["ids"], F.array(e["id"])).alias("ids"))),
     )
     cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in signals} | {f"r_{n}": F.coalesce(got(n)["refs"], none) for n in signals}

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +25,15 @@ REQUIRED = {
     "WebSite": ("url",),
 }
 COVERAGE_TYPES = ("Product", "Service", "Offer", "Event", "FAQPage", "OpeningHoursSpecification")
-SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"'][^\"']*ld\+json[^\"']*[\"'][^>]*>(.*?)</script\s*>"
 DEPTH = 6
-NODES = "array<struct<types:array<string>,node:string>>"
-
-
-def scripts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(SCRIPT), 1)
 
 
 def bare_type(x: Column) -> Column:
     return F.substring_index(F.substring_index(x, "/", -1), "#", -1)
 
 
-def _nodes(text: str | None) -> list[tuple]:
+def json_nodes(text: str | None) -> list[tuple[list[str], str]]:
+    """Bare types and JSON (two blanks of indent) of every object of a JSON document to DEPTH, in order; none if it doesn't parse."""
     try:
         root = json.loads(text)
     except (TypeError, ValueError, RecursionError):
@@ -58,35 +54,35 @@ def _nodes(text: str | None) -> list[tuple]:
             for y in x:
                 visit(y, depth + 1)
 
-    visit(root, 0)
+    try:
+        visit(root, 0)
+    except RecursionError:
+        return []
     return out
 
 
-def entities(payloads: Column) -> Column:
-    """Of an array of JSON documents: all objects as walk gives them, and type with the first object of each; "untyped" only if none has a type."""
-
-    @F.udf(f"struct<nodes:{NODES},typed:array<struct<type:string,node:string>>>")
-    def read(texts):
-        nodes = [n for t in texts or () for n in _nodes(t)]
-        typed = {}
-        for names, node in nodes:
-            for name in names:
-                typed.setdefault(name, node)
-        if len(typed) > 1:
-            typed.pop("untyped", None)
-        return nodes, list(typed.items())
-
-    return read(payloads)
-
-
 def walk(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Every object of a JSON document to depth 6, document order kept: adds depth_ord, types (bare), node (JSON text, two blanks of indent).
 
     Documents that don't parse give nothing. Objects without @type have the
-    one type "untyped".
+    one type "untyped". Documents are read in Arrow batches.
     """
-    nodes = F.udf(_nodes, NODES)
-    return payloads.select("*", F.posexplode(nodes(F.col(payload))).alias("depth_ord", "_n")).select("*", "_n.types", "_n.node").drop("_n")
+    names = payloads.columns
+    added = payloads.sparkSession.createDataFrame([], "depth_ord int, types array<string>, node string").schema
+
+    def read(batches):
+        for batch in batches:
+            found = [json_nodes(t) for t in batch.column(len(names)).to_pylist()]
+            row = pa.array([i for i, nodes in enumerate(found) for _ in nodes], pa.int32())
+            place = pa.array([k for nodes in found for k in range(len(nodes))], pa.int32())
+            types = pa.array([n[0] for nodes in found for n in nodes], pa.list_(pa.string()))
+            node = pa.array([n[1] for nodes in found for n in nodes], pa.string())
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[:-1]), place, types, node], [*names, *added.names])
+
+    schema = payloads.schema
+    for f in added:
+        schema = schema.add(f)
+    return payloads.withColumn("_payload", F.col(payload)).mapInArrow(read, schema)
 
 
 def members(payload: Column) -> Column:

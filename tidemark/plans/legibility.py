@@ -1,18 +1,22 @@
-"""The flagship plan: pages to evidence to site scores, without a browser."""
+"""The flagship plan: pages and site files to evidence to site scores, without a browser.
+
+Evidence of a site is ordered by struct: its files before its pages, files by
+detector, pages by place, rows of a page by detector. Any long will do for places.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import artifacts, dom, evidence, pages, rubric, structured
+from ..operators import artifacts, dom, evidence, pages, rubric, sites, structured
 from ..sources import captures
 
 ROW = "array<struct<kind:string,selector:string,raw:string,phase:string>>"
 
 
-#: Rows of a page have ords from page_ord * PAGE; those from its links from LINKS on.
-PAGE, LINKS = 1_000_000, 900_000
+#: Rows of a page from its links are numbered from here on.
+LINKS = 1 << 30
 #: Longer pages give one row that says so; no detector reads them.
 MAX_CHARS = 3_000_000
 
@@ -26,13 +30,13 @@ def _joined(x: Column, most: int) -> Column:
 
 
 def _structured_rows() -> list[Column]:
-    """Entities, identifiers, prices and availability of JSON-LD; prices and availability of microdata and RDFa too."""
-    each = lambda read: F.filter(F.flatten(F.transform("_ld.nodes", lambda n: read(n["node"]))), lambda x: x.isNotNull() & ~x.rlike(r" = \s*$"))
-    item = lambda prop: F.transform(F.filter("_items", lambda i: (F.lower(i["prop"]) == prop) & (T.stripped(i["value"]) != "")), lambda i: F.concat(i["type"], F.lit(f".{prop} = "), i["value"]))
-    price, stock = F.array_distinct(F.concat(each(structured.prices), item("price"))), F.array_distinct(F.concat(each(structured.availability), item("availability")))
-    ids = F.slice(F.array_distinct(each(structured.identifiers)), 1, 25)
+    """Entities, prices and availability of JSON-LD, microdata and RDFa; identifiers of JSON-LD."""
+    each = lambda nodes, read: F.array_distinct(F.filter(F.flatten(F.transform(nodes, lambda n: read(n["node"]))), lambda x: x.isNotNull() & ~x.rlike(r" = \s*$")))
+    price, stock = each("_nodes", structured.prices), each("_nodes", structured.availability)
+    ids = F.slice(each(F.filter("_nodes", lambda n: n["syntax"] == "json-ld"), structured.identifiers), 1, 25)
+    kind = lambda e: F.when(e["syntax"] == "json-ld", "jsonld").otherwise(e["syntax"])
     return [
-        F.transform("_ld.typed", lambda e: pages.row("jsonld", F.concat(F.lit("jsonld#"), e["type"]), structured.entity_text(e["node"]))),
+        F.transform("_entities", lambda e: F.struct(kind(e).alias("kind"), F.concat(e["syntax"], F.lit("#"), e["type"]).alias("selector"), structured.entity_text(e["node"]).alias("raw"), F.lit("pre_js").alias("phase"))),
         F.transform(ids, lambda x: pages.row("identifier", F.concat(F.lit("jsonld#"), F.substring_index(x, " = ", 1)), x)),
         _some(F.size(price) > 0, pages.row("text", "pricing#structured-price", F.concat(F.lit("Price expressed in structured markup:\n"), _joined(price, 1500)))),
         _some(F.size(stock) > 0, pages.row("text", "pricing#structured-availability", F.concat(F.lit("Availability expressed in structured markup:\n"), _joined(stock, 1500)))),
@@ -68,20 +72,28 @@ def _link_rows(ok: DataFrame) -> DataFrame:
 
 
 def page_evidence(found: DataFrame) -> DataFrame:
-    """Evidence of every capture by the page detectors: one pass over the pages and one over their links, then keep-first by id."""
+    """Evidence of every capture by the page detectors: one pass over the pages and one over their links."""
     html, url, text = F.col("html"), F.col("final_url"), F.col("_text")
     read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)).select("site", "page_ord", "final_url", "status", "headers", "html")
     large = F.length("html") > MAX_CHARS
     big = read.where(large).select("site", "page_ord", url.alias("source_url"), F.lit(0).alias("seq"), pages.row("text", "page#too-large", F.concat(F.lit("Page of "), F.length("html").cast("string"), F.lit(" chars: not scanned."))).alias("e"))
     read = captures.spread(read.where(~large))
-    ok = dom.parsed(read).withColumn("_ld", structured.entities(structured.scripts(html)))
+    ok = dom.parsed(read)
     # what several rows need is computed once, in projections of its own
-    ok = ok.withColumns({"_text": T.meaningful_text(html), "_forms": F.coalesce("forms", F.array().cast(ok.schema["forms"].dataType)), "_items": F.coalesce("items", F.array().cast(ok.schema["items"].dataType)), "_blocks": F.coalesce(F.filter("blocks", lambda b: b["location"] != "visible_text"), F.array().cast(ok.schema["blocks"].dataType))})
-    scan = lambda x: F.concat(pages.injection_matches(x), pages.encoding_matches(x))
-    hidden = F.flatten(F.transform("_blocks", lambda b: F.transform(scan(b["text"]), lambda p: F.struct(p.alias("pattern"), b["location"].alias("location"), b["selector"].alias("at")))))
-    ok = ok.withColumn("_injected", F.concat(F.transform(scan(text), lambda p: F.struct(p.alias("pattern"), F.lit("visible_text").alias("location"), F.lit("body").alias("at"))), hidden))
+    ok = ok.withColumns({"_text": T.meaningful_text(html), "_forms": F.coalesce("forms", F.array().cast(ok.schema["forms"].dataType)), "_entities": F.coalesce("entities", F.array().cast(ok.schema["entities"].dataType)), "_nodes": F.coalesce("nodes", F.array().cast(ok.schema["nodes"].dataType)), "_blocks": F.coalesce(F.filter("blocks", lambda b: b["location"] != "visible_text"), F.array().cast(ok.schema["blocks"].dataType))})
+    found_in = lambda x, location, at: F.transform(pages.injection_hits(x), lambda h: F.struct(h["pattern"].alias("pattern"), location.alias("location"), at.alias("at"), h["snippet"].alias("snippet")))
+    # encoding tricks are looked for in visible text only
+    hidden = F.flatten(F.transform("_blocks", lambda b: F.filter(found_in(b["text"], b["location"], b["selector"]), lambda h: ~h["pattern"].isin("zero_width_chars", "bidi_control_chars"))))
+    ok = ok.withColumn("_injected", F.concat(hidden, found_in(text, F.lit("visible_text"), F.lit("body"))))
+    # a pattern counts once at a place: the first
+    key = lambda h: F.struct(h["pattern"], h["location"], h["at"])
+    ok = ok.withColumn("_by_key", F.sort_array(F.transform("_injected", lambda h, i: F.struct(h["pattern"], h["location"], h["at"], i.alias("i"), h["snippet"]))))
+    first = F.filter("_by_key", lambda h, i: (i == 0) | (key(F.get("_by_key", i - 1)) != key(h)))
+    ok = ok.withColumn("_injected", F.sort_array(F.transform(first, lambda h: F.struct(h["i"], h["pattern"], h["location"], h["at"], h["snippet"]))))
     ok = ok.withColumns({"_canonical": pages.canonical(html, F.col("headers")), "_headings": pages.headings(html), "_chars": F.length(text), "_prices": pages.rendered_prices(text), "_stock": pages.rendered_availability(text), "_rates": pages.named_headers(F.col("headers"), P.RATE_LIMIT_HEADERS), "_auth": pages.named_headers(F.col("headers"), P.AUTH_HEADERS)})
-    injected = F.transform("_injected", lambda p: pages.row("injection", F.concat(F.lit("injection#"), p["pattern"], F.lit("#"), p["location"]), F.concat(F.lit("category: "), pages.injection_category(p["pattern"]), F.when(p["location"] == "visible_text", "").otherwise(F.concat(F.lit("\nat: "), p["at"])))))
+    place = lambda p: F.when(p["pattern"].isin("zero_width_chars", "bidi_control_chars"), "encoding").otherwise(p["location"])
+    said = lambda p: F.concat(F.lit("category: "), pages.injection_category(p["pattern"]), F.lit("\npattern: "), p["pattern"], F.lit(" (severity "), pages.injection_severity(p["pattern"]), F.lit(")\nat: "), p["at"], F.lit("\nsnippet: "), p["snippet"])
+    injected = F.transform("_injected", lambda p: pages.row("injection", F.concat(F.lit("injection#"), p["pattern"], F.lit("#"), place(p)), said(p)))
     injected = F.when(F.size("_injected") > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in readable regions.")))
     rows = F.concat(
         F.array(
@@ -99,13 +111,33 @@ def page_evidence(found: DataFrame) -> DataFrame:
         _some(F.size("_auth") > 0, pages.row("header", "header#auth", _joined(F.col("_auth"), 1500))),
     )
     spread = ok.select("site", "page_ord", url.alias("source_url"), F.posexplode(rows).alias("seq", "e"))
-    every = spread.unionByName(_link_rows(read)).unionByName(big).withColumn("ord", F.col("page_ord").cast("long") * PAGE + F.col("seq"))
-    return evidence.keep_first(evidence.identified(every.select("site", "ord", "source_url", "e.*")))
+    every = spread.unionByName(_link_rows(read)).unionByName(big)
+    return evidence.identified(every.select("site", _place(1, F.col("page_ord"), F.col("seq"), F.lit(0)), "source_url", "e.*"))
+
+
+def _place(part: int, first: Column, second: Column, third: Column) -> Column:
+    """Where a row stands among those of its site: files before pages."""
+    return F.struct(F.lit(part).alias("part"), first.cast("long").alias("a"), second.cast("long").alias("b"), third.cast("long").alias("c")).alias("ord")
+
+
+def site_evidence(found: DataFrame, resources: DataFrame) -> DataFrame:
+    """Evidence by the site detectors for every site of the captures."""
+    every = found.groupBy("site").agg(F.min(F.struct("page_ord", "final_url"))["final_url"].alias("url"))
+    root = F.concat(F.coalesce(T.url_scheme("url"), F.lit("https")), F.lit("://"), T.url_netloc(F.col("url")), F.lit("/"))
+    rows = sites.site_evidence(every.select("site", root.alias("root")), resources)
+    return evidence.identified(rows.select("site", _place(0, F.col("detector"), F.col("seq.ord"), F.col("seq.place")), "source_url", "kind", "selector", "raw", "phase"))
+
+
+def crawl_evidence(found: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """Evidence of captures and of the files of their sites (as operators.sites.RESOURCES), each id of a site once, the first by ord."""
+    if resources is None:
+        resources = found.sparkSession.createDataFrame([], sites.RESOURCES)
+    return evidence.keep_first(site_evidence(found, resources).unionByName(page_evidence(found)))
 
 
-def scores(page_table: DataFrame) -> DataFrame:
-    """Site scores of a table of pages."""
+def scores(page_table: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """Site scores of a table of pages and, if given, of the files of their sites."""
     found = captures.from_pages(page_table)
     inputs = rubric.scoring_input(found)
-    results = rubric.check_results(page_evidence(found), inputs)
+    results = rubric.check_results(crawl_evidence(found, resources), inputs)
     return rubric.site_scores(results, inputs)
