@@ -2,14 +2,13 @@
 
 Evidence has site, ord, id, source_url, kind, selector, raw. Inputs have site,
 pages_crawled, pages_ok, pages_robots_blocked, degraded; a site without any
-evidence still gets all checks. A suppressed check leaves both sums. The rows
-of a site are bounded by the crawl's page cap, and references are cut to the
-first few by ord.
+evidence still gets all checks. A suppressed check leaves both sums. References
+are the first few by ord, whatever a site's number of rows.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -191,33 +190,52 @@ def checks() -> list[Check]:
     ]
 
 
+#: References that a signal keeps, more than any check of pages cites; signals of site files keep all, as their files bound them.
+MOST_REFS = 10
+OF_FILES = ("robots", "robots_bad", "robots_absent", "stanza", "sitemap", "sitemap_bad", "llms", "llms_bad", "spec", "manifest")
+
+
+def first_references(rows: DataFrame, most: int) -> DataFrame:
+    """site, signal, refs: the first ids by ord of rows (site, ord, id, signal).
+
+    The rank limit is taken inside each task before rows are shuffled, and again
+    after it, so a signal of many rows costs no more than its first ones.
+    """
+    first = Window.partitionBy("site", "signal").orderBy("ord", "id")
+    kept = rows.select("site", "signal", "ord", "id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    return kept.groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("refs"))
+
+
 def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row for each site of inputs: n_ and r_ (count and references in order) of every signal, and the few means.
+    """One row for each site of inputs: n_ and r_ (count and first references in order) of every signal, and the few means.
 
-    Rows name the signals they carry, are grouped by site and signal, then the
-    groups of a site become one map. Means are of whole units (thousandths,
-    percents), so they don't depend on the order of rows.
+    Rows name the signals they carry and are counted by (site, signal) with
+    partial aggregation; references are the first few of each, entities the
+    first of each of six types, canonical pages a distinct count. So no value
+    grows with a site's rows. Means are of whole units (thousandths, percents),
+    so they don't depend on the order of rows.
     """
     signals = _signals()
     carried = F.array_compact(F.array(*(F.when(p, F.lit(n)) for n, p in signals.items())))
-    rows = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).alias("ratio"), F.when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long")).alias("coverage"), F.explode(carried).alias("signal"))
+    narrow = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).alias("ratio"), F.when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long")).alias("coverage"), carried.alias("signals"))
+    rows = narrow.withColumn("signal", F.explode("signals")).drop("signals")
     on = lambda name, x: F.when(F.col("signal") == name, x)
-    groups = rows.groupBy("site", "signal").agg(
-        F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("refs"),
-        F.sum(F.coalesce(on("ratio", F.col("ratio")), on("measured", F.col("coverage")))).alias("total"), F.collect_set(on("canonical", F.col("source_url"))).alias("urls"),
-        F.array_sort(F.collect_list(on("entity", F.struct("ord", "type", "id")))).alias("entities"),
-    )
-    by_site = groups.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "refs", "total", "urls", "entities")))).alias("s"))
+    groups = rows.groupBy("site", "signal").agg(F.count("*").alias("n"), F.sum(F.coalesce(on("ratio", F.col("ratio")), on("measured", F.col("coverage")))).alias("total"))
+    of_files = F.col("signal").isin(*OF_FILES)
+    listed = rows.where(of_files).groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("refs"))
+    refs = first_references(rows.where(~of_files), MOST_REFS).unionByName(listed)
+    groups = groups.join(refs, ["site", "signal"], "left")
+    by_site = groups.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "refs", "total")))).alias("s"))
+    pages = rows.where("signal = 'canonical'").select("site", "source_url").distinct().groupBy("site").agg(F.count("*").cast("int").alias("canonical_pages"))
+    types = rows.where("signal = 'entity'").groupBy("site", "type").agg(F.min(F.struct("ord", "id")).alias("first"))
+    entities = types.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("first", "type"))).alias("entities"))  # six types at most
     none = F.array().cast("array<string>")
     got = lambda name: F.try_element_at("s", F.lit(name))
-    first = F.aggregate(
-        F.coalesce(got("entity")["entities"], F.array().cast(f"array<struct<ord:{evidence.schema['ord'].dataType.simpleString()},type:string,id:string>>")), F.struct(none.alias("types"), none.alias("ids")),
-        lambda a, e: F.when(F.array_contains(a["types"], e["type"]), a).otherwise(F.struct(F.concat(a["types"], F.array(e["type"])).alias("types"), F.concat(a["ids"], F.array(e["id"])).alias("ids"))),
-    )
     cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in signals} | {f"r_{n}": F.coalesce(got(n)["refs"], none) for n in signals}
-    cols |= {"canonical_pages": F.coalesce(F.size(got("canonical")["urls"]), F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100), "entity": first}
-    out = inputs.join(by_site, "site", "left").withColumns(cols)
-    return out.withColumns({"canonical_pages": F.greatest("canonical_pages", F.lit(0)), "entity_types": F.col("entity.types"), "entity_refs": F.col("entity.ids")}).drop("entity", "s")
+    cols |= {"canonical_pages": F.coalesce("canonical_pages", F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100)}
+    cols |= {"entity_types": F.coalesce(F.transform("entities", lambda e: e["type"]), none), "entity_refs": F.coalesce(F.transform("entities", lambda e: e["first"]["id"]), none)}
+    out = inputs.join(by_site, "site", "left").join(pages, "site", "left").join(entities, "site", "left")
+    return out.withColumns(cols).drop("s", "entities")
 
 
 def check_results(evidence: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import artifacts, dom, evidence, pages, rubric, sites, structured
+from ..operators.registry import Registry
 from ..sources import captures
 
 ROW = "array<struct<kind:string,selector:string,raw:string,phase:string>>"
@@ -17,6 +18,8 @@ ROW = "array<struct<kind:string,selector:string,raw:string,phase:string>>"
 
 #: Rows of a page from its links are numbered from here on.
 LINKS = 1 << 30
+#: Those of users' detectors come after them.
+USERS = 1 << 31
 #: Longer pages give one row that says so; no detector reads them.
 MAX_CHARS = 3_000_000
 
@@ -128,16 +131,29 @@ def site_evidence(found: DataFrame, resources: DataFrame) -> DataFrame:
     return evidence.identified(rows.select("site", _place(0, F.col("detector"), F.col("seq.ord"), F.col("seq.place")), "source_url", "kind", "selector", "raw", "phase"))
 
 
-def crawl_evidence(found: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+def user_evidence(found: DataFrame, registry: Registry) -> DataFrame:
+    """Evidence of captures by registered detectors, after that of the built-in ones of the same page."""
+    read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299) & (F.length("html") <= MAX_CHARS))
+    rows = registry.evidence(read).withColumn("phase", F.lit("pre_js"))
+    return evidence.identified(rows.select("site", _place(1, F.col("page_ord"), F.col("detector") + USERS, F.col("seq")), "source_url", "kind", "selector", "raw", "phase"))
+
+
+def crawl_evidence(found: DataFrame, resources: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
     """Evidence of captures and of the files of their sites (as operators.sites.RESOURCES), each id of a site once, the first by ord."""
     if resources is None:
         resources = found.sparkSession.createDataFrame([], sites.RESOURCES)
-    return evidence.keep_first(site_evidence(found, resources).unionByName(page_evidence(found)))
+    every = site_evidence(found, resources).unionByName(page_evidence(found))
+    if registry and registry.detectors:
+        every = every.unionByName(user_evidence(found, registry))
+    return evidence.keep_first(every)
 
 
-def scores(page_table: DataFrame, resources: DataFrame | None = None) -> DataFrame:
-    """Site scores of a table of pages and, if given, of the files of their sites."""
+def scores(page_table: DataFrame, resources: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+    """Site scores of a table of pages and, if given, of the files of their sites and of users' detectors and checks."""
     found = captures.from_pages(page_table)
     inputs = rubric.scoring_input(found)
-    results = rubric.check_results(crawl_evidence(found, resources), inputs)
+    rows = crawl_evidence(found, resources, registry)
+    results = rubric.check_results(rows, inputs)
+    if registry and registry.checks:
+        results = results.unionByName(registry.results(rows, inputs))
     return rubric.site_scores(results, inputs)
