@@ -109,9 +109,15 @@ def conversation_roles(spark, sf):
     return c.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.col("text").rlike(r"(?i)\b(ignore|disregard|forget|override)\b").cast("long")).alias("overrides"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS domain, ((event_id * 37) % 100000)::DOUBLE AS t, greatest(user_id % 5, 2)::DOUBLE AS step FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY domain ORDER BY t) > 3600 THEN 1 ELSE 0 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY domain ORDER BY t ROWS UNBOUNDED PRECEDING) AS part FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain, part ORDER BY t) - 1 AS n FROM s),
+x AS (SELECT domain, t, n * step + max(t - n * step) OVER (PARTITION BY domain, part ORDER BY t ROWS UNBOUNDED PRECEDING) AS slot FROM n)
+SELECT domain, t, slot, slot - t AS wait FROM x""")
 def stream_rate_limiter(spark, sf):
-    """Slots of the event table as one stream batch, with state by domain."""
+    """Slots of the event table as a stream, with delays by domain; domains are forgotten after an hour without requests."""
     import uuid
 
     from ..streaming.events import rate_slots
@@ -119,7 +125,7 @@ def stream_rate_limiter(spark, sf):
 
     at = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
     e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
-    slots = rate_slots(e.select(F.col("user_id").cast("string").alias("domain"), (F.col("event_id") % 1000).cast("double").alias("t")))
+    slots = rate_slots(e.select(F.col("user_id").cast("string").alias("domain"), (F.col("event_id") * 37 % 100_000).cast("double").alias("t"), (F.col("user_id") % 5).cast("double").alias("delay")), delay="delay")
     slots.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{at}/log").awaitTermination()
     return spark.read.parquet(f"{at}/log")
 

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import dom, pages
+from ..operators import dom, pages, registry, rubric, structured
+from ..sources import captures
 from . import legibility
+from .derived_queries import _AGG, _COV, _EV, _SIGNALS, _ST, _TY, _evidence, _inputs
 from .fixtures import derived, table
 
 Q, O = {}, {}
@@ -126,3 +128,63 @@ def site_detector_rows(spark, sf):
     """Evidence of all five site detectors, absences included, with ids."""
     found = legibility.site_evidence(derived(spark, sf, _FILE_PAGES, "supplier"), derived(spark, sf, _FILES, "supplier"))
     return found.select("site", F.col("ord.a").alias("detector"), "source_url", "kind", "selector", "raw", "id")
+
+
+#: Signals that only references need, beside those of the points.
+_MORE = {
+    "robots_absent": "kind = 'robots' AND selector = 'robots.txt#absent'", "sitemap_bad": "kind = 'sitemap' AND selector = 'sitemap#unreachable'", "llms_bad": "kind = 'llmstxt' AND selector = 'llms.txt#not-markdown'",
+    "canonical": "kind = 'link' AND selector = 'link[rel=canonical]'", "structured": _ST, "identity": f"{_ST} AND {_TY} IN ('Organization', 'LocalBusiness')", "spec_bad": "kind = 'openapi' AND selector = 'openapi#not-a-spec'",
+    "manifest_bad": "kind = 'wellknown' AND contains(selector, '#not-a-manifest')", "contact": "kind = 'form' AND contains(selector, '#contact')", "measured": f"kind = 'form' AND {_COV} IS NOT NULL",
+    "ratio_rows": "kind = 'rendering' AND selector = 'rendering#delta' AND regexp_matches(raw, '(?m)^ratio:\\s*[0-9.]+')", "unrendered": "kind = 'rendering' AND selector = 'rendering#unavailable'", "heading": "kind = 'dom' AND selector = 'semantics#headings'",
+    "scroll": "kind = 'pagination' AND selector = 'pagination#infinite-scroll' AND contains(raw, 'may be unreachable')", "auth_header": "kind = 'header' AND selector = 'header#auth'",
+}
+#: By check: when, and the signals whose first rows are cited then, with how many (none: all).
+_CITES = {
+    "a1_robots_present": (("robots > 0 AND robots_bad = 0", ("robots", None)), ("robots > 0", ("robots", None), ("robots_bad", None)), ("true", ("robots_absent", None))),
+    "a1_robots_agent_stanza": (("true", ("stanza", None)),), "a1_sitemap": (("sitemap > 0", ("sitemap", None)), ("true", ("sitemap_bad", None))), "a1_llms_txt": (("llms > 0", ("llms", None)), ("true", ("llms_bad", None))),
+    "a1_canonical_coverage": (("true", ("canonical", 10)),), "a2_structured_present": (("typed > 0", ("typed", 10)), ("true", ("structured", 5))), "a2_organization_node": (("org > 0", ("org", 1)), ("true", ("identity", 3))),
+    "a2_required_properties": (("violating > 0", ("violating", 8)), ("true", ("covered", 10))), "a3_openapi_spec": (("spec > 0", ("spec", None)), ("true", ("spec_bad", 5))), "a3_documented_api": (("true", ("api", 8)),),
+    "a3_agent_manifest": (("manifest > 0", ("manifest", None)), ("true", ("manifest_bad", 4))), "a3_stable_discovery": (("pattern >= 2", ("pattern", 6)), ("get_form > 0", ("get_form", 4)), ("true", ("pattern", 3))),
+    "a3_contact_capability": (("contact_good > 0", ("contact_good", 4)), ("true", ("contact", 4))),
+    "a3_pricing_without_login": (("price > 0 AND gated = 0", ("price", 6)), ("shown > 0 AND gated = 0", ("shown", 6)), ("gated > 0", ("gated", 3))),
+    "a4_server_rendered": (("ratio IS NOT NULL", ("ratio_rows", 6)), ("true", ("unrendered", 3))), "a4_semantic_html": (("true", ("landmark", 4), ("heading", 4)),), "a4_text_in_images": (("true", ("media", 6)),),
+    "a4_crawlable_pagination": (("paged > 0", ("paged", 6)), ("true", ("scroll", 4))), "a5_stable_identifiers": (("id_s > 0", ("id_s", 8)), ("true", ("id_u", 8))),
+    "a5_structured_pricing": (("s_price + s_avail > 0", ("s_price", 4), ("s_avail", 4)), ("true", ("shown", 6))), "a5_form_labelling": (("true", ("measured", 6)),), "a5_no_interstitials": (("gated > 0", ("gated", 6)), ("true", ("open", 6))),
+    "a6_tos_automation": (("tos > 0", ("tos", 4)), ("true", ("silent", 3))), "a6_rate_limit_headers": (("true", ("rate", 4)),), "a6_machine_auth": (("auth > 0", ("auth", 4)), ("true", ("auth_header", 3))),
+    "a6_no_injection": (("injected > 0", ("injected", 8)), ("true", ("clean", 4))),
+}
+
+
+def _cites(check: str) -> str:
+    part = lambda s, k: f"coalesce(r_{s}, []){'' if k is None else f'[1:{k}]'}"
+    cases = " ".join(f"WHEN {when} THEN {' || '.join(part(s, k) for s, k in signals)}" for when, *signals in _CITES[check])
+    return f"SELECT site, '{check}' AS check_id, array_to_string(CASE {cases} ELSE [] END, ',') AS refs FROM sig JOIN lists USING (site)"
+
+
+@query(f"""
+WITH {_EV}, {_AGG}, lists AS (SELECT inp.site, {', '.join(f'list(id ORDER BY ord, id) FILTER (WHERE {w}) AS r_{n}' for n, w in (_SIGNALS | _MORE).items())} FROM inp LEFT JOIN ev ON ev.site = inp.site GROUP BY inp.site),
+e AS (SELECT site, {_TY} AS type, arg_min(id, ord) AS id, min(ord) AS ord FROM ev WHERE {_ST} AND {_TY} IN {structured.COVERAGE_TYPES} GROUP BY ALL)
+{' UNION ALL '.join(map(_cites, _CITES))}
+UNION ALL SELECT inp.site, 'a2_entity_coverage', coalesce(string_agg(e.id, ',' ORDER BY e.ord), '') FROM inp LEFT JOIN e ON e.site = inp.site GROUP BY inp.site""")
+def check_references(spark, sf):
+    """What every one of the 27 checks cites, in order."""
+    found = rubric.check_results(_evidence(spark, sf), _inputs(spark, sf))
+    return found.select("site", "check_id", F.array_join("evidence_refs", ",").alias("refs"))
+
+
+@query("""
+WITH p AS (SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS n FROM pages), w AS (SELECT page_id, unnest(range(greatest(n // 3, 1))) AS i, n FROM p WHERE n > 0)
+SELECT page_id, i::INTEGER AS seq, 'custom' AS kind, 'paragraphs#' || i AS selector, n || ' paragraphs' AS raw FROM w UNION ALL SELECT page_id, 0, 'detector_error', NULL, 'ValueError: no paragraphs' FROM p WHERE n = 0""")
+def registered_detector(spark, sf):
+    """A user's detector over all pages: rows by paragraphs, and one that says that it failed on pages without any."""
+    users = registry.Registry()
+
+    @users.detector("paragraphs")
+    def paragraphs(url, html, headers):
+        n = html.count("<p>")
+        if not n:
+            raise ValueError("no paragraphs")
+        return [("custom", f"paragraphs#{i}", f"{n} paragraphs") for i in range(max(n // 3, 1))]
+
+    found = captures.from_pages(table(spark, sf, "pages"))
+    return users.evidence(found).select(F.col("page_ord").alias("page_id"), "seq", "kind", "selector", "raw")

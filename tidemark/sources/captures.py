@@ -1,4 +1,4 @@
-"""Sources: captures from page tables, fixture pairs, snapshots, seed registries and recorded evaluations."""
+"""Sources: captures from page tables, fixture pairs, latest snapshots, seed registries and recorded evaluations."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,10 +45,6 @@ def snapshot_key(url: Column, day: Column) -> Column:
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("/"), F.left(F.sha2(url, 256), F.lit(24)))
 
 
-def write_snapshots(captures: DataFrame, at: str) -> None:
-    captures.withColumn("url_key", F.left(F.sha2("url", 256), F.lit(24))).write.partitionBy("capture_date").mode("append").parquet(at)
-
-
 def latest_snapshots(snapshots: DataFrame, today: Column, days: int = 30) -> DataFrame:
     """The newest snapshot of each url within the last days; columns url, capture_date and what goes with them."""
     recent = snapshots.where(F.col("capture_date").between(F.date_sub(today, days), today))

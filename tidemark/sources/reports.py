@@ -1,4 +1,4 @@
-"""Sinks: report documents, evidence snapshots and event logs."""
+"""Sinks: report documents and evidence snapshots."""
 
 from pyspark.sql import DataFrame
 
@@ -13,7 +13,3 @@ def write_reports(reports: DataFrame, at: str) -> None:
 def write_snapshot(rows: DataFrame, at: str) -> None:
     """Evidence for generated tools, as JSON lines."""
     E.snapshot(rows).select("id", "source_url", "kind", "selector", "content").write.json(at)
-
-
-def append_events(events: DataFrame, at: str) -> None:
-    events.write.mode("append").partitionBy("job_id").parquet(at)
