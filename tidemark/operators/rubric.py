@@ -281,9 +281,3 @@ def scoring_input(captures: DataFrame) -> DataFrame:
         ((F.count_if(ok) > 0) & (F.count_if(ok & (F.col("mode") != "degraded")) == 0)).alias("degraded"),
     )
 
-
-def report(results: DataFrame, scores: DataFrame) -> DataFrame:
-    """One JSON document for each site: score, then axes with their checks."""
-    listed = results.groupBy("site", "axis").agg(F.array_sort(F.collect_list(F.struct("check_id", "points", "max_points", "suppressed", "evidence_refs"))).alias("checks"))
-    axes = listed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("axis", "checks"))).alias("axes"))
-    return scores.join(axes, "site").select("site", F.to_json(F.struct("site", "total", "max_possible", "percentage", "band", "confidence", "reason", "axes")).alias("report"))
