@@ -158,6 +158,8 @@ def archive_report(spark, at: str, key: str = "page_id") -> DataFrame:
     scratch = common.Scratch(spark, "warc-report")
     records = scratch.stage(read_records(spark, at).mapInArrow(parse, "key long, kind string, record string, refers string, n long, sha1 string"), "records")
     facts = records.where("kind = 'response'").groupBy(F.col("record").alias("refers")).agg(F.max("key").alias("refers_to"), F.max("n").alias("whole"))
-    joined = records.join(facts, "refers", "left")
-    bytes_ = F.when(F.col("kind") == "revisit", F.col("whole")).otherwise(F.col("n"))
-    return joined.select(F.col("key").alias(key), bytes_.alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    # responses name no record, so only revisits are joined
+    names = [F.col("key").alias(key), F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type")]
+    first = records.where("kind = 'response'").select(*names, F.lit(None).cast("long").alias("refers_to"))
+    again = records.where("kind <> 'response'").drop("n").join(facts.withColumnRenamed("whole", "n"), "refers", "left")
+    return first.unionByName(again.select(*names, "refers_to"))
