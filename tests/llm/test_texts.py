@@ -268,3 +268,42 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.source_mix(spark, clean, SMALL).columns == names
     pieces = corpus_pipeline.run(spark, SMALL).collect()
     assert pieces and all(0 <= r.offset and r.offset + r.length <= 1024 for r in pieces)
+
+
+def test_quality_equals_a_direct_solution(spark):
+    """Features, ridge and calibration of the query against numpy on the collected statistics."""
+    from tidemark.llm import quality as q
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = q.document_statistics(docs).collect()
+    x, ids = np.array([r.x for r in rows], float), [r.id for r in rows]
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    fold = np.array([zlib.crc32(str(i).encode()) % q.FOLDS for i in ids])
+    known = np.array([i in y for i in ids]) & (fold != 0)
+    target = np.array([y.get(i, 0) for i in ids], float)
+    z = np.clip((x - x[known].mean(0)) / np.maximum(x[known].std(0), 1e-6), -5, 5)
+    rng = np.random.default_rng(11)
+    w = rng.standard_normal((x.shape[1], q.FEATURES)) / np.sqrt(x.shape[1])
+    f = np.c_[np.cos(z @ w + rng.uniform(0, 2 * np.pi, q.FEATURES)) * np.sqrt(2 / q.FEATURES), np.ones(len(x))]
+    # the features' products approximate a Gaussian kernel
+    a, b = z[:200], z[200:400]
+    kernel = np.exp(-((a[:, None] - b) ** 2).sum(2) / (2 * x.shape[1]))
+    assert np.abs(f[:200, :-1] @ f[200:400, :-1].T - kernel).mean() < 0.06
+    train = known & (fold < q.FOLDS - 1)
+    penalty = np.sqrt(np.r_[np.full(q.FEATURES, 1e-3 * train.sum() / q.FEATURES), 1e-9 / q.FEATURES])
+    weights = np.linalg.lstsq(np.r_[f[train], np.diag(penalty)], np.r_[target[train], np.zeros(q.FEATURES + 1)], rcond=None)[0]
+    raw = f @ weights
+    left = known & (fold == q.FOLDS - 1)
+    bins = np.clip((raw[left] + 0.5) / 2 * q.BINS, 0, q.BINS - 1).astype(int)
+    used = np.unique(bins)
+    n, hits = (np.array([m[bins == i].sum() for i in used]) for m in (np.ones(left.sum()), target[left]))
+    # isotonic regression by its minimax formula
+    mean = lambda i, j: hits[i : j + 1].sum() / n[i : j + 1].sum()
+    share = [max(min(mean(i, j) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    at = -0.5 + (used + 0.5) * 2 / q.BINS
+    at, share = np.r_[-0.5, at, 1.5], np.r_[share[0], share, share[-1]]
+    want = np.clip(np.interp(raw, at, np.clip(0.999 * share + 0.001 * (at + 0.5) / 2, 0, 1)), 0, 1)
+    got = {r.doc_id: r.score for r in q.quality_scores(docs, labels).collect()}
+    differ = np.abs(np.array([got[i] for i in ids]) - want)
+    assert np.median(differ) < 1e-6 and differ.max() < 1e-3
