@@ -5,8 +5,11 @@ length l with means m and deviation norms d of query and candidate, the inner
 product is at most l * m_q * m_v + d_q * d_v (for vectors of given norms that
 bounds the Euclidean distance from below). Bounds go coarse to fine; only
 candidates whose bound reaches the k-th best score so far go on, and those that
-pass all get their exact integer score. Queries go in blocks of bounded size,
-each block against all rows.
+pass all get their exact integer score.
+
+Vectors are quantised once and staged in packed slices. Queries go in blocks;
+as many blocks as a bounded number of bytes holds are sent to all tasks
+together, and each such group takes one scan of the slices.
 """
 
 import numpy as np
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEVELS = (1, 4, 16)
-#: Queries in a block, about; a block is what tasks get.
-QUERY_BLOCK = 2048
+#: Queries in a block, about, and bytes of the queries that tasks get at once (a block at least); bytes of a slice.
+QUERY_BLOCK, QUERY_BYTES, SLICE = 2048, 32 << 20, 1 << 20
 CHUNK = 512
 #: Pairs that are bounded or scored at once.
 PAIRS = 1 << 16
@@ -39,6 +42,24 @@ def quantized(vectors: list) -> list[np.ndarray | None]:
     return out
 
 
+def packed(ids: list[int], vectors: list[np.ndarray]) -> bytes:
+    """Vectors of one length as a blob: 4 or 8 bytes a component, doubles where whole numbers don't fit (they are whole, too)."""
+    v = np.array(vectors)
+    if v.dtype == object:
+        v = v.astype(np.float64)
+    elif len(v) and np.abs(v).max() < 2**31:
+        v = v.astype(np.int32)
+    return common.pack(np.array(ids, np.int64), v.reshape(-1))
+
+
+def unpacked(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, flat = common.unpack(blob)
+    v = flat.reshape(-1, width)
+    if v.dtype == np.float64:
+        return ids, np.array([[int(x) for x in r] for r in v.tolist()], object)
+    return ids, v.astype(np.int64)
+
+
 def _stats(v: np.ndarray, level: int, query: bool) -> np.ndarray:
     """Rows whose products are upper bounds of inner products: l * m (or m) and d of each segment."""
     parts = np.array_split(np.arange(v.shape[1]), min(level, v.shape[1]))
@@ -107,40 +128,63 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embe
     spark = vectors.sparkSession
     scratch = common.Scratch(spark, "top-k")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = scratch.stage(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
-    at = scratch.path("best")
-    kind = "query_id long, vec_id long, score long"
-    for b in range(blocks):
-        own = asked.where(F.col("block") == b).select("id", "v").toArrow()  # about QUERY_BLOCK rows
-        by: dict[int, tuple[list, list]] = {}
-        for i, a in zip(own.column(0).to_pylist(), quantized(own.column(1).to_pylist()), strict=True):
-            if a is not None:
-                ids, q = by.setdefault(len(a), ([], []))
+    kind = "width int, query boolean, data binary"
+
+    def cut(batches):
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
+
+        def sent(key):
+            ids, v = held.pop(key)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([packed(ids, v)], pa.binary())], ["width", "query", "data"])
+
+        for batch in batches:
+            for i, a, asks in zip(batch.column(0).to_pylist(), quantized(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+                if a is None:
+                    continue
+                key = (len(a), asks)
+                ids, v = held.setdefault(key, ([], []))
                 ids.append(i)
-                q.append(a)
-        sent = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), np.array(q)) for d, (ids, q) in by.items()})
+                v.append(a)
+                if len(ids) * len(a) * 8 >= SLICE:
+                    yield sent(key)
+        for key in list(held):
+            yield sent(key)
+
+    candidates = rows.withColumn("asks", F.lit(False))
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("asks", F.lit(True))
+    slices = scratch.stage(candidates.unionByName(asked).mapInArrow(cut, kind), "slices")
+    asked = scratch.stage(slices.where("query").select("width", "data", F.monotonically_increasing_id().alias("place")), "queries")
+    # a row for each slice of queries: in groups of a bounded number of bytes
+    groups, size = [], 0
+    for r in asked.select("place", F.octet_length("data").alias("n")).orderBy("width", "place").collect():
+        if not groups or size + r.n > QUERY_BYTES:
+            groups.append([])
+            size = 0
+        groups[-1].append(r.place)
+        size += r.n
+    at, kind = scratch.path("best"), "query_id long, vec_id long, score long"
+    spark.createDataFrame([], kind).write.parquet(at)
+    for places in groups:
+        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for r in asked.where(F.col("place").isin(places)).select("width", "data").collect():  # QUERY_BYTES, or one slice
+            blocks.setdefault(r.width, []).append(unpacked(bytes(r.data), r.width))
+        joined = {w: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for w, parts in blocks.items()}
+        sent = spark.sparkContext.broadcast(joined)
 
         def search(batches, sent=sent):
-            best = {d: Best(ids, q, k) for d, (ids, q) in sent.value.items()}
+            best = {w: [Best(ids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], k) for i in range(0, len(ids), QUERY_BLOCK)] for w, (ids, q) in sent.value.items()}
             for batch in batches:
-                for i in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(i, CHUNK)
-                    ids = part.column(0).to_pylist()
-                    found: dict[int, tuple[list, list]] = {}
-                    for x, a in zip(ids, quantized(part.column(1).to_pylist()), strict=True):
-                        if a is not None and len(a) in best:
-                            f = found.setdefault(len(a), ([], []))
-                            f[0].append(x)
-                            f[1].append(a)
-                    for d, (f, v) in found.items():
-                        best[d].add(np.array(f, np.int64), np.array(v))
-            for x in best.values():
-                yield x.table()
-
-        rows.mapInArrow(search, kind).write.mode("append").option("compression", "zstd").parquet(at)
+                for w, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if w in best:
+                        ids, v = unpacked(data.as_py(), w)
+                        for i in range(0, len(ids), CHUNK):
+                            for block in best[w]:
+                                block.add(ids[i : i + CHUNK], v[i : i + CHUNK])
+            for blocks in best.values():
+                for block in blocks:
+                    yield block.table()
+
+        slices.where("not query").select("width", "data").mapInArrow(search, kind).write.mode("append").option("compression", "zstd").parquet(at)
         sent.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema(kind).parquet(at).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
