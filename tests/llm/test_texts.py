@@ -233,9 +233,16 @@ def brute_top_k(rows, k=10):
     return sorted(out)
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_equals_brute_force(spark, monkeypatch, small):
+    """With one group of queries and with many, of small blocks and slices."""
+    from tidemark.llm import top_k as module
     from tidemark.llm.top_k import top_k
 
+    if small:
+        monkeypatch.setattr(module, "QUERY_BYTES", 1)
+        monkeypatch.setattr(module, "QUERY_BLOCK", 2)
+        monkeypatch.setattr(module, "SLICE", 200)
     rng = np.random.default_rng(3)
     rows = [(i, np.float32(rng.normal(size=20) / 8).tolist()) for i in range(400)]
     rows += [(600, rows[5][1]), (601, rows[5][1]), (602, rows[5][1]), (603, None), (604, [None] * 20), (605, [float("nan")] * 20), (606, [1.0, 2.0]), (700, [0.5, 0.25]), (None, rows[1][1]), (607, [])]
