@@ -192,6 +192,7 @@ def checks() -> list[Check]:
 
 #: References that a signal keeps, more than any check of pages cites; signals of site files keep all, as their files bound them.
 MOST_REFS = 10
+SALTS = 32
 OF_FILES = ("robots", "robots_bad", "robots_absent", "stanza", "sitemap", "sitemap_bad", "llms", "llms_bad", "spec", "manifest")
 
 
@@ -206,36 +207,52 @@ def first_references(rows: DataFrame, most: int) -> DataFrame:
     return kept.groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("refs"))
 
 
-def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row for each site of inputs: n_ and r_ (count and first references in order) of every signal, and the few means.
+def _gathered(evidence: DataFrame) -> DataFrame:
+    """site, s: a map of signal to n, total, urls (distinct pages) and refs (ord and id of the first rows).
 
-    Rows name the signals they carry and are counted by (site, signal) with
-    partial aggregation; references are the first few of each, entities the
-    first of each of six types, canonical pages a distinct count. So no value
-    grows with a site's rows. Means are of whole units (thousandths, percents),
-    so they don't depend on the order of rows.
+    Two levels: rows are dealt by site, signal and a salt, each share keeps its
+    count and its first rows, and shares are added up. So evidence is read and
+    shuffled once, no share of a large site is a single task, and no value
+    grows with a site's rows.
     """
     signals = _signals()
-    carried = F.array_compact(F.array(*(F.when(p, F.lit(n)) for n, p in signals.items())))
-    narrow = evidence.select("site", "ord", "id", "source_url", _type().alias("type"), F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).alias("ratio"), F.when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long")).alias("coverage"), carried.alias("signals"))
+    # the first of each type is wanted of entities: types are signals of their own
+    named = [F.when(p, F.concat(F.lit("entity:"), _type()) if n == "entity" else F.lit(n)) for n, p in signals.items()]
+    measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
+    narrow = evidence.select("site", "ord", "id", "source_url", measure.alias("measure"), F.array_compact(F.array(*named)).alias("signals"))
     rows = narrow.withColumn("signal", F.explode("signals")).drop("signals")
-    on = lambda name, x: F.when(F.col("signal") == name, x)
-    groups = rows.groupBy("site", "signal").agg(F.count("*").alias("n"), F.sum(F.coalesce(on("ratio", F.col("ratio")), on("measured", F.col("coverage")))).alias("total"))
-    of_files = F.col("signal").isin(*OF_FILES)
-    listed = rows.where(of_files).groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("refs"))
-    refs = first_references(rows.where(~of_files), MOST_REFS).unionByName(listed)
-    groups = groups.join(refs, ["site", "signal"], "left")
-    by_site = groups.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "refs", "total")))).alias("s"))
-    pages = rows.where("signal = 'canonical'").select("site", "source_url").distinct().groupBy("site").agg(F.count("*").cast("int").alias("canonical_pages"))
-    types = rows.where("signal = 'entity'").groupBy("site", "type").agg(F.min(F.struct("ord", "id")).alias("first"))
-    entities = types.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("first", "type"))).alias("entities"))  # six types at most
+    by_url = F.col("signal") == "canonical"
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.when(by_url, F.col("source_url")).otherwise(F.col("id"))), F.lit(SALTS)).cast("int")).withColumn("source_url", F.when(by_url, F.col("source_url")))
+    dealt = salted.repartition("site", "signal", "salt")
+    place = F.row_number().over(Window.partitionBy("site", "signal", "salt").orderBy("ord", "id"))
+    again = F.row_number().over(Window.partitionBy("site", "signal", "salt", "source_url").orderBy("ord", "id"))
+    kept = F.col("signal").isin(*OF_FILES) | (F.col("place") <= MOST_REFS)
+    shares = dealt.withColumn("again", again).withColumn("place", place).groupBy("site", "signal", "salt").agg(
+        F.count("*").alias("n"), F.sum("measure").alias("total"), F.count_if(F.col("again") == 1).alias("urls"), F.collect_list(F.when(kept, F.struct("ord", "id"))).alias("refs"),
+    )
+    added = shares.groupBy("site", "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("urls").alias("urls"), F.array_sort(F.flatten(F.collect_list("refs"))).alias("refs"))
+    cut = F.when(F.col("signal").isin(*OF_FILES), F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
+    entry = F.struct("signal", F.struct("n", "total", "urls", cut.alias("refs")))
+    return added.groupBy("site").agg(F.map_from_entries(F.collect_list(entry)).alias("s"))
+
+
+def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
+    """One row for each site of inputs: n_ and r_ (count and first references in order) of every signal, and the few means.
+
+    Means are of whole units (thousandths, percents), so they don't depend on the order of rows.
+    """
+    from .structured import COVERAGE_TYPES
+
     none = F.array().cast("array<string>")
     got = lambda name: F.try_element_at("s", F.lit(name))
-    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in signals} | {f"r_{n}": F.coalesce(got(n)["refs"], none) for n in signals}
-    cols |= {"canonical_pages": F.coalesce("canonical_pages", F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100)}
-    cols |= {"entity_types": F.coalesce(F.transform("entities", lambda e: e["type"]), none), "entity_refs": F.coalesce(F.transform("entities", lambda e: e["first"]["id"]), none)}
-    out = inputs.join(by_site, "site", "left").join(pages, "site", "left").join(entities, "site", "left")
-    return out.withColumns(cols).drop("s", "entities")
+    ids = lambda name: F.coalesce(F.transform(got(name)["refs"], lambda x: x["id"]), none)
+    names = [n for n in _signals() if n != "entity"]
+    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in names} | {f"r_{n}": ids(n) for n in names}
+    cols |= {"canonical_pages": F.coalesce(got("canonical")["urls"], F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100)}
+    of_type = lambda t: got(f"entity:{t}")["refs"][0]
+    found = F.array_sort(F.array_compact(F.array(*(F.when(of_type(t).isNotNull(), F.struct(of_type(t)["ord"].alias("ord"), F.lit(t).alias("type"), of_type(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
+    out = inputs.join(_gathered(evidence), "site", "left").withColumns(cols | {"entity": found})
+    return out.withColumns({"entity_types": F.transform("entity", lambda e: e["type"]), "entity_refs": F.transform("entity", lambda e: e["id"])}).drop("s", "entity")
 
 
 def check_results(evidence: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -130,14 +130,19 @@ def stream_rate_limiter(spark, sf):
     return spark.read.parquet(f"{at}/log")
 
 
-@query()
+@query(f"WITH {_EV} SELECT site, id, kind, left(raw, 2000) AS content FROM ev WHERE kind NOT IN ('rendering', 'media', 'injection', 'header')")
 def evidence_snapshot(spark, sf):
     from ..operators.evidence import snapshot
 
     return snapshot(_evidence(spark, sf)).select("site", "id", "kind", "content")
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT {HOST} AS site, url AS page_url, regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS a FROM pages),
+x AS (SELECT site, page_url, unnest(range(len(a))) AS ord, trim(unnest(a), chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS href FROM p),
+k AS (SELECT *, regexp_extract(page_url, '^([^/]*//[^/?#]*)', 1) AS origin FROM x WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:)'))
+SELECT site, page_url, ord::INTEGER AS ord, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(page_url, '^([^/]*)//', 1) || href
+  WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN regexp_extract(page_url, '^([^?#]*)', 1) || href ELSE origin || '/' || href END AS url FROM k""")
 def page_links(spark, sf):
     from ..sources import captures
 
