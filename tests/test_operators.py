@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import dom, metrics, pages, queueing, sites, structured
+from tidemark.operators import dom, metrics, pages, queueing, robots, sites, structured
 from tidemark.sources import captures
 
 
@@ -86,7 +86,7 @@ def test_robots(spark):
     assert one(spark, sites.ai_agents(F.col("x")), x=raw) == ["gptbot"]
     assert one(spark, sites.stanza(F.col("x"), F.lit("GPTBot")), x=raw) == "User-agent: GPTBot\nAllow: /"
     df = spark.createDataFrame([(raw, "https://e.example/x/1"), (None, "https://e.example/x"), ("User-agent: *\nDisallow: /", "https://e.example/")], "robots string, url string")
-    assert [r.allowed for r in dom.robots_allowed(df, "A").collect()] == [False, True, False]
+    assert [r.allowed for r in robots.allowed(df, "A").collect()] == [False, True, False]
 
 
 def test_metrics_edges(spark):

@@ -136,26 +136,3 @@ def test_score_run_equals_the_plan(spark, tmp_path):
     again = lifecycle.score_run(spark, pages, str(tmp_path / "run"))
     assert [s.made for s in stages] == [True] * 4 and [s.made for s in again] == [False] * 4
     assert sorted(map(tuple, again[-1].table.collect())) == sorted(map(tuple, legibility.scores(pages).collect()))
-
-
-def test_robots_answers_equal_the_standard_library(spark):
-    import random
-    from urllib.robotparser import RobotFileParser
-
-    from tidemark.operators import dom
-
-    rng = random.Random(6)
-    paths = ["/", "/a", "/a/b", "/a?x=1", "/é", "/%7Eq", "", "*", "/private/"]
-    rows = [(None, "https://s.example/a"), ("", "https://s.example/a"), ("User-agent: *\nDisallow: /", None), ("nonsense\x00\nDisallow", "/a")]
-    for _ in range(300):
-        lines = []
-        for _ in range(rng.randrange(1, 5)):
-            lines += [f"{rng.choice(('User-agent', 'user-agent '))}: {rng.choice(('*', 'GPTBot', 'gpt', 'Other', 'GPTBot/2 # x'))}" for _ in range(rng.randrange(1, 3))]
-            lines += [f"{rng.choice(('Disallow', 'Allow', 'disallow', 'Crawl-delay'))}: {rng.choice(paths)}" for _ in range(rng.randrange(4))] + [""] * rng.randrange(2)
-        rows.append(("\n".join(lines), f"https://s.example{rng.choice(paths)}{rng.choice(('', 'b', '/x'))}"))
-    df = spark.createDataFrame([(i, r, u) for i, (r, u) in enumerate(rows)], "i int, robots string, url string").repartition(3)
-    got = {r.i: r.allowed for r in dom.robots_allowed(df, "GPTBot").collect()}
-    for i, (raw, url) in enumerate(rows):
-        p = RobotFileParser()
-        p.parse((raw or "").splitlines())
-        assert got[i] == (not raw or url is None or p.can_fetch("GPTBot", url))

@@ -19,8 +19,6 @@ IGNORED_INPUTS = {"submit", "button", "reset", "image", "hidden"}
 _STYLE = re.compile(P.HIDDEN_STYLE)
 #: Characters of a hidden element inside another one that are a block of their own; what follows is scanned with the outer one.
 INNER = 100
-#: Parsed robots files that a task keeps.
-PARSERS = 256
 KIND = (
     "forms array<struct<selector:string,method:string,purpose:string,fields:int,named:int,labelled:int,coverage:int>>, "
     "images int, content_images int, with_alt int, empty_alt int, text_chars int, blocks array<struct<location:string,selector:string,text:string>>, "
@@ -162,35 +160,3 @@ def media_verdict(content: str = "content_images", alt: str = "with_alt", chars:
     density = F.col(content) / F.greatest(F.col(chars) / 1000.0, F.lit(0.1))
     described = F.when(F.col(content) > 0, F.col(alt) / F.col(content)).otherwise(1.0)
     return F.when((density >= 4) & (F.col(chars) < 1500), "image-dominant").when((described < 0.5) & (F.col(content) >= 5), "imagery is largely undescribed").otherwise("text-dominant or adequately described")
-
-
-def robots_allowed(pairs: DataFrame, agent: str) -> DataFrame:
-    """Adds allowed: whether robots text lets the agent fetch the url; absent or unreadable text allows.
-
-    Runs in Arrow batches; a task parses each robots text once while it is among
-    the last PARSERS, so the urls of a site cost one parse a task.
-    """
-    names = pairs.columns
-
-    def read(batches):
-        from functools import lru_cache
-        from urllib.robotparser import RobotFileParser
-
-        @lru_cache(maxsize=PARSERS)
-        def parser(raw):
-            p = RobotFileParser()
-            try:
-                p.parse(raw.splitlines())
-            except Exception:  # a file that can't be read forbids nothing
-                return None
-            return p
-
-        def allowed(raw, url):
-            p = parser(raw) if raw and url is not None else None
-            return p is None or p.can_fetch(agent, url)
-
-        for batch in batches:
-            found = [allowed(r, u) for r, u in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.bool_())], [*names, "allowed"])
-
-    return pairs.withColumns({"_robots": F.col("robots").cast("string"), "_url": F.col("url").cast("string")}).mapInArrow(read, pairs.schema.add("allowed", "boolean"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import capabilities, dom, evidence, metrics
+from ..operators import capabilities, evidence, metrics, robots
 from ..sources import captures
 from .derived_queries import _GOLD, _STATE, CAPS_SQL, METRIC_SQL, ROBOTS_SQL, _golden
 from .fixtures import derived, table
@@ -139,7 +139,33 @@ def page_summaries(spark, sf):
 def robots_allowed(spark, sf):
     r = derived(spark, sf, ROBOTS_SQL, "supplier")
     pairs = r.select("id", F.col("raw").alias("robots"), F.lit("https://s.example/cart/1").alias("url"))
-    return dom.robots_allowed(pairs, "GPTBot").select("id", "allowed")
+    return robots.allowed(pairs, "GPTBot").select("id", "allowed")
+
+
+FILES_SQL = """
+SELECT n_nationkey AS id, 'Disallow: /lost' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /x' || chr(10) || 'Disallow: /o' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || 'User-Agent: gptbot # ours' || chr(10) || 'user-agent: Other' || chr(10) || 'Allow: /o/1' || chr(10)
+  || 'Disallow: /o/' || CAST(n_nationkey % 7 AS STRING) || '?k=%41' || chr(10) || 'crawl-delay: 3' || chr(10) || 'Disallow: /o/2' || chr(10) || 'Disallow:' ELSE '' END AS robots
+FROM nation"""
+URL_SQL = "SELECT o_orderkey AS id, o_custkey % 26 AS file, 'https://s.example' || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/x' ELSE '/o/' || CAST(o_orderkey % 9 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN '?k=A' ELSE '#' END END AS url FROM orders"
+
+
+@query(f"""
+WITH u AS ({URL_SQL}), p AS (SELECT id, file, CASE WHEN length(url) = 17 THEN '/' ELSE rtrim(substr(url, 18), '#') END AS path FROM u)
+SELECT id, CASE WHEN file = 25 THEN true WHEN file % 2 = 1 THEN NOT (starts_with(path, '/x') OR starts_with(path, '/o'))
+  WHEN starts_with(path, '/o/1') THEN true WHEN starts_with(path, '/o/' || (file % 7) || '?k=A') OR starts_with(path, '/o/2') THEN false ELSE true END AS allowed FROM p""")
+def robots_first_match(spark, sf):
+    """Answers of the files of 25 sites to the URLs of orders; site 25 has no file."""
+    files = derived(spark, sf, FILES_SQL, "nation").withColumnRenamed("id", "file")
+    return robots.allowed(derived(spark, sf, URL_SQL, "orders").join(files, "file", "left"), "GPTBot/1.0").select("id", "allowed")
+
+
+@query("""
+SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '+/o/1 -/o/' || (n_nationkey % 7) || '%3Fk%3DA -/o/2 +' ELSE '-/x -/o' END AS rules FROM nation""")
+def robots_rule_table(spark, sf):
+    """The rules that count for an agent, of every file, in order: + allows, - refuses."""
+    files = derived(spark, sf, FILES_SQL, "nation").select(F.col("id").alias("file"), F.col("robots").alias("text"))
+    shown = F.array_join(F.transform("rules", lambda r: F.concat(F.when(r["allow"], "+").otherwise("-"), r["path"])), " ")
+    return robots.rules(files, "GPTBot").select(F.col("file").alias("id"), shown.alias("rules"))
 
 
 @query("SELECT s_suppkey AS id, s_suppkey % 101 AS maximum, CASE WHEN s_suppkey % 101 = 0 THEN 100 ELSE least(s_suppkey % 101, 100) END AS number, CASE WHEN s_suppkey % 3 = 0 THEN 500 ELSE least(s_suppkey % 3 * 400, 500) END AS length FROM supplier")
