@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of a URL's file are spread over so many keys, as one file may be that of most URLs.
 SALTS = 16
 
-LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 SPACE = r"[\t-\r\x1C-\x20\x85\p{Z}]"
 EDGES = rf"^{SPACE}+|{SPACE}+$"
 #: Parts after the scheme: authority, path, query, fragment.
