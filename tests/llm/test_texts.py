@@ -314,3 +314,12 @@ def test_quality_equals_a_direct_solution(spark):
     got = {r.doc_id: r.score for r in q.quality_scores(docs, labels).collect()}
     differ = np.abs(np.array([got[i] for i in ids]) - want)
     assert np.median(differ) < 1e-6 and differ.max() < 1e-3
+
+
+def test_quality_scores_do_not_depend_on_partitions(spark):
+    """Bit by bit the same under other partitions and orders of rows; the 0.001 tables."""
+    from tidemark.llm.quality import quality_scores
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    a, b = ({r.doc_id: r.score for r in quality_scores(docs.repartition(n, "doc_id"), labels.repartition(m)).collect()} for n, m in ((7, 2), (3, 5)))
+    assert a == b

@@ -5,6 +5,11 @@ rows give means and deviations; each partition then sums its part of the normal
 equations, and the parts are summed in two steps, so the driver gets one matrix
 of fixed size. Calibration pools adjacent violators over a histogram of raw
 scores on labelled rows that the fit didn't see.
+
+Features, labels and weights are multiples of small powers of two and are summed
+as integers, so the order of rows and the number of partitions don't matter to a
+score. What floating point still decides (means, deviations, the angle of a
+cosine) is rounded far above its noise.
 """
 
 from dataclasses import dataclass
@@ -19,6 +24,8 @@ from . import common
 from .suffix_dedup import Roller
 
 FEATURES, BINS, SLICE = 256, 1024, 256 << 10
+#: Features and weights are multiples of 1 / UNIT, labels of 1 / LABEL. Sums of products are whole: below 2^53 in a batch or a score, below 2^63 for a billion labelled rows.
+UNIT, LABEL = 1 << 18, 1 << 10
 #: Labels are learnt where crc32(key as text) mod FOLDS is not 0; the last fold calibrates.
 FOLDS = 5
 NAMES = (
@@ -104,13 +111,15 @@ class Model:
     seed: int = 11
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """Whole numbers of 1 / UNIT, and a last column of ones."""
         rng = np.random.default_rng(self.seed)
         z = np.clip((x - self.mean) / self.scale, -5, 5)
         w = rng.standard_normal((x.shape[1], FEATURES)) / np.sqrt(x.shape[1])
-        return np.c_[np.cos(z @ w + rng.uniform(0, 2 * np.pi, FEATURES)) * np.sqrt(2 / FEATURES), np.ones(len(x))]
+        return np.c_[np.rint(np.cos(z @ w + rng.uniform(0, 2 * np.pi, FEATURES)) * (np.sqrt(2 / FEATURES) * UNIT)), np.ones(len(x))]
 
     def raw_score(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        w = self.weights * UNIT
+        return self.features(x) @ np.r_[np.rint(w[:-1]), np.rint(w[-1] * UNIT)] / UNIT**2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw_score(x), self.raw, self.share), 0, 1) if len(x) else np.zeros(0)
@@ -165,28 +174,31 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     flat = Model(np.zeros(width), np.ones(width), np.zeros(FEATURES + 1), 0.0, 1.0, np.array([0.0]), np.array([0.5]))
     if not sums["n"]:
         return flat
-    flat.mean = np.array([sums[f"m{i}"] for i in range(width)])
-    flat.scale = np.maximum([sums[f"s{i}"] for i in range(width)], 1e-6)
+    # in single precision: the order in which doubles were summed doesn't show
+    flat.mean = np.array([sums[f"m{i}"] for i in range(width)], np.float32).astype(float)
+    flat.scale = np.maximum(np.array([sums[f"s{i}"] for i in range(width)], np.float32).astype(float), 1e-6)
 
     def parts(batches):
         from pyspark import TaskContext
 
-        a = np.zeros((FEATURES + 1, FEATURES + 2))
+        a = np.zeros((FEATURES + 1, FEATURES + 2), np.int64)
         for batch in batches:
             f = flat.features(_matrix(batch, 0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            a += f.T @ np.c_[f, y]
+            y = np.rint(batch.column(1).to_numpy(zero_copy_only=False) * LABEL)
+            a += (f.T @ np.c_[f, y]).astype(np.int64)  # whole numbers below 2^53 in a batch
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a), dtype=np.int32)), pa.array(np.full(len(a), TaskContext.get().partitionId() % 64, np.int32)), pa.array([r.tobytes() for r in a], pa.binary())], ["row", "part", "sums"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0)
+        total = np.sum([np.frombuffer(x, np.int64) for x in frame["sums"]], axis=0)
         return pd.DataFrame({"row": frame["row"].iloc[:1], "part": frame["part"].iloc[:1], "sums": [total.tobytes()]})
 
     kind = "row int, part int, sums binary"
     some = train.where(F.col("fold") < FOLDS - 1).select("x", "y").mapInArrow(parts, kind)
     halves = some.groupBy("row", "part").applyInPandas(add, kind).groupBy("row").applyInPandas(add, kind)
-    a = np.stack([np.frombuffer(r["sums"]) for r in sorted(halves.collect(), key=lambda r: r["row"])])  # FEATURES + 1 rows
+    a = np.stack([np.frombuffer(r["sums"], np.int64) for r in sorted(halves.collect(), key=lambda r: r["row"])])  # FEATURES + 1 rows
     n = a[-1, -2]
+    unit = np.r_[np.full(FEATURES, UNIT), 1.0]
+    a = a / (unit[:, None] * np.r_[unit, LABEL])
     a, b = a[:, :-1], a[:, -1]
     penalty = np.full(len(a), ridge * max(n, 1))
     penalty[-1] = 1e-9
@@ -199,7 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str =
             bins = np.clip((r - low) / (high - low) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], ["bin", "y"])
 
-    counts = train.where(F.col("fold") == FOLDS - 1).select("x", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # at most BINS rows
+    counts = train.where(F.col("fold") == FOLDS - 1).select("x", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("y") * LABEL)) / LABEL).alias("y")).collect()  # at most BINS rows
     hist = np.zeros((2, BINS))
     for r in counts:
         hist[:, r["bin"]] = r["n"], r["y"]
