@@ -140,9 +140,9 @@ def wrapped(content: Column, url: Column, kind: Column, evidence: Column | None
     return F.concat(F.lit('<untrusted_web_content source="'), kind, F.lit('" url="'), url, F.lit('"'), cited, F.lit(' nonce="'), nonce(clean), F.lit('">\n'), clean, F.lit("\n</untrusted_web_content-"), nonce(clean), F.lit(">"))
 
 
-def wrapped_evidence(url: Column, kind: Column, selector: Column, raw: Column, id_: Column) -> Column:
-    head = F.concat(F.lit("[kind="), kind, F.lit(" selector="), F.coalesce(F.when(selector != "", selector), F.lit("-")), F.lit("]\n"), raw)
-    return wrapped(head, url, F.lit("evidence"), id_)
+def evidence_head(kind: Column, selector: Column, raw: Column) -> Column:
+    """A row of evidence as a prompt shows it: what it is, then its text."""
+    return F.concat(F.lit("[kind="), kind, F.lit(" selector="), F.coalesce(F.when(selector != "", selector), F.lit("-")), F.lit("]\n"), raw)
 
 
 def prompt(instruction: Column, block: Column, reminder: Column | None = None) -> Column:

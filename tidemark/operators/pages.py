@@ -57,6 +57,23 @@ def headings(html: Column) -> Column:
     return F.concat(F.size(levels).cast("string"), F.lit(" headings, "), ones.cast("string"), F.lit(" <h1>.\nhierarchy skips: "), F.when(skips > 0, skips.cast("string")).otherwise(F.lit("none")))
 
 
+def document(html: Column) -> Column:
+    """Language, title and meta description of a page; None for what is absent or empty."""
+    tag = F.regexp_extract(html, r"(?is)(<meta\b(?=[^>]*\bname\s*=\s*[\"']?description[\"'\s>/])[^>]*>)", 1)
+    parts = (
+        ("lang", F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([^\"'\s>]+)", 1)), ("title", F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)),
+        ("meta description", F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)", 1)),
+    )
+    said = lambda x: F.when(x != "", F.concat(F.lit("'"), x, F.lit("'"))).otherwise("None")
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{n}="), said(T.stripped(x))) for n, x in parts))
+
+
+def response(status: Column, headers: Column, url: Column, final_url: Column) -> Column:
+    """Status of a response, where it was redirected from, and the headers that tell what serves it, by name."""
+    origin = F.when(url != final_url, F.concat(F.lit(" (redirected from "), url, F.lit(")")))
+    return F.concat(F.lit("HTTP "), status.cast("string"), F.coalesce(origin, F.lit("")), F.lit("\n"), F.array_join(named_headers(headers, tuple(sorted(P.RESPONSE_HEADERS))), "\n"))
+
+
 def canonical(html: Column, headers: Column) -> Column:
     """kind, selector and URL of the canonical link: in markup, else in the Link header, else absent."""
     tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?[^\"'>]*canonical[^>]*>)", 1)

@@ -77,7 +77,7 @@ def _link_rows(ok: DataFrame) -> DataFrame:
 def page_evidence(found: DataFrame) -> DataFrame:
     """Evidence of every capture by the page detectors: one pass over the pages and one over their links."""
     html, url, text = F.col("html"), F.col("final_url"), F.col("_text")
-    read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)).select("site", "page_ord", "final_url", "status", "headers", "html")
+    read = found.where(F.col("fetch_error").isNull() & F.col("status").between(200, 299)).select("site", "page_ord", "url", "final_url", "status", "headers", "html")
     large = F.length("html") > MAX_CHARS
     big = read.where(large).select("site", "page_ord", url.alias("source_url"), F.lit(0).alias("seq"), pages.row("text", "page#too-large", F.concat(F.lit("Page of "), F.length("html").cast("string"), F.lit(" chars: not scanned."))).alias("e"))
     read = captures.spread(read.where(~large))
@@ -100,9 +100,10 @@ def page_evidence(found: DataFrame) -> DataFrame:
     injected = F.when(F.size("_injected") > 0, injected).otherwise(F.array(pages.row("injection", "injection#clean", "Scanned: no injection payloads found in readable regions.")))
     rows = F.concat(
         F.array(
-            F.col("_canonical"), pages.row("dom", "semantics#landmarks", pages.landmarks(html)), pages.row("dom", "semantics#headings", F.col("_headings")),
+            F.col("_canonical"), pages.row("dom", "semantics#landmarks", pages.landmarks(html)), pages.row("dom", "semantics#headings", F.col("_headings")), pages.row("meta", "semantics#document", pages.document(html)),
             pages.row("rendering", "rendering#unavailable", F.concat(F.lit("pre-JS meaningful text: "), F.col("_chars").cast("string"), F.lit(" chars"))),
             pages.row("header", pages.interstitial(html, F.col("headers"), F.col("status")), F.lit("Checked for interstitial markers.")),
+            pages.row("header", "header#response", pages.response(F.col("status"), F.col("headers"), F.col("url"), url)),
         ),
         injected,
         F.transform(pages.pagination_selectors(html, url), lambda x: pages.row("pagination", x, x)),
