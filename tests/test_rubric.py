@@ -64,3 +64,31 @@ def test_order_of_evidence_changes_no_total(spark):
 def test_confidence_edges(spark, ok, blocked, level):
     _, s = score(spark, [], pages_ok=ok, crawled=10, blocked=blocked)
     assert s.confidence == level and (s.band is None) == (level == "low")
+
+
+def test_totals_without_rows_read_evidence_once(spark):
+    rows = [("llmstxt", "llms.txt#present", "# x"), ("robots", "robots.txt#user-agent:GPTBot", "ua"), ("injection", "injection#clean", "ok"), ("link", "link[rel=canonical]", "c"), ("link", None, "c")]
+    ev = E.keep_first(E.identified(spark.createDataFrame([("s", i, "u", *r, "pre_js") for i, r in enumerate(rows)], KIND)))
+    inp = spark.createDataFrame([("s", 1, 1, 0, False), ("none", 1, 1, 0, False)], "site string, pages_crawled int, pages_ok int, pages_robots_blocked int, degraded boolean")
+    sel = R.F.col("selector")
+    out = R.totals_without(ev, inp, {"a": sel == "llms.txt#present", "b": sel.startswith("robots.txt#user-agent:"), "c": sel.startswith("l"), "d": R.F.lit(True)})
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("row_number()") == 1
+    assert {r.site: (r.total, r.a, r.b, r.c, r.d) for r in out.collect()} == {"s": (12, 8, 9, 5, 0), "none": (0, 0, 0, 0, 0)}
+
+
+def test_results_without_references_order_no_evidence(spark):
+    ev = E.keep_first(E.identified(spark.createDataFrame([("s", 1, "u", "llmstxt", "llms.txt#present", "# x", "pre_js")], KIND)))
+    inp = spark.createDataFrame([("s", 9, 9, 0, False)], "site string, pages_crawled int, pages_ok int, pages_robots_blocked int, degraded boolean")
+    whole, points = R.check_results(ev, inp), R.check_results(ev, inp, references=False)
+    assert sorted(map(tuple, points.collect())) == sorted(tuple(r)[:-1] for r in whole.collect())
+    assert points._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # that of keep_first
+
+
+def test_evidence_of_line_items_is_its_sql(spark):
+    from tidemark.plans import fixtures
+
+    want = fixtures.derived(spark, "/root/testdata/sf0.001", fixtures.EVIDENCE_SQL, "lineitem")
+    got = fixtures.evidence_rows(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert E.identified(got)._jdf.queryExecution().optimizedPlan().toString().count("array") < 8  # blank texts are found without the steps after it

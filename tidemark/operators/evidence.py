@@ -11,8 +11,8 @@ SCHEMA = "site string, ord long, id string, source_url string, kind string, sele
 
 def identified(rows: DataFrame) -> DataFrame:
     """Truncates raw, drops blank rows and adds id; rows have site, ord, source_url, kind, selector, raw, phase."""
-    # each column is used more than once below, so every step is a projection of its own
-    cut = rows.withColumn("raw", T.stripped(F.col("raw"))).withColumn("raw", T.cut_raw(F.col("raw"))).where(F.col("raw") != "")
+    # each column is used more than once below, so every step is a projection of its own; the filter comes first, as Spark would move it there with all of them inside
+    cut = rows.where(T.stripped(F.col("raw")) != "").withColumn("raw", T.stripped(F.col("raw"))).withColumn("raw", T.cut_raw(F.col("raw")))
     return cut.withColumn("id", T.evidence_id(F.col("source_url"), F.col("kind"), F.col("selector"), F.col("raw")))
 
 

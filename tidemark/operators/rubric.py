@@ -1,4 +1,4 @@
-"""The rubric: 27 checks on six axes, from one conditional aggregation by site.
+"""The rubric: 27 checks on six axes, from one conditional aggregation by site and, where they are read, references.
 
 Evidence has site, ord, id, source_url, kind, selector, raw. Inputs have site,
 pages_crawled, pages_ok, pages_robots_blocked, degraded; a site without any
@@ -18,9 +18,12 @@ AXES = {1: ("Identity", 15), 2: ("Structured data", 20), 3: ("Capability", 25),
 STRUCTURED = ("jsonld", "microdata", "rdfa")
 
 
-def _on(kind: str | tuple[str, ...], where: Column | None = None) -> Column:
-    k = F.col("kind").isin(*((kind,) if isinstance(kind, str) else kind))
-    return k if where is None else k & where
+Signal = tuple[tuple[str, ...], Column]
+
+
+def _on(kind: str | tuple[str, ...], where: Column | None = None) -> Signal:
+    """Rows of these kinds for which where holds."""
+    return (kind,) if isinstance(kind, str) else kind, F.lit(True) if where is None else where
 
 
 def _sel() -> Column:
@@ -53,20 +56,19 @@ def _truthy(name: str) -> Column:
     return v.isNotNull() & ~v.isin("", "0", "0.0", "false", "null", "[]", "{}")
 
 
-def _signals() -> dict[str, Column]:
-    """Predicates on evidence rows; each becomes a count and ordered references."""
+def _signals() -> dict[str, Signal]:
+    """Kinds of evidence rows and predicates on them; each becomes a count and ordered references."""
     from .structured import COVERAGE_TYPES, REQUIRED
 
     sel, raw, type_, ratio = _sel(), _raw(), _type(), _ratio()
     links = F.regexp_extract(raw, r" on ([0-9]+) distinct link", 1)
     identity = type_.isin("Organization", "LocalBusiness")
-    structured = _on(STRUCTURED)
     missing = F.lit(False)
     for kind, props in REQUIRED.items():
         for p in props:
             missing = missing | ((type_ == kind) & ~_truthy(p))
     parsed = F.try_parse_json(raw).isNotNull() & T.stripped(raw).startswith("{")
-    covered = structured & type_.isin(*REQUIRED)
+    covered = type_.isin(*REQUIRED)
     return {
         "robots": _on("robots", sel == "robots.txt"),
         "robots_bad": _on("robots", sel == "robots.txt#unparseable"),
@@ -77,13 +79,13 @@ def _signals() -> dict[str, Column]:
         "llms": _on("llmstxt", sel == "llms.txt#present"),
         "llms_bad": _on("llmstxt", sel == "llms.txt#not-markdown"),
         "canonical": _on("link", sel == "link[rel=canonical]"),
-        "typed": structured & ~_has(sel, "#untyped"),
-        "structured": structured,
-        "identity": structured & identity,
-        "organization": structured & identity & parsed & _truthy("name") & _truthy("url") & _truthy("address"),
-        "entity": structured & type_.isin(*COVERAGE_TYPES),
-        "covered": covered,
-        "violating": covered & parsed & missing,
+        "typed": _on(STRUCTURED, ~_has(sel, "#untyped")),
+        "structured": _on(STRUCTURED),
+        "identity": _on(STRUCTURED, identity),
+        "organization": _on(STRUCTURED, identity & parsed & _truthy("name") & _truthy("url") & _truthy("address")),
+        "entity": _on(STRUCTURED, type_.isin(*COVERAGE_TYPES)),
+        "covered": _on(STRUCTURED, covered),
+        "violating": _on(STRUCTURED, covered & parsed & missing),
         "spec": _on("openapi", sel == "openapi#spec"),
         "spec_bad": _on("openapi", sel == "openapi#not-a-spec"),
         "api_link": _on("openapi", sel.startswith("a[href")),
@@ -167,7 +169,7 @@ def checks() -> list[Check]:
         Check(1, "a1_canonical_coverage", "Canonical URLs on at least 80% of pages", 3, award(covered_pages >= 0.80, 3), _r("canonical", 10), F.col("pages_ok") == 0, "No page was crawled."),
         Check(2, "a2_structured_present", "Structured data present", 4, award(_n("typed") > 0, 4), pick(_n("typed") > 0, _r("typed", 10), _r("structured", 5))),
         Check(2, "a2_organization_node", "Organization with name, url and address", 4, award(_n("organization") > 0, 4), pick(_n("organization") > 0, _r("organization", 1), _r("identity", 3))),
-        Check(2, "a2_entity_coverage", "Entity types covered", 8, F.least(F.lit(8), 2 * F.size("entity_types")).cast("int"), F.col("entity_refs")),
+        Check(2, "a2_entity_coverage", "Entity types covered", 8, F.least(F.lit(8), 2 * F.col("n_types")).cast("int"), F.col("entity_refs")),
         Check(2, "a2_required_properties", "No required property is missing", 4, award(_n("violating") == 0, 4), pick(_n("violating") > 0, _r("violating", 8), _r("covered", 10)), _n("covered") == 0, "No entity of a type with required properties was found."),
         Check(3, "a3_openapi_spec", "API description discoverable", 6, award(_n("spec") > 0, 6), pick(_n("spec") > 0, _r("spec", ALL), _r("spec_bad", 5))),
         Check(3, "a3_documented_api", "Documented API discoverable", 3, award(_n("api_link") > 0, 3), _r("api_link", 8)),
@@ -207,62 +209,113 @@ def first_references(rows: DataFrame, most: int) -> DataFrame:
     return kept.groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("refs"))
 
 
-def _gathered(evidence: DataFrame) -> DataFrame:
-    """site, s: a map of signal to n, total, urls (distinct pages) and refs (ord and id of the first rows).
+def _named() -> Column:
+    """Names of the signals that a row carries: only those of its kind are tried. Entities are named by type, as the first of each is wanted."""
+    by_kind: dict[str, list[Column]] = {}
+    for n, (kinds, where) in _signals().items():
+        for k in kinds:
+            by_kind.setdefault(k, []).append(F.when(where, F.concat(F.lit("entity:"), _type()) if n == "entity" else F.lit(n)))
+    named = F.lit(None).cast("array<string>")
+    for k, names in reversed(by_kind.items()):
+        named = F.when(F.col("kind") == k, F.array(*names)).otherwise(named)
+    return F.array_compact(named)
+
+
+def _counted(evidence: DataFrame, *keys: str) -> DataFrame:
+    """site, keys, signal, url, n and total (thousandths of ratios, percents of coverage) of evidence rows.
 
-    Two levels: rows are dealt by site, signal and a salt, each share keeps its
-    count and its first rows, and shares are added up. So evidence is read and
-    shuffled once, no share of a large site is a single task, and no value
-    grows with a site's rows.
+    url is that of rows with the canonical signal, else null, so that pages can
+    be counted apart. Sums are taken in the tasks before they are shuffled, so
+    no share of a large site is a single task.
     """
-    signals = _signals()
-    # the first of each type is wanted of entities: types are signals of their own
-    named = [F.when(p, F.concat(F.lit("entity:"), _type()) if n == "entity" else F.lit(n)) for n, p in signals.items()]
     measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
-    narrow = evidence.select("site", "ord", "id", "source_url", measure.alias("measure"), F.array_compact(F.array(*named)).alias("signals"))
-    rows = narrow.withColumn("signal", F.explode("signals")).drop("signals")
-    by_url = F.col("signal") == "canonical"
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.when(by_url, F.col("source_url")).otherwise(F.col("id"))), F.lit(SALTS)).cast("int")).withColumn("source_url", F.when(by_url, F.col("source_url")))
-    dealt = salted.repartition("site", "signal", "salt")
-    place = F.row_number().over(Window.partitionBy("site", "signal", "salt").orderBy("ord", "id"))
-    again = F.row_number().over(Window.partitionBy("site", "signal", "salt", "source_url").orderBy("ord", "id"))
-    kept = F.col("signal").isin(*OF_FILES) | (F.col("place") <= MOST_REFS)
-    shares = dealt.withColumn("again", again).withColumn("place", place).groupBy("site", "signal", "salt").agg(
-        F.count("*").alias("n"), F.sum("measure").alias("total"), F.count_if(F.col("again") == 1).alias("urls"), F.collect_list(F.when(kept, F.struct("ord", "id"))).alias("refs"),
-    )
-    added = shares.groupBy("site", "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("urls").alias("urls"), F.array_sort(F.flatten(F.collect_list("refs"))).alias("refs"))
-    cut = F.when(F.col("signal").isin(*OF_FILES), F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
-    entry = F.struct("signal", F.struct("n", "total", "urls", cut.alias("refs")))
-    return added.groupBy("site").agg(F.map_from_entries(F.collect_list(entry)).alias("s"))
+    rows = evidence.select("site", *keys, "source_url", measure.alias("measure"), F.explode(_named()).alias("signal"))
+    return rows.groupBy("site", *keys, "signal", F.when(F.col("signal") == "canonical", F.struct("source_url")).alias("url")).agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
+
+
+def _added(counted: DataFrame, *keys: str) -> DataFrame:
+    """site, keys, s: a map of signal to n, total and urls (distinct pages), from rows of _counted of which a url has one."""
+    sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("url").alias("urls"))
+    return sums.groupBy("site", *keys).agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "total", "urls")))).alias("s"))
 
 
-def site_signals(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row for each site of inputs: n_ and r_ (count and first references in order) of every signal, and the few means.
+def _measured(inputs: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
+    """Rows of inputs with n_ of every signal, the number of covered types and the few means; sites without evidence have zeros.
 
     Means are of whole units (thousandths, percents), so they don't depend on the order of rows.
     """
     from .structured import COVERAGE_TYPES
 
-    none = F.array().cast("array<string>")
     got = lambda name: F.try_element_at("s", F.lit(name))
-    ids = lambda name: F.coalesce(F.transform(got(name)["refs"], lambda x: x["id"]), none)
-    names = [n for n in _signals() if n != "entity"]
-    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in names} | {f"r_{n}": ids(n) for n in names}
+    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in _signals() if n != "entity"}
     cols |= {"canonical_pages": F.coalesce(got("canonical")["urls"], F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100)}
-    of_type = lambda t: got(f"entity:{t}")["refs"][0]
-    found = F.array_sort(F.array_compact(F.array(*(F.when(of_type(t).isNotNull(), F.struct(of_type(t)["ord"].alias("ord"), F.lit(t).alias("type"), of_type(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
-    out = inputs.join(_gathered(evidence), "site", "left").withColumns(cols | {"entity": found})
-    return out.withColumns({"entity_types": F.transform("entity", lambda e: e["type"]), "entity_refs": F.transform("entity", lambda e: e["id"])}).drop("s", "entity")
+    cols["n_types"] = sum((got(f"entity:{t}").isNotNull().cast("int") for t in COVERAGE_TYPES), F.lit(0))
+    return inputs.join(added, ["site", *keys], "left").withColumns(cols).drop("s")
+
+
+def _references(evidence: DataFrame) -> DataFrame:
+    """site, s: a map of signal to ord and id of its first rows.
+
+    Rows are dealt by site, signal and a salt, and each share keeps its first
+    rows before they are gathered. So no share of a large site is a single
+    task, and no value grows with a site's rows.
+    """
+    rows = evidence.select("site", "ord", "id", F.explode(_named()).alias("signal"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).repartition("site", "signal", "salt")
+    place = F.row_number().over(Window.partitionBy("site", "signal", "salt").orderBy("ord", "id"))
+    of_files = F.col("signal").isin(*OF_FILES)
+    kept = dealt.withColumn("place", place).where(of_files | (F.col("place") <= MOST_REFS))
+    found = kept.groupBy("site", "signal").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("refs"))
+    cut = F.when(of_files, F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
+    return found.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", cut))).alias("s"))
+
 
+def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True) -> DataFrame:
+    """One row for each site of inputs: n_ and, with references, r_ (count and first references in order) of every signal, and the few means."""
+    from .structured import COVERAGE_TYPES
+
+    out = _measured(inputs, _added(_counted(evidence)))
+    if not references:
+        return out
+    none = F.array().cast("array<string>")
+    got = lambda name: F.try_element_at("s", F.lit(name))
+    cols = {f"r_{n}": F.coalesce(F.transform(got(n), lambda x: x["id"]), none) for n in _signals() if n != "entity"}
+    first = lambda t: F.get(got(f"entity:{t}"), F.lit(0))
+    found = F.sort_array(F.array_compact(F.array(*(F.when(first(t).isNotNull(), F.struct(first(t)["ord"].alias("ord"), F.lit(t).alias("type"), first(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
+    return out.join(_references(evidence), "site", "left").withColumns(cols | {"entity_refs": F.transform(found, lambda e: e["id"])}).drop("s")
+
+
+def _off(c: Check) -> Column:
+    return F.lit(False) if c.suppressed is None else F.coalesce(c.suppressed, F.lit(False))
+
+
+def _points(c: Check) -> Column:
+    return F.when(_off(c), 0).otherwise(F.coalesce(c.points, F.lit(0))).cast("int")
 
-def check_results(evidence: DataFrame, inputs: DataFrame) -> DataFrame:
-    """27 rows for each site: axis, check_id, label, points, max_points, suppressed, reason, evidence_refs."""
+
+def check_results(evidence: DataFrame, inputs: DataFrame, references: bool = True) -> DataFrame:
+    """27 rows for each site: axis, check_id, label, points, max_points, suppressed, reason and, with references, evidence_refs.
+
+    Where nobody reads the references, leaving them out saves the ordering of all evidence.
+    """
     rows = []
     for c in checks():
-        off = F.lit(False) if c.suppressed is None else F.coalesce(c.suppressed, F.lit(False))
-        points = F.when(off, 0).otherwise(F.coalesce(c.points, F.lit(0))).cast("int")
-        rows.append(F.struct(F.lit(c.axis).alias("axis"), F.lit(c.id).alias("check_id"), F.lit(c.label).alias("label"), points.alias("points"), F.lit(c.most).alias("max_points"), off.alias("suppressed"), F.when(off, F.lit(c.reason)).alias("reason"), c.refs.alias("evidence_refs")))
-    return site_signals(evidence, inputs).select("site", F.inline(F.array(*rows)))
+        row = [F.lit(c.axis).alias("axis"), F.lit(c.id).alias("check_id"), F.lit(c.label).alias("label"), _points(c).alias("points"), F.lit(c.most).alias("max_points"), _off(c).alias("suppressed"), F.when(_off(c), F.lit(c.reason)).alias("reason")]
+        rows.append(F.struct(*row, *([c.refs.alias("evidence_refs")] if references else [])))
+    return site_signals(evidence, inputs, references).select("site", F.inline(F.array(*rows)))
+
+
+def totals_without(evidence: DataFrame, inputs: DataFrame, without: dict[str, Column]) -> DataFrame:
+    """site, total and, by name, what the total would be without the rows that a predicate holds for; evidence is read once.
+
+    Rows are counted apart by the predicates that hold for them, and each total adds up what is left to it.
+    """
+    counted = _counted(evidence.withColumn("lost", F.array(*(F.coalesce(p, F.lit(False)) for p in without.values()))), "lost")
+    left = F.array_compact(F.array(F.lit("total"), *(F.when(~F.get("lost", F.lit(i)), n) for i, n in enumerate(without))))
+    split = counted.withColumn("variant", F.explode(left)).groupBy("site", "variant", "signal", "url").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    names = inputs.withColumn("variant", F.explode(F.array(*map(F.lit, ("total", *without)))))
+    points = _measured(names, _added(split, "variant"), "variant").select("site", "variant", sum((_points(c) for c in checks()), F.lit(0)).cast("long").alias("points"))
+    return points.groupBy("site").agg(*(F.max(F.when(F.col("variant") == n, F.col("points"))).alias(n) for n in ("total", *without)))
 
 
 def axis_rollup(results: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def scores(page_table: DataFrame, resources: DataFrame | None = None, registry:
     found = captures.from_pages(page_table)
     inputs = rubric.scoring_input(found)
     rows = crawl_evidence(found, resources, registry)
-    results = rubric.check_results(rows, inputs)
+    results = rubric.check_results(rows, inputs, references=False)
     if registry and registry.checks:
-        results = results.unionByName(registry.results(rows, inputs))
+        results = results.unionByName(registry.results(rows, inputs).drop("evidence_refs"))
     return rubric.site_scores(results, inputs)
