@@ -285,10 +285,9 @@ def band_confidence(spark, sf):
 @query(f"""{_WITH} SELECT site, sum(CASE WHEN check_id = 'a1_llms_txt' THEN points ELSE 0 END)::BIGINT AS llms_drop, sum(CASE WHEN check_id = 'a1_robots_agent_stanza' THEN points ELSE 0 END)::BIGINT AS stanza_drop FROM res GROUP BY site""")
 def score_counterfactual(spark, sf):
     """By how much totals fall when the llms.txt row or the AI stanzas are taken away."""
-    inputs, ev = _inputs(spark, sf), _evidence(spark, sf)
-    total = lambda e, n: rubric.check_results(e, inputs).groupBy("site").agg(F.sum("points").alias(n))
-    a, b, c = total(ev, "a"), total(ev.where("selector <> 'llms.txt#present'"), "b"), total(ev.where("not startswith(selector, 'robots.txt#user-agent:')"), "c")
-    return a.join(b, "site").join(c, "site").select("site", (F.col("a") - F.col("b")).alias("llms_drop"), (F.col("a") - F.col("c")).alias("stanza_drop"))
+    without = {"b": F.col("selector") == "llms.txt#present", "c": F.col("selector").startswith("robots.txt#user-agent:")}
+    t = rubric.totals_without(_evidence(spark, sf), _inputs(spark, sf), without)
+    return t.select("site", (F.col("total") - F.col("b")).alias("llms_drop"), (F.col("total") - F.col("c")).alias("stanza_drop"))
 
 
 @query(f"WITH {_EV} SELECT kind, count(*) AS n FROM ev GROUP BY kind")
