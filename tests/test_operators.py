@@ -139,3 +139,12 @@ def test_flagship_uses_every_page_detector(spark):
     points = {"a2_structured_present": 4, "a2_entity_coverage": 4, "a2_required_properties": 4, "a3_documented_api": 3, "a3_stable_discovery": 5, "a3_contact_capability": 3, "a3_pricing_without_login": 2, "a4_text_in_images": 0, "a5_stable_identifiers": 5, "a5_structured_pricing": 4, "a5_form_labelling": 3, "a6_tos_automation": 3, "a6_machine_auth": 3, "a6_no_injection": 0}
     assert {c: got["x.example", c] for c in points} == points
     assert got["y.example", "a6_no_injection"] == 2 and got["y.example", "a4_text_in_images"] == 3 and got["y.example", "a2_structured_present"] == 0
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    from tidemark.sources import captures
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = captures.dealt(spark.read.parquet(str(tmp_path / "t")))
+    sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and sum(sizes) == 1000
