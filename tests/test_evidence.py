@@ -71,3 +71,17 @@ def test_induced_keeps_only_what_was_shown(spark):
     out = {r.place: r for r in capabilities.induced(spark.createDataFrame(rows, "site string, place int, name string, evidence_ids array<string>"), shown).collect()}
     assert len(out) == 12 and (out[0].kept, out[0].hallucinated, out[0].status) == (["a", "a"], ["z"], "reported")
     assert (out[1].kept, out[1].status, out[2].hallucinated, out[2].status) == ([], "dropped", ["q"], "dropped")
+
+
+def test_a_finding_at_two_sites_is_one_of_each(spark):
+    from tidemark.sources import reports
+
+    empty = lambda kind: spark.createDataFrame([], kind)
+    ev = spark.createDataFrame([(s, i, "same", "u", "injection", "injection#x#body", "category: x", "pre_js") for i, s in enumerate("ab")], "site string, ord long, id string, source_url string, kind string, selector string, raw string, phase string")
+    rows = reports.report_rows(
+        empty("site string, total long, max_possible long, percentage double, band string, confidence string, reason string"),
+        empty("site string, axis int, check_id string, label string, points int, max_points int, suppressed boolean, reason string, evidence_refs array<string>"),
+        empty("site string, url string, final_url string, status_code int, robots_blocked boolean, degraded boolean, pre_js_chars int, post_js_chars int, fetch_error string"),
+        ev, empty("site string, cap_id long, name string, description string, accepted boolean, rule string"),
+    )
+    assert sorted((r.site, r.ord) for r in rows.where("part = 'finding'").collect()) == [("a", "0"), ("b", "1")]

@@ -60,12 +60,12 @@ def drawer(references: DataFrame, rows: DataFrame) -> DataFrame:
     return references.select("site", "check", "place", "id").join(rows, ["site", "id"])
 
 
-def injection_findings(rows: DataFrame) -> DataFrame:
-    """Injection evidence as findings: id, category, severity, description, read from the lines of raw; rows that only say that a scan was clean are none."""
+def injection_findings(rows: DataFrame, *keys: str) -> DataFrame:
+    """Injection evidence as findings: id, category, severity, description, read from the lines of raw; rows that only say that a scan was clean are none. keys are columns that go with them."""
     found = rows.where((F.col("kind") == "injection") & (F.coalesce("selector", F.lit("")) != "injection#clean"))
     lines = F.split(F.regexp_replace("raw", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
     found = found.withColumn("_lines", lines)
     head, level = "category: ", "severity "
     category = F.get(F.filter("_lines", lambda x: x.startswith(head)), F.lit(0))
     severity = F.rtrim(F.regexp_extract(F.get(F.filter("_lines", lambda x: F.contains(x, F.lit(level))), F.lit(0)), level + "(.*)$", 1), F.lit(")"))
-    return found.select("id", F.coalesce(F.substring(category, len(head) + 1, F.length(category)), F.lit("unknown")).alias("category"), F.when(severity.isin("info", "low", "medium", "high"), severity).otherwise("medium").alias("severity"), F.left(F.element_at("_lines", -1), F.lit(400)).alias("description"))
+    return found.select(*keys, "id", F.coalesce(F.substring(category, len(head) + 1, F.length(category)), F.lit("unknown")).alias("category"), F.when(severity.isin("info", "low", "medium", "high"), severity).otherwise("medium").alias("severity"), F.left(F.element_at("_lines", -1), F.lit(400)).alias("description"))

@@ -83,12 +83,18 @@ UNION ALL SELECT site, 'finding', count(*) FROM ev WHERE kind = 'injection' AND
 UNION ALL SELECT site, CASE WHEN accepted THEN 'capability' ELSE 'rejection' END, count(*) FROM c GROUP BY site, accepted""")
 def report_parts(spark, sf):
     """Reports of all sites written as JSON lines by part and read again: rows of each part."""
-    rows, inputs = _evidence(spark, sf), _inputs(spark, sf)
-    results = rubric.check_results(rows, inputs)
+    at = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+
+    def staged(name, rows):
+        """Parts of a report read what others have read: it is made once."""
+        rows.write.parquet(f"{at}/{name}")
+        return spark.read.parquet(f"{at}/{name}")
+
+    rows, inputs = staged("evidence", _evidence(spark, sf)), _inputs(spark, sf)
+    results = staged("results", rubric.check_results(rows, inputs))
     pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example/")).alias("url"), F.lit("").alias("html"))
     pages = captures.summaries(captures.from_pages(pages)).withColumn("site", F.regexp_extract("url", "s([0-9]+)", 1))
     caps = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("site"), F.col("o_orderkey").alias("cap_id"), F.lit("n").alias("name"), F.lit("d").alias("description"), (F.col("o_orderkey") % 2 == 0).alias("accepted"), F.lit("evidence_mismatch").alias("rule"))
-    at = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
-    reports.write_reports(reports.report_rows(rubric.site_scores(results, inputs), results, pages, rows, caps), at)
-    back = spark.read.schema("site string, ord string, body string, part string").json(at)
+    reports.write_reports(reports.report_rows(rubric.site_scores(results, inputs), results, pages, rows, caps), f"{at}/reports")
+    back = spark.read.schema("site string, ord string, body string, part string").json(f"{at}/reports")
     return back.where(F.try_parse_json("body").isNotNull()).groupBy("site", "part").agg(F.count("*").alias("n"))

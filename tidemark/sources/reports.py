@@ -19,7 +19,7 @@ def report_rows(scores: DataFrame, results: DataFrame, pages: DataFrame, evidenc
     def part(name: str, rows: DataFrame, order: Column, *fields: str) -> DataFrame:
         return rows.select("site", F.lit(name).alias("part"), order.cast("string").alias("ord"), F.to_json(F.struct(*fields)).alias("body"))
 
-    found = E.injection_findings(evidence).join(evidence.select("id", "site", "ord"), "id")
+    found = E.injection_findings(evidence, "site", "ord")
     return (
         part("score", scores, F.lit("0"), "total", "max_possible", "percentage", "band", "confidence", "reason")
         .unionByName(part("check", results, F.col("check_id"), "axis", "check_id", "label", "points", "max_points", "suppressed", "reason", "evidence_refs"))
