@@ -92,3 +92,23 @@ def test_evidence_of_line_items_is_its_sql(spark):
     got = fixtures.evidence_rows(spark, "/root/testdata/sf0.001")
     assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     assert E.identified(got)._jdf.queryExecution().optimizedPlan().toString().count("array") < 8  # blank texts are found without the steps after it
+
+
+REPEATS = [
+    (4, "u", "link", "link[rel=canonical]", "c"), (2, "u", "link", "link[rel=canonical]", "c"), (3, "v", "link", "link[rel=canonical]", "c"), (1, "u", "jsonld", "jsonld#Product", '{"name": "P"}'), (5, "u", "jsonld", "jsonld#Product", '{"name": "P"}'),
+    (6, "w", "media", None, "verdict: image-dominant"), (7, "w", "media", "", "verdict: image-dominant"), (8, "x", "media", "m", "text"), (9, "x", "other", "m", "text"),
+    (11, "y|form", "form", "s", "(40% label coverage)"), (10, "y", "form", "form|s", "(40% label coverage)"), (13, "z", "form", "f|r", "none"), (12, "z", "form", "f", "r|none"),
+    (14, "t|form|f", "text", "pricing#rendered-price", "AED"), (15, "t", "form", "f|text|pricing#rendered-price", "AED"),  # one id, and the first by ord is no form
+]
+
+
+def test_repeated_rows_count_as_the_first_of_their_id(spark):
+    ev = E.identified(spark.createDataFrame([("s", *r, "pre_js") for r in REPEATS] + [("t", *r, "pre_js") for r in REPEATS[::-1]], KIND))
+    inp = spark.createDataFrame([(s, 9, 2, 0, False) for s in "stu"], "site string, pages_crawled int, pages_ok int, pages_robots_blocked int, degraded boolean")
+    want = sorted(map(tuple, R.check_results(E.keep_first(ev), inp).collect()))
+    assert E.keep_first(ev).count() < ev.count()
+    assert sorted(map(tuple, R.check_results(ev, inp, repeated=True).collect())) == want
+    points = R.check_results(ev, inp, references=False, repeated=True)
+    assert sorted(map(tuple, points.collect())) == [w[:-1] for w in want]
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan  # no row of evidence is sorted

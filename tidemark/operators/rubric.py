@@ -53,7 +53,7 @@ def _ratio() -> Column:
 
 def _truthy(name: str) -> Column:
     v = F.get_json_object(_raw(), f"$.{name}")
-    return v.isNotNull() & ~v.isin("", "0", "0.0", "false", "null", "[]", "{}")
+    return F.coalesce(~v.isin("", "0", "0.0", "false", "null", "[]", "{}"), F.lit(False))  # v is looked up once
 
 
 def _signals() -> dict[str, Signal]:
@@ -65,8 +65,7 @@ def _signals() -> dict[str, Signal]:
     identity = type_.isin("Organization", "LocalBusiness")
     missing = F.lit(False)
     for kind, props in REQUIRED.items():
-        for p in props:
-            missing = missing | ((type_ == kind) & ~_truthy(p))
+        missing = F.when(type_ == kind, ~F.array_min(F.array(*map(_truthy, props)))).otherwise(missing)
     parsed = F.try_parse_json(raw).isNotNull() & T.stripped(raw).startswith("{")
     covered = type_.isin(*REQUIRED)
     return {
@@ -194,7 +193,7 @@ def checks() -> list[Check]:
 
 #: References that a signal keeps, more than any check of pages cites; signals of site files keep all, as their files bound them.
 MOST_REFS = 10
-SALTS = 32
+SALTS = 128
 OF_FILES = ("robots", "robots_bad", "robots_absent", "stanza", "sitemap", "sitemap_bad", "llms", "llms_bad", "spec", "manifest")
 
 
@@ -209,33 +208,69 @@ def first_references(rows: DataFrame, most: int) -> DataFrame:
     return kept.groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("refs"))
 
 
-def _named() -> Column:
-    """Names of the signals that a row carries: only those of its kind are tried. Entities are named by type, as the first of each is wanted."""
-    by_kind: dict[str, list[Column]] = {}
+def _by_kind() -> dict[str, list[tuple[str, Column]]]:
+    """Names and predicates of the signals that rows of a kind may carry; entities are named by type, as the first of each is wanted."""
+    from .structured import COVERAGE_TYPES
+
+    out: dict[str, list[tuple[str, Column]]] = {}
     for n, (kinds, where) in _signals().items():
+        named = [(f"entity:{t}", _type() == t) for t in COVERAGE_TYPES] if n == "entity" else [(n, where)]
         for k in kinds:
-            by_kind.setdefault(k, []).append(F.when(where, F.concat(F.lit("entity:"), _type()) if n == "entity" else F.lit(n)))
-    named = F.lit(None).cast("array<string>")
-    for k, names in reversed(by_kind.items()):
-        named = F.when(F.col("kind") == k, F.array(*names)).otherwise(named)
-    return F.array_compact(named)
+            out.setdefault(k, []).extend(named)
+    return out
+
+
+#: Bits of a mark that are left to the signals of a kind; above them is the kind's place.
+KIND_AT = 48
+
+
+def _mark() -> Column:
+    """The signals that a row carries as one long: its kind's place and a bit for each signal of that kind, only these are tried; 0 for other kinds.
+
+    Bits are added up by a lambda, as one expression of them all is too long a method to be compiled.
+    """
+    tried = F.lit(None).cast("array<boolean>")
+    kinds = _by_kind()
+    for k, signals in reversed(kinds.items()):
+        tried = F.when(F.col("kind") == k, F.array(*(where for _, where in reversed(signals)))).otherwise(tried)
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    bits = F.aggregate(tried, F.lit(0).cast("long"), lambda sum_, x: sum_ * 2 + F.when(x, 1).otherwise(0))
+    return F.coalesce(F.shiftleft(place, KIND_AT) + bits, F.lit(0).cast("long"))
+
+
+def _names(mark: Column) -> Column:
+    """The names of the signals of a mark."""
+    kinds = F.array(F.array().cast("array<string>"), *(F.array(*(F.lit(n) for n, _ in signals)) for signals in _by_kind().values()))
+    return F.filter(F.get(kinds, F.shiftrightunsigned(mark, KIND_AT).cast("int")), lambda _, i: F.getbit(mark, i) == 1)
+
 
+def _first(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, id, ord and what else is in rows (longs) of the first row by ord of each id, as keep_first has it: by a hash table of fixed width, without sorting rows."""
+    ord_ = F.coalesce("ord", F.lit(-(2**63)).cast("long"))
+    rest = [c for c in rows.columns if c not in (*keys, "id", "ord")]
+    return rows.groupBy(*keys, "id").agg(F.min(ord_).alias("ord"), *(F.min_by(c, ord_).alias(c) for c in rest))
 
-def _counted(evidence: DataFrame, *keys: str) -> DataFrame:
-    """site, keys, signal, url, n and total (thousandths of ratios, percents of coverage) of evidence rows.
 
-    url is that of rows with the canonical signal, else null, so that pages can
-    be counted apart. Sums are taken in the tasks before they are shuffled, so
-    no share of a large site is a single task.
+def _counted(evidence: DataFrame, *keys: str, repeated: bool = False) -> DataFrame:
+    """site, keys, signal, page, n and total (thousandths of ratios, percents of coverage) of evidence rows.
+
+    page is a hash of the address of rows with the canonical signal, else null,
+    so that pages can be counted apart; its kind has no other signal, so a page
+    comes once. Rows are counted by their marks, of which a site has few, and
+    then spread, so a signal may come more than once. Sums are taken in the tasks
+    before they are shuffled, so no share of a large site is a single task.
     """
     measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
-    rows = evidence.select("site", *keys, "source_url", measure.alias("measure"), F.explode(_named()).alias("signal"))
-    return rows.groupBy("site", *keys, "signal", F.when(F.col("signal") == "canonical", F.struct("source_url")).alias("url")).agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
+    canonical = (F.col("kind") == "link") & _signals()["canonical"][1]
+    values = [measure.alias("measure"), F.when(canonical, F.xxhash64("source_url")).alias("page"), _mark().alias("mark")]
+    rows = _first(evidence.select("site", "id", "ord", *values), "site") if repeated else evidence.select("site", *keys, *values)
+    marks = rows.groupBy("site", *keys, "mark", "page").agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
+    return marks.select("site", *keys, "page", "n", "total", F.explode(_names(F.col("mark"))).alias("signal"))
 
 
 def _added(counted: DataFrame, *keys: str) -> DataFrame:
-    """site, keys, s: a map of signal to n, total and urls (distinct pages), from rows of _counted of which a url has one."""
-    sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("url").alias("urls"))
+    """site, keys, s: a map of signal to n, total and urls (distinct pages), from rows of _counted of which a page has one."""
+    sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("page").alias("urls"))
     return sums.groupBy("site", *keys).agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "total", "urls")))).alias("s"))
 
 
@@ -253,28 +288,34 @@ def _measured(inputs: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
     return inputs.join(added, ["site", *keys], "left").withColumns(cols).drop("s")
 
 
-def _references(evidence: DataFrame) -> DataFrame:
+def _references(evidence: DataFrame, repeated: bool = False) -> DataFrame:
     """site, s: a map of signal to ord and id of its first rows.
 
-    Rows are dealt by site, signal and a salt, and each share keeps its first
-    rows before they are gathered. So no share of a large site is a single
-    task, and no value grows with a site's rows.
+    Rows are dealt by site and a salt of their id, once: each share finds the
+    first row of an id and keeps the first rows of a signal before they are
+    gathered. So no share of a large site is a single task, and no value grows
+    with a site's rows.
     """
-    rows = evidence.select("site", "ord", "id", F.explode(_named()).alias("signal"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).repartition("site", "signal", "salt")
-    place = F.row_number().over(Window.partitionBy("site", "signal", "salt").orderBy("ord", "id"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = evidence.select("site", salt, "ord", "id", _mark().alias("mark")).repartition("site", "salt")
+    rows = _first(rows, "site", "salt") if repeated else rows
+    named = rows.select("site", "salt", "ord", "id", F.explode(_names(F.col("mark"))).alias("signal"))
+    place = F.row_number().over(Window.partitionBy("site", "salt", "signal").orderBy("ord", "id"))
     of_files = F.col("signal").isin(*OF_FILES)
-    kept = dealt.withColumn("place", place).where(of_files | (F.col("place") <= MOST_REFS))
+    kept = named.withColumn("place", place).where(of_files | (F.col("place") <= MOST_REFS))
     found = kept.groupBy("site", "signal").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("refs"))
     cut = F.when(of_files, F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
     return found.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", cut))).alias("s"))
 
 
-def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True) -> DataFrame:
-    """One row for each site of inputs: n_ and, with references, r_ (count and first references in order) of every signal, and the few means."""
+def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True, repeated: bool = False) -> DataFrame:
+    """One row for each site of inputs: n_ and, with references, r_ (count and first references in order) of every signal, and the few means.
+
+    repeated: evidence is as identified() gives it, and of an id that a site has more than once only the first row by ord counts.
+    """
     from .structured import COVERAGE_TYPES
 
-    out = _measured(inputs, _added(_counted(evidence)))
+    out = _measured(inputs, _added(_counted(evidence, repeated=repeated)))
     if not references:
         return out
     none = F.array().cast("array<string>")
@@ -282,7 +323,7 @@ def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True
     cols = {f"r_{n}": F.coalesce(F.transform(got(n), lambda x: x["id"]), none) for n in _signals() if n != "entity"}
     first = lambda t: F.get(got(f"entity:{t}"), F.lit(0))
     found = F.sort_array(F.array_compact(F.array(*(F.when(first(t).isNotNull(), F.struct(first(t)["ord"].alias("ord"), F.lit(t).alias("type"), first(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
-    return out.join(_references(evidence), "site", "left").withColumns(cols | {"entity_refs": F.transform(found, lambda e: e["id"])}).drop("s")
+    return out.join(_references(evidence, repeated), "site", "left").withColumns(cols | {"entity_refs": F.transform(found, lambda e: e["id"])}).drop("s")
 
 
 def _off(c: Check) -> Column:
@@ -293,16 +334,17 @@ def _points(c: Check) -> Column:
     return F.when(_off(c), 0).otherwise(F.coalesce(c.points, F.lit(0))).cast("int")
 
 
-def check_results(evidence: DataFrame, inputs: DataFrame, references: bool = True) -> DataFrame:
+def check_results(evidence: DataFrame, inputs: DataFrame, references: bool = True, repeated: bool = False) -> DataFrame:
     """27 rows for each site: axis, check_id, label, points, max_points, suppressed, reason and, with references, evidence_refs.
 
-    Where nobody reads the references, leaving them out saves the ordering of all evidence.
+    Where nobody reads the references, leaving them out saves the ordering of all evidence;
+    repeated takes evidence before keep_first, which saves moving and sorting its texts.
     """
     rows = []
     for c in checks():
         row = [F.lit(c.axis).alias("axis"), F.lit(c.id).alias("check_id"), F.lit(c.label).alias("label"), _points(c).alias("points"), F.lit(c.most).alias("max_points"), _off(c).alias("suppressed"), F.when(_off(c), F.lit(c.reason)).alias("reason")]
         rows.append(F.struct(*row, *([c.refs.alias("evidence_refs")] if references else [])))
-    return site_signals(evidence, inputs, references).select("site", F.inline(F.array(*rows)))
+    return site_signals(evidence, inputs, references, repeated).select("site", F.inline(F.array(*rows)))
 
 
 def totals_without(evidence: DataFrame, inputs: DataFrame, without: dict[str, Column]) -> DataFrame:
@@ -312,7 +354,7 @@ def totals_without(evidence: DataFrame, inputs: DataFrame, without: dict[str, Co
     """
     counted = _counted(evidence.withColumn("lost", F.array(*(F.coalesce(p, F.lit(False)) for p in without.values()))), "lost")
     left = F.array_compact(F.array(F.lit("total"), *(F.when(~F.get("lost", F.lit(i)), n) for i, n in enumerate(without))))
-    split = counted.withColumn("variant", F.explode(left)).groupBy("site", "variant", "signal", "url").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    split = counted.withColumn("variant", F.explode(left)).groupBy("site", "variant", "signal", "page").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     names = inputs.withColumn("variant", F.explode(F.array(*map(F.lit, ("total", *without)))))
     points = _measured(names, _added(split, "variant"), "variant").select("site", "variant", sum((_points(c) for c in checks()), F.lit(0)).cast("long").alias("points"))
     return points.groupBy("site").agg(*(F.max(F.when(F.col("variant") == n, F.col("points"))).alias(n) for n in ("total", *without)))

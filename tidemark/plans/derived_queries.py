@@ -176,8 +176,12 @@ _EV = f"""ev0 AS ({EVIDENCE_SQL}), ev1 AS (SELECT *, substr(sha256(source_url ||
 ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, id ORDER BY ord) AS i FROM ev1) WHERE i = 1), inp AS ({INPUTS_SQL})"""
 
 
+def _identified(spark, sf):
+    return evidence.identified(captures.spread(evidence_rows(spark, sf)))
+
+
 def _evidence(spark, sf):
-    return evidence.keep_first(evidence.identified(captures.spread(evidence_rows(spark, sf))))
+    return evidence.keep_first(_identified(spark, sf))
 
 
 def _inputs(spark, sf):
@@ -244,12 +248,12 @@ _WITH = f"WITH {_EV}, {_AGG}, {_RES}"
 
 @query(f"{_WITH} SELECT site, axis, check_id, points, max_points, suppressed FROM res")
 def rubric_check_results(spark, sf):
-    return rubric.check_results(_evidence(spark, sf), _inputs(spark, sf), references=False).select("site", "axis", "check_id", "points", "max_points", "suppressed")
+    return rubric.check_results(_identified(spark, sf), _inputs(spark, sf), references=False, repeated=True).select("site", "axis", "check_id", "points", "max_points", "suppressed")
 
 
 def _axis(n: int, name: str):
     def run(spark, sf):
-        return rubric.check_results(_evidence(spark, sf), _inputs(spark, sf), references=False).where(F.col("axis") == n).select("site", "check_id", "points", "suppressed")
+        return rubric.check_results(_identified(spark, sf), _inputs(spark, sf), references=False, repeated=True).where(F.col("axis") == n).select("site", "check_id", "points", "suppressed")
 
     run.__name__ = f"axis{n}_{name}"
     query(f"{_WITH} SELECT site, check_id, points, suppressed FROM res WHERE axis = {n}")(run)
@@ -261,7 +265,7 @@ for _i, _name in enumerate(("identity", "structured_data", "capability", "extrac
 
 @query(f"""{_WITH} SELECT site, axis, sum(CASE WHEN suppressed THEN 0 ELSE points END)::BIGINT AS points, sum(CASE WHEN suppressed THEN 0 ELSE max_points END)::BIGINT AS max_possible, count(*) FILTER (WHERE suppressed) AS n_suppressed FROM res GROUP BY GROUPING SETS ((site, axis), (site))""")
 def axis_rollup(spark, sf):
-    return rubric.axis_rollup(rubric.check_results(_evidence(spark, sf), _inputs(spark, sf), references=False))
+    return rubric.axis_rollup(rubric.check_results(_identified(spark, sf), _inputs(spark, sf), references=False, repeated=True))
 
 
 _TOT = "tot AS (SELECT site, sum(points) AS t, sum(CASE WHEN suppressed THEN 0 ELSE max_points END) AS m FROM res GROUP BY site)"
@@ -272,7 +276,7 @@ _BAND = "CASE WHEN v <= 24 THEN 'Invisible' WHEN v <= 44 THEN 'Emerging' WHEN v
 SELECT site, t::BIGINT AS total, m::BIGINT AS max_possible, round_even(pct, 1) AS percentage, CASE WHEN NOT low THEN {_BAND} END AS band, CASE WHEN low THEN 'low' ELSE 'high' END AS confidence FROM g""")
 def site_score(spark, sf):
     inputs = _inputs(spark, sf)
-    return rubric.site_scores(rubric.check_results(_evidence(spark, sf), inputs, references=False), inputs).select("site", "total", "max_possible", "percentage", "band", "confidence")
+    return rubric.site_scores(rubric.check_results(_identified(spark, sf), inputs, references=False, repeated=True), inputs).select("site", "total", "max_possible", "percentage", "band", "confidence")
 
 
 @query(f"""WITH inp AS ({INPUTS_SQL}), c AS (SELECT *, pages_robots_blocked * 1.0::DOUBLE / pages_crawled AS share FROM inp), r AS (SELECT site, degraded, concat_ws('; and ', CASE WHEN pages_ok < 8 THEN 'only ' || pages_ok || ' page(s) were successfully crawled, below the 8-page floor' END, CASE WHEN share > 0.3 THEN round_even(share * 100, 0)::INTEGER || '% of pages were robots-blocked, above the 30% threshold' END) AS why FROM c)
