@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import dom, metrics, pages, queueing, robots, sites, structured
+from tidemark.operators import capabilities, dom, metrics, pages, queueing, robots, sites, structured
 from tidemark.sources import captures
 
 
@@ -148,3 +148,14 @@ def test_rows_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
     out = captures.dealt(spark.read.parquet(str(tmp_path / "t")))
     sizes = [n for n in out.rdd.glom().map(len).collect() if n]
     assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and sum(sizes) == 1000
+
+
+def test_graph_reads_citations_once(spark):
+    caps = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", True), (4, "c", False)], "cap_id long, name string, accepted boolean")
+    cited = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (3, "gone"), (4, "y"), (3, "z")], "cap_id long, id string")
+    evidence = spark.createDataFrame([("x", "u"), ("x", "v"), ("y", "u"), ("z", "u")], "id string, source_url string")
+    edges = capabilities.graph_edges(caps, cited, evidence)
+    want = {("u", "x", "page-evidence"), ("v", "x", "page-evidence"), ("u", "z", "page-evidence"), ("x", "a", "evidence-capability"), ("x", "b", "evidence-capability"), ("z", "b", "evidence-capability"), ("a", "tool:a", "capability-tool"), ("b", "tool:b", "capability-tool")}
+    got = [tuple(r) for r in edges.collect()]
+    assert set(got) == want and len(got) == len(want) and edges.columns == ["source", "target", "edge"]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2

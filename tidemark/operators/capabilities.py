@@ -107,9 +107,16 @@ def search(records: DataFrame, query: str, columns: list[str], order: str, limit
 
 
 def graph_edges(capabilities: DataFrame, cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """page -> evidence -> capability -> tool edges of accepted capabilities."""
-    used = cited.join(capabilities.where("accepted").select("cap_id", "name"), "cap_id").join(evidence.select("id", "source_url"), "id")
-    a = used.select(F.col("source_url").alias("source"), F.col("id").alias("target"), F.lit("page-evidence").alias("edge"))
-    b = used.select(F.col("id").alias("source"), F.col("name").alias("target"), F.lit("evidence-capability").alias("edge"))
-    c = used.select(F.col("name").alias("source"), F.concat(F.lit("tool:"), F.col("name")).alias("target"), F.lit("capability-tool").alias("edge"))
-    return a.unionByName(b).unionByName(c).distinct()
+    """page -> evidence -> capability -> tool edges of accepted capabilities.
+
+    Citations are read once, and pairs of evidence and name that many
+    capabilities share are dropped before addresses are joined to them.
+    """
+    linked = cited.join(capabilities.where("accepted").select("cap_id", "name"), "cap_id").select("id", "name").distinct()
+    used = linked.join(evidence.select("id", "source_url"), "id")
+
+    def edge(source: Column, target: Column, kind: str) -> Column:
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge"))
+
+    url, id_, name = F.col("source_url"), F.col("id"), F.col("name")
+    return used.select(F.inline(F.array(edge(url, id_, "page-evidence"), edge(id_, name, "evidence-capability"), edge(name, F.concat(F.lit("tool:"), name), "capability-tool")))).distinct()
