@@ -263,7 +263,8 @@ def _counted(evidence: DataFrame, *keys: str, repeated: bool = False) -> DataFra
     measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
     canonical = (F.col("kind") == "link") & _signals()["canonical"][1]
     values = [measure.alias("measure"), F.when(canonical, F.xxhash64("source_url")).alias("page"), _mark().alias("mark")]
-    rows = _first(evidence.select("site", "id", "ord", *values), "site") if repeated else evidence.select("site", *keys, *values)
+    # dealt first: a hash table of ids in the tasks that read would hold a whole split and drop few rows
+    rows = _first(evidence.select("site", "id", "ord", *values).repartition("site", "id"), "site") if repeated else evidence.select("site", *keys, *values)
     marks = rows.groupBy("site", *keys, "mark", "page").agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
     return marks.select("site", *keys, "page", "n", "total", F.explode(_names(F.col("mark"))).alias("signal"))
 
