@@ -112,3 +112,16 @@ def test_repeated_rows_count_as_the_first_of_their_id(spark):
     assert sorted(map(tuple, points.collect())) == [w[:-1] for w in want]
     plan = points._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortAggregate" not in plan  # no row of evidence is sorted
+
+
+def test_signals_go_by_number_and_are_tried_in_compiled_code(spark):
+    rows = [("jsonld", "jsonld#Offer", '{"price": "1"}'), ("microdata", "m#Offer", '{"price": "1", "priceCurrency": "AED"}'), ("rdfa", "r#Offer", '{"priceCurrency": "AED", "price": "0"}'), ("jsonld", "jsonld#FAQPage", "not json"), ("jsonld", "jsonld#Thing", "{}"), ("link", "jsonld#Offer", "{}")]
+    ev = E.identified(spark.createDataFrame([("s", i, "u", *r, "pre_js") for i, r in enumerate(rows)], KIND))
+    counted = R._counted(ev)
+    assert dict(counted.dtypes)["signal"] == "int"
+    assert "aggregate(" not in counted._jdf.queryExecution().optimizedPlan().toString()  # a lambda of all predicates isn't compiled
+    names = {i: n for n, i in R._numbers().items()}
+    n = {}
+    for r in counted.collect():
+        n[names[r.signal]] = n.get(names[r.signal], 0) + r.n
+    assert n == {"typed": 5, "structured": 5, "covered": 4, "violating": 2, "entity:Offer": 3, "entity:FAQPage": 1}

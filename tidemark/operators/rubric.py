@@ -51,11 +51,14 @@ def _ratio() -> Column:
     return F.when(_raw().rlike(r"(?m)^ratio:\s*[0-9.]+"), F.regexp_extract(_raw(), r"(?m)^ratio:\s*([0-9.]+)", 1).cast("double"))
 
 
-def _truthy(name: str) -> Column:
-    v = F.get_json_object(_raw(), f"$.{name}")
+def _holds(v: Column) -> Column:
     return F.coalesce(~v.isin("", "0", "0.0", "false", "null", "[]", "{}"), F.lit(False))  # v is looked up once
 
 
+def _truthy(name: str) -> Column:
+    return _holds(F.get_json_object(_raw(), f"$.{name}"))
+
+
 def _signals() -> dict[str, Signal]:
     """Kinds of evidence rows and predicates on them; each becomes a count and ordered references."""
     from .structured import COVERAGE_TYPES, REQUIRED
@@ -63,10 +66,12 @@ def _signals() -> dict[str, Signal]:
     sel, raw, type_, ratio = _sel(), _raw(), _type(), _ratio()
     links = F.regexp_extract(raw, r" on ([0-9]+) distinct link", 1)
     identity = type_.isin("Organization", "LocalBusiness")
-    missing = F.lit(False)
+    values = F.lit(None).cast("array<string>")
     for kind, props in REQUIRED.items():
-        missing = F.when(type_ == kind, ~F.array_min(F.array(*map(_truthy, props)))).otherwise(missing)
-    parsed = F.try_parse_json(raw).isNotNull() & T.stripped(raw).startswith("{")
+        values = F.when(type_ == kind, F.array(*(F.get_json_object(raw, f"$.{p}") for p in props))).otherwise(values)
+    # a lambda, also so that Spark doesn't fuse the predicates into one method, too long to be compiled
+    missing = F.exists(values, lambda v: ~_holds(v))
+    parsed = T.stripped(raw).startswith("{") & F.try_parse_json(raw).isNotNull()  # dear, so the last of what is tried
     covered = type_.isin(*REQUIRED)
     return {
         "robots": _on("robots", sel == "robots.txt"),
@@ -81,10 +86,10 @@ def _signals() -> dict[str, Signal]:
         "typed": _on(STRUCTURED, ~_has(sel, "#untyped")),
         "structured": _on(STRUCTURED),
         "identity": _on(STRUCTURED, identity),
-        "organization": _on(STRUCTURED, identity & parsed & _truthy("name") & _truthy("url") & _truthy("address")),
+        "organization": _on(STRUCTURED, identity & _truthy("name") & _truthy("url") & _truthy("address") & parsed),
         "entity": _on(STRUCTURED, type_.isin(*COVERAGE_TYPES)),
         "covered": _on(STRUCTURED, covered),
-        "violating": _on(STRUCTURED, covered & parsed & missing),
+        "violating": _on(STRUCTURED, covered & missing & parsed),
         "spec": _on("openapi", sel == "openapi#spec"),
         "spec_bad": _on("openapi", sel == "openapi#not-a-spec"),
         "api_link": _on("openapi", sel.startswith("a[href")),
@@ -208,39 +213,43 @@ def first_references(rows: DataFrame, most: int) -> DataFrame:
     return kept.groupBy("site", "signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("refs"))
 
 
-def _by_kind() -> dict[str, list[tuple[str, Column]]]:
-    """Names and predicates of the signals that rows of a kind may carry; entities are named by type, as the first of each is wanted."""
+def _by_kind() -> list[tuple[tuple[str, ...], dict[str, Column]]]:
+    """Kinds and, by name, predicates of the signals that their rows may carry; entities are named by type, as the first of each is wanted. Kinds with the same signals go together."""
     from .structured import COVERAGE_TYPES
 
-    out: dict[str, list[tuple[str, Column]]] = {}
+    of_kind: dict[str, dict[str, Column]] = {}
     for n, (kinds, where) in _signals().items():
-        named = [(f"entity:{t}", _type() == t) for t in COVERAGE_TYPES] if n == "entity" else [(n, where)]
+        named = {f"entity:{t}": _type() == t for t in COVERAGE_TYPES} if n == "entity" else {n: where}
         for k in kinds:
-            out.setdefault(k, []).extend(named)
-    return out
+            of_kind.setdefault(k, {}).update(named)
+    same: dict[tuple[str, ...], list[str]] = {}
+    for k, signals in of_kind.items():
+        same.setdefault(tuple(signals), []).append(k)
+    return [(tuple(kinds), of_kind[kinds[0]]) for kinds in same.values()]
 
 
-#: Bits of a mark that are left to the signals of a kind; above them is the kind's place.
+def _numbers() -> dict[str, int]:
+    """Signals by number, from 0, as rows carry them between steps."""
+    return {n: i for i, n in enumerate(n for _, signals in _by_kind() for n in signals)}
+
+
+#: Bits of a mark that are left to the signals of a kind; above them is the place of its kinds.
 KIND_AT = 48
 
 
 def _mark() -> Column:
-    """The signals that a row carries as one long: its kind's place and a bit for each signal of that kind, only these are tried; 0 for other kinds.
-
-    Bits are added up by a lambda, as one expression of them all is too long a method to be compiled.
-    """
-    tried = F.lit(None).cast("array<boolean>")
-    kinds = _by_kind()
-    for k, signals in reversed(kinds.items()):
-        tried = F.when(F.col("kind") == k, F.array(*(where for _, where in reversed(signals)))).otherwise(tried)
-    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    bits = F.aggregate(tried, F.lit(0).cast("long"), lambda sum_, x: sum_ * 2 + F.when(x, 1).otherwise(0))
-    return F.coalesce(F.shiftleft(place, KIND_AT) + bits, F.lit(0).cast("long"))
-
-
-def _names(mark: Column) -> Column:
-    """The names of the signals of a mark."""
-    kinds = F.array(F.array().cast("array<string>"), *(F.array(*(F.lit(n) for n, _ in signals)) for signals in _by_kind().values()))
+    """The signals that a row carries as one long: the place of its kinds and a bit for each of their signals, only these are tried; 0 for other kinds."""
+    mark = F.lit(0).cast("long")
+    for place, (kinds, signals) in reversed(list(enumerate(_by_kind(), 1))):
+        bits = (F.when(where, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, where in enumerate(signals.values()))
+        mark = F.when(F.col("kind").isin(*kinds), sum(bits, F.lit(place << KIND_AT).cast("long"))).otherwise(mark)
+    return mark
+
+
+def _carried(mark: Column) -> Column:
+    """The numbers of the signals of a mark."""
+    numbers = _numbers()
+    kinds = F.array(F.array().cast("array<int>"), *(F.array(*(F.lit(numbers[n]) for n in signals)) for _, signals in _by_kind()))
     return F.filter(F.get(kinds, F.shiftrightunsigned(mark, KIND_AT).cast("int")), lambda _, i: F.getbit(mark, i) == 1)
 
 
@@ -252,7 +261,7 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _counted(evidence: DataFrame, *keys: str, repeated: bool = False) -> DataFrame:
-    """site, keys, signal, page, n and total (thousandths of ratios, percents of coverage) of evidence rows.
+    """site, keys, signal (its number), page, n and total (thousandths of ratios, percents of coverage) of evidence rows.
 
     page is a hash of the address of rows with the canonical signal, else null,
     so that pages can be counted apart; its kind has no other signal, so a page
@@ -266,11 +275,11 @@ def _counted(evidence: DataFrame, *keys: str, repeated: bool = False) -> DataFra
     # dealt first: a hash table of ids in the tasks that read would hold a whole split and drop few rows
     rows = _first(evidence.select("site", "id", "ord", *values).repartition("site", "id"), "site") if repeated else evidence.select("site", *keys, *values)
     marks = rows.groupBy("site", *keys, "mark", "page").agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
-    return marks.select("site", *keys, "page", "n", "total", F.explode(_names(F.col("mark"))).alias("signal"))
+    return marks.select("site", *keys, "page", "n", "total", F.explode(_carried(F.col("mark"))).alias("signal"))
 
 
 def _added(counted: DataFrame, *keys: str) -> DataFrame:
-    """site, keys, s: a map of signal to n, total and urls (distinct pages), from rows of _counted of which a page has one."""
+    """site, keys, s: a map of a signal's number to n, total and urls (distinct pages), from rows of _counted of which a page has one."""
     sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("page").alias("urls"))
     return sums.groupBy("site", *keys).agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "total", "urls")))).alias("s"))
 
@@ -282,15 +291,19 @@ def _measured(inputs: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
     """
     from .structured import COVERAGE_TYPES
 
-    got = lambda name: F.try_element_at("s", F.lit(name))
-    cols = {f"n_{n}": F.coalesce(got(n)["n"], F.lit(0)) for n in _signals() if n != "entity"}
-    cols |= {"canonical_pages": F.coalesce(got("canonical")["urls"], F.lit(0)), "mean_ratio": got("ratio")["total"] / (got("ratio")["n"] * 1000), "mean_coverage": got("measured")["total"] / (got("measured")["n"] * 100)}
-    cols["n_types"] = sum((got(f"entity:{t}").isNotNull().cast("int") for t in COVERAGE_TYPES), F.lit(0))
-    return inputs.join(added, ["site", *keys], "left").withColumns(cols).drop("s")
+    numbers = _numbers()
+    # an array by number is looked up at once, in each of the many places that read it
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("urls"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(len(numbers) - 1)), lambda i: F.coalesce(F.try_element_at("s", i), none))
+    got = lambda name: F.get("dense", F.lit(numbers[name]))
+    cols = {f"n_{n}": got(n)["n"] for n in _signals() if n != "entity"}
+    cols |= {"canonical_pages": got("canonical")["urls"], "mean_ratio": F.try_divide(got("ratio")["total"], got("ratio")["n"] * 1000), "mean_coverage": F.try_divide(got("measured")["total"], got("measured")["n"] * 100)}
+    cols["n_types"] = sum(((got(f"entity:{t}")["n"] > 0).cast("int") for t in COVERAGE_TYPES), F.lit(0))
+    return inputs.join(added, ["site", *keys], "left").withColumn("dense", dense).withColumns(cols).drop("s", "dense")
 
 
 def _references(evidence: DataFrame, repeated: bool = False) -> DataFrame:
-    """site, s: a map of signal to ord and id of its first rows.
+    """site, s: a map of a signal's number to ord and id of its first rows.
 
     Rows are dealt by site and a salt of their id, once: each share finds the
     first row of an id and keeps the first rows of a signal before they are
@@ -300,9 +313,9 @@ def _references(evidence: DataFrame, repeated: bool = False) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     rows = evidence.select("site", salt, "ord", "id", _mark().alias("mark")).repartition("site", "salt")
     rows = _first(rows, "site", "salt") if repeated else rows
-    named = rows.select("site", "salt", "ord", "id", F.explode(_names(F.col("mark"))).alias("signal"))
+    named = rows.select("site", "salt", "ord", "id", F.explode(_carried(F.col("mark"))).alias("signal"))
     place = F.row_number().over(Window.partitionBy("site", "salt", "signal").orderBy("ord", "id"))
-    of_files = F.col("signal").isin(*OF_FILES)
+    of_files = F.col("signal").isin(*(_numbers()[n] for n in OF_FILES))
     kept = named.withColumn("place", place).where(of_files | (F.col("place") <= MOST_REFS))
     found = kept.groupBy("site", "signal").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("refs"))
     cut = F.when(of_files, F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
@@ -320,7 +333,8 @@ def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True
     if not references:
         return out
     none = F.array().cast("array<string>")
-    got = lambda name: F.try_element_at("s", F.lit(name))
+    numbers = _numbers()
+    got = lambda name: F.try_element_at("s", F.lit(numbers[name]))
     cols = {f"r_{n}": F.coalesce(F.transform(got(n), lambda x: x["id"]), none) for n in _signals() if n != "entity"}
     first = lambda t: F.get(got(f"entity:{t}"), F.lit(0))
     found = F.sort_array(F.array_compact(F.array(*(F.when(first(t).isNotNull(), F.struct(first(t)["ord"].alias("ord"), F.lit(t).alias("type"), first(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
@@ -343,9 +357,13 @@ def check_results(evidence: DataFrame, inputs: DataFrame, references: bool = Tru
     """
     rows = []
     for c in checks():
-        row = [F.lit(c.axis).alias("axis"), F.lit(c.id).alias("check_id"), F.lit(c.label).alias("label"), _points(c).alias("points"), F.lit(c.most).alias("max_points"), _off(c).alias("suppressed"), F.when(_off(c), F.lit(c.reason)).alias("reason")]
+        row = [F.lit(c.axis).alias("axis"), F.lit(c.id).alias("check_id"), F.lit(c.label).alias("label"), F.coalesce(c.points, F.lit(0)).cast("int").alias("points"), F.lit(c.most).alias("max_points"), _off(c).alias("suppressed"), F.lit(c.reason).alias("reason")]
         rows.append(F.struct(*row, *([c.refs.alias("evidence_refs")] if references else [])))
-    return site_signals(evidence, inputs, references, repeated).select("site", F.inline(F.array(*rows)))
+    judged = {"points": lambda r: F.when(r["suppressed"], 0).otherwise(r["points"]), "reason": lambda r: F.when(r["suppressed"], r["reason"])}
+    names = ["axis", "check_id", "label", "points", "max_points", "suppressed", "reason", *(["evidence_refs"] if references else [])]
+    # what suppression does is a lambda over the rows, as all of them in one expression are too long a method to be compiled
+    done = F.transform(F.array(*rows), lambda r: F.struct(*(judged.get(n, lambda r, n=n: r[n])(r).alias(n) for n in names)))
+    return site_signals(evidence, inputs, references, repeated).select("site", F.inline(done))
 
 
 def totals_without(evidence: DataFrame, inputs: DataFrame, without: dict[str, Column]) -> DataFrame:
