@@ -125,3 +125,22 @@ def test_signals_go_by_number_and_are_tried_in_compiled_code(spark):
     for r in counted.collect():
         n[names[r.signal]] = n.get(names[r.signal], 0) + r.n
     assert n == {"typed": 5, "structured": 5, "covered": 4, "violating": 2, "entity:Offer": 3, "entity:FAQPage": 1}
+
+
+def test_counts_and_references_come_from_one_pass(spark):
+    import hashlib
+
+    links = [(i, f"u{i % 30}", "link", "link[rel=canonical]", f"c{i}") for i in range(60)]
+    agents = [(100 + i, "r", "robots", f"robots.txt#user-agent:{i}", "ua") for i in range(25)]
+    media = [(50 - i, "m", "media", "m", f"text {i % 20}") for i in range(40)]  # each id twice, the later row comes first
+    rows = [("s", *r, "pre_js") for r in links + agents + media]
+    ev = E.identified(spark.createDataFrame(rows + [("t", *r[1:]) for r in rows[::-1]], KIND))
+    inp = spark.createDataFrame([("s", 40, 37, 0, False), ("t", 40, 38, 0, False)], "site string, pages_crawled int, pages_ok int, pages_robots_blocked int, degraded boolean")
+    out = R.check_results(ev, inp, repeated=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    found = {(r.site, r.check_id): (r.points, r.evidence_refs) for r in out.collect()}
+    ids = lambda picked: [hashlib.sha256("|".join(r[1:]).encode()).hexdigest()[:16] for r in picked]
+    for site, points in (("s", 3), ("t", 0)):  # 30 pages of 37, of 38
+        assert found[site, "a1_canonical_coverage"] == (points, ids(links[:10]))
+        assert found[site, "a1_robots_agent_stanza"] == (3, ids(agents))
+        assert found[site, "a4_text_in_images"] == (3, ids(media[:33:-1]))

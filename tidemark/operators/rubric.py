@@ -7,6 +7,7 @@ are the first few by ord, whatever a site's number of rows.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,28 +261,68 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "id").agg(F.min(ord_).alias("ord"), *(F.min_by(c, ord_).alias(c) for c in rest))
 
 
+def _values() -> list[Column]:
+    """What is counted of a row: its measure (thousandths of a ratio, percents of coverage), page (a hash of the address of a row with the canonical signal, else null) and mark."""
+    measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
+    canonical = (F.col("kind") == "link") & _signals()["canonical"][1]
+    return [measure.alias("measure"), F.when(canonical, F.xxhash64("source_url")).alias("page"), _mark().alias("mark")]
+
+
 def _counted(evidence: DataFrame, *keys: str, repeated: bool = False) -> DataFrame:
-    """site, keys, signal (its number), page, n and total (thousandths of ratios, percents of coverage) of evidence rows.
+    """site, keys, signal (its number), page, n and total (sum of measures) of evidence rows.
 
-    page is a hash of the address of rows with the canonical signal, else null,
-    so that pages can be counted apart; its kind has no other signal, so a page
-    comes once. Rows are counted by their marks, of which a site has few, and
+    Pages can be counted apart; their kind has no other signal, so a page comes
+    once. Rows are counted by their marks, of which a site has few, and
     then spread, so a signal may come more than once. Sums are taken in the tasks
     before they are shuffled, so no share of a large site is a single task.
     """
-    measure = F.when(F.col("kind") == "rendering", F.round(_ratio() * 1000).cast("long")).when(F.col("kind") == "form", F.round(_coverage() * 100).cast("long"))
-    canonical = (F.col("kind") == "link") & _signals()["canonical"][1]
-    values = [measure.alias("measure"), F.when(canonical, F.xxhash64("source_url")).alias("page"), _mark().alias("mark")]
     # dealt first: a hash table of ids in the tasks that read would hold a whole split and drop few rows
-    rows = _first(evidence.select("site", "id", "ord", *values).repartition("site", "id"), "site") if repeated else evidence.select("site", *keys, *values)
+    rows = _first(evidence.select("site", "id", "ord", *_values()).repartition("site", "id"), "site") if repeated else evidence.select("site", *keys, *_values())
     marks = rows.groupBy("site", *keys, "mark", "page").agg(F.count("*").alias("n"), F.sum("measure").alias("total"))
     return marks.select("site", *keys, "page", "n", "total", F.explode(_carried(F.col("mark"))).alias("signal"))
 
 
+def _of_files() -> Column:
+    """Whether a mark carries a signal of site files."""
+    bits = {place: sum(1 << i for i, n in enumerate(signals) if n in OF_FILES) for place, (_, signals) in enumerate(_by_kind(), 1)}
+    mark = F.col("mark")
+    found = ((F.shiftrightunsigned(mark, KIND_AT) == place) & (mark.bitwiseAND(F.lit(b).cast("long")) != 0) for place, b in bits.items() if b)
+    return reduce(lambda a, b: a | b, found)
+
+
+def _cited(evidence: DataFrame, repeated: bool = False) -> DataFrame:
+    """What _counted gives, and refs: ord and id of the first rows in order, from one pass over evidence.
+
+    Rows are dealt by site and a salt of their id, once: each share finds the
+    first row of an id, counts its rows by their marks and keeps the first of
+    each mark, which carry the sums, before they are gathered by mark. So no
+    share of a large site is a single task, and no value grows with a site's rows.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = evidence.select("site", salt, "ord", "id", *_values()).repartition("site", "salt")
+    rows = _first(rows, "site", "salt") if repeated else rows
+    rows = rows.where(F.col("mark").bitwiseAND(F.lit((1 << KIND_AT) - 1)) != 0)
+    share, gathered = (Window.partitionBy("site", *by).orderBy("ord", "id") for by in (("salt", "mark"), ("mark", "page")))
+    all_of = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_files, place = _of_files(), F.col("place")
+    head = lambda name: F.when(place == 1, F.col(name)).alias(name)
+    shares = rows.select("site", "mark", "page", "ord", "id", F.row_number().over(share).alias("place"), F.count("*").over(all_of(share)).alias("n"), F.sum("measure").over(all_of(share)).alias("total"))
+    shown = of_files | (place <= MOST_REFS)
+    # of a page that no first row is of, only the page counts
+    kept = shares.where(shown | F.col("page").isNotNull()).select("site", "mark", "page", "ord", F.when(shown, F.col("id")).alias("id"), head("n"), head("total"))
+    refs = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("ord", "id"))).over(gathered.rowsBetween(0, MOST_REFS - 1))
+    merged = kept.select("site", "mark", "page", F.row_number().over(gathered).alias("place"), F.sum("n").over(all_of(gathered)).alias("n"), F.sum("total").over(all_of(gathered)).alias("total"), refs.alias("refs"))
+    runs = merged.where((place == 1) | (of_files & (place % MOST_REFS == 1)))  # a row stands for itself and those after it
+    return runs.select("site", "page", head("n"), head("total"), "refs", F.explode(_carried(F.col("mark"))).alias("signal"))
+
+
 def _added(counted: DataFrame, *keys: str) -> DataFrame:
-    """site, keys, s: a map of a signal's number to n, total and urls (distinct pages), from rows of _counted of which a page has one."""
-    sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("page").alias("urls"))
-    return sums.groupBy("site", *keys).agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "total", "urls")))).alias("s"))
+    """site, keys, s: a map of a signal's number to n, total and urls (distinct pages), from rows of _counted of which a page has one; from those of _cited also cited, a map to its first references."""
+    more = "refs" in counted.columns
+    sums = counted.groupBy("site", *keys, "signal").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("page").alias("urls"), *([F.sort_array(F.flatten(F.collect_list("refs"))).alias("refs")] if more else []))
+    of_files = F.col("signal").isin(*(_numbers()[n] for n in OF_FILES))
+    maps = {"s": F.struct("n", "total", "urls")} | ({"cited": F.when(of_files, F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))} if more else {})
+    return sums.groupBy("site", *keys).agg(*(F.map_from_entries(F.collect_list(F.struct("signal", v))).alias(n) for n, v in maps.items()))
 
 
 def _measured(inputs: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
@@ -302,26 +343,6 @@ def _measured(inputs: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
     return inputs.join(added, ["site", *keys], "left").withColumn("dense", dense).withColumns(cols).drop("s", "dense")
 
 
-def _references(evidence: DataFrame, repeated: bool = False) -> DataFrame:
-    """site, s: a map of a signal's number to ord and id of its first rows.
-
-    Rows are dealt by site and a salt of their id, once: each share finds the
-    first row of an id and keeps the first rows of a signal before they are
-    gathered. So no share of a large site is a single task, and no value grows
-    with a site's rows.
-    """
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    rows = evidence.select("site", salt, "ord", "id", _mark().alias("mark")).repartition("site", "salt")
-    rows = _first(rows, "site", "salt") if repeated else rows
-    named = rows.select("site", "salt", "ord", "id", F.explode(_carried(F.col("mark"))).alias("signal"))
-    place = F.row_number().over(Window.partitionBy("site", "salt", "signal").orderBy("ord", "id"))
-    of_files = F.col("signal").isin(*(_numbers()[n] for n in OF_FILES))
-    kept = named.withColumn("place", place).where(of_files | (F.col("place") <= MOST_REFS))
-    found = kept.groupBy("site", "signal").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("refs"))
-    cut = F.when(of_files, F.col("refs")).otherwise(F.slice("refs", 1, MOST_REFS))
-    return found.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("signal", cut))).alias("s"))
-
-
 def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True, repeated: bool = False) -> DataFrame:
     """One row for each site of inputs: n_ and, with references, r_ (count and first references in order) of every signal, and the few means.
 
@@ -329,16 +350,15 @@ def site_signals(evidence: DataFrame, inputs: DataFrame, references: bool = True
     """
     from .structured import COVERAGE_TYPES
 
-    out = _measured(inputs, _added(_counted(evidence, repeated=repeated)))
     if not references:
-        return out
+        return _measured(inputs, _added(_counted(evidence, repeated=repeated)))
     none = F.array().cast("array<string>")
     numbers = _numbers()
-    got = lambda name: F.try_element_at("s", F.lit(numbers[name]))
+    got = lambda name: F.try_element_at("cited", F.lit(numbers[name]))
     cols = {f"r_{n}": F.coalesce(F.transform(got(n), lambda x: x["id"]), none) for n in _signals() if n != "entity"}
     first = lambda t: F.get(got(f"entity:{t}"), F.lit(0))
     found = F.sort_array(F.array_compact(F.array(*(F.when(first(t).isNotNull(), F.struct(first(t)["ord"].alias("ord"), F.lit(t).alias("type"), first(t)["id"].alias("id"))) for t in COVERAGE_TYPES))))
-    return out.join(_references(evidence, repeated), "site", "left").withColumns(cols | {"entity_refs": F.transform(found, lambda e: e["id"])}).drop("s")
+    return _measured(inputs, _added(_cited(evidence, repeated))).withColumns(cols | {"entity_refs": F.transform(found, lambda e: e["id"])}).drop("cited")
 
 
 def _off(c: Check) -> Column:
