@@ -315,6 +315,18 @@ def test_mix_meets_targets(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_mix_targets_of_a_billion_words(spark):
+    """Words that fit an integer, but not three times as many, and words beyond one."""
+    from tidemark.llm.mixing import targets
+
+    for unit in (1_000, 60_000_000, 400_000_000):
+        sizes = {f"s{i:02d}": unit * n for i, n in enumerate((9, 1, 1, 1, 2, 4, 1, 1))}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in targets(df, (3, 1, 2), (3, 2), 2).collect()}
+        want = water_fill(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - t) <= 1e-9 * t for s, t in want.items())
+
+
 def test_mix_fills_room_beside_a_long_document(spark):
     from tidemark.llm.mixing import mix
 

@@ -80,7 +80,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: tuple[int, int]
     if not all_["w"]:
         return ranked.drop("cap").withColumn("target", F.lit(0.0))
     before = _running(ranked, [F.col("cap") / F.col("weight"), F.col("rank")], caps=F.col("cap"), ws=F.col("weight"))
-    level = (F.lit(all_["all"]) * share[0] - F.col("caps") * share[1]) / ((F.lit(all_["w"]) - F.col("ws")) * share[1])
+    # a literal is an integer where it fits one, so it is widened before it is multiplied
+    level = (F.lit(all_["all"]).cast("long") * share[0] - F.col("caps") * share[1]) / ((F.lit(all_["w"]).cast("long") - F.col("ws")) * share[1])
     found = before.where(F.col("weight") * level <= F.col("cap")).agg(F.min(F.struct("caps", "ws")).alias("x")).first()["x"]
     target = F.col("cap").cast("double")
     if found is not None:
