@@ -327,6 +327,26 @@ def test_mix_targets_of_a_billion_words(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - t) <= 1e-9 * t for s, t in want.items())
 
 
+def test_mixed_documents_of_a_billion_words(spark, monkeypatch):
+    """The pipeline's stage, with every word counted a hundred thousand times."""
+    import corpus_pipeline
+    from tidemark.llm import mixing
+
+    monkeypatch.setattr(mixing, "words", lambda text, own=mixing.words: own(text) * 100_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice("aaab")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["source_mixing"]
+    assert 2**31 / 3 < 100_000 * sum(len(t.split()) for _, t, _ in rows) < 2**31
+    taken, sizes = {"a": 0, "b": 0}, {"a": 0, "b": 0}
+    for r in stage(spark, df, None).collect():
+        taken[r.source] += 100_000 * len(r.text.split())
+    for _, t, s in rows:
+        sizes[s] += 100_000 * len(t.split())
+    for s, t in water_fill(sizes).items():
+        assert t - 3_000_000 <= taken[s] <= t
+
+
 def test_mix_fills_room_beside_a_long_document(spark):
     from tidemark.llm.mixing import mix
 
