@@ -170,6 +170,18 @@ def test_rows_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
     assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and sum(sizes) == 1000
 
 
+def test_lookup_of_rows_of_one_place(spark):
+    """Rows that share a place come in the order of their ids, however they were read."""
+    from tidemark.operators import artifacts
+
+    rows = [("s", i // 10, f"id{i:02d}", "text", "a", "product") for i in range(40)]
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "site string, ord long, id string, kind string, selector string, raw string").coalesce(1)
+        got.append([r.id for r in artifacts.tool_lookup(df, "Product").orderBy("position").collect()])
+    assert got[0] == got[1] == [f"id{i:02d}" for i in range(8)]
+
+
 def test_graph_reads_citations_once(spark):
     caps = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", True), (4, "c", False)], "cap_id long, name string, accepted boolean")
     cited = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (3, "gone"), (4, "y"), (3, "z")], "cap_id long, id string")

@@ -51,10 +51,10 @@ def agent_cards(capabilities: DataFrame, version: str = "0.3.0") -> DataFrame:
 
 
 def tool_lookup(evidence: DataFrame, query: str, most: int = 8) -> DataFrame:
-    """The first evidence rows of each site that hold the query, as a generated tool finds them."""
+    """The first evidence rows of each site that hold the query, as a generated tool finds them; by id where places are equal, so that reruns agree."""
     hay = F.lower(F.concat_ws(" ", "kind", F.coalesce("selector", F.lit("")), "raw"))
     hits = evidence.where(~F.col("kind").isin("rendering", "media", "injection", "header") & F.contains(hay, F.lit(query.lower().strip())))
-    first = Window.partitionBy("site").orderBy("ord")
+    first = Window.partitionBy("site").orderBy("ord", "id")
     return hits.withColumn("position", F.row_number().over(first)).where(F.col("position") <= most).select("site", "position", "id", "kind", "selector", F.left("raw", F.lit(900)).alias("content"))
 
 
